@@ -4,14 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid
 from .common import parquet
 from .decontaminate import contamination
 from .media import media_digest
+from .pii import find_personal_data
+from .sentencepiece_codec import encoded
 from .sharding import shard_rows
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """The third of the documents that no model learns from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "n_letters", "rejected")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(parquet(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(parquet(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(parquet(spark, sf_dir, "documents"), shards=40)
 
@@ -25,7 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_sharding, op8_media, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language, op2_sentencepiece, op4_pii, op6_sharding, op8_media, op10_decontamination)}
 
 
 #: Words of the decontamination contract.
