@@ -92,38 +92,27 @@ class Block:
         return spans, items
 
 
-def _join(batches: Iterator[pa.RecordBatch], blocks: list, share: int) -> Iterator[pa.RecordBatch]:
-    loaded = [b.value for b in blocks]
-    for part in byte_slices(batches, "text", 4 << 20):
-        ids, out = part.column("doc_id"), []
-        for text in part.column("text").to_pylist():
-            tokens = words(text)
-            items: set[str] = set()
-            hit = np.zeros(len(tokens), bool)
-            for block in loaded:
-                spans, own = block.hits(tokens)
-                for first, n in spans:
-                    hit[first : first + n] = True
-                items |= own
-            n_hit = int(hit.sum())
-            out.append((len(tokens), n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and share * n_hit >= len(tokens)))
-        a = list(zip(*out, strict=True))
-        yield pa.record_batch([ids, *(pa.array(a[i], pa.int64()) for i in range(3)), pa.array(a[3], pa.string()), pa.array(a[4], pa.bool_())], names=[c.split()[0] for c in COLUMNS.split(", ")])
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 100_000,
-                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A document is contaminated if some words are hit and share * n_hit >= n_words. Null and wordless texts have no words
-    and no hits; null and wordless items give no windows; items without an id are left out. Repeated documents each
-    get their row; repeated items count once for each id. Other columns are not read.
-    """
-    spark = docs.sparkSession
+def _judged(texts: list[bytes | None], blocks: list[Block], share: int) -> Iterator[tuple[int, int, set[str], bool]]:
+    """Words, hit words, items and contamination of each text."""
+    for text in texts:
+        tokens = words(text)
+        items: set[str] = set()
+        hit = np.zeros(len(tokens), bool)
+        for block in blocks:
+            spans, own = block.hits(tokens)
+            for first, n in spans:
+                hit[first : first + n] = True
+            items |= own
+        n_hit = int(hit.sum())
+        yield len(tokens), n_hit, items, n_hit > 0 and share * n_hit >= len(tokens)
+
+
+def _blocks(rows: DataFrame, benchmark: DataFrame, window: int, block_windows: int, item_col: str, item_text_col: str) -> list:
+    """Broadcasts of the benchmark's blocks; rows has the documents' texts, for the counts."""
+    spark = rows.sparkSession
     windows = stored(item_windows(benchmark, window, item_col, item_text_col), "windows")
     n_blocks = max(1, -(-windows.count() // block_windows))
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(n_blocks)))
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text")
     shipped = []
     for k in range(n_blocks):
         found = [(r[0], list(r[1])) for r in numbered.where(F.col("block") == k).select("window", "items").collect()]  # block_windows at most, about
@@ -134,4 +123,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         for r in counted.collect():  # a row for each word of the block
             held[r["word"]] = r["n"]
         shipped.append(spark.sparkContext.broadcast(Block(found, known, held)))
-    return rows.mapInArrow(lambda it: _join(it, shipped, share), COLUMNS)
+    return shipped
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 100_000,
+                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A document is contaminated if some words are hit and share * n_hit >= n_words. Null and wordless texts have no words
+    and no hits; null and wordless items give no windows; items without an id are left out. Repeated documents each
+    get their row; repeated items count once for each id. Other columns are not read.
+    """
+    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text")
+    shipped = _blocks(rows, benchmark, window, block_windows, item_col, item_text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [b.value for b in shipped]
+        for part in byte_slices(batches, "text", 4 << 20):
+            n, n_hit, items, bad = zip(*_judged(part.column("text").to_pylist(), blocks, share), strict=True)
+            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, n_hit, map(len, items))), pa.array(digest), pa.array(bad, pa.bool_())], names=[c.split()[0] for c in COLUMNS.split(", ")])
+
+    return rows.mapInArrow(run, COLUMNS)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 100_000,
+               text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Those rows of docs, with all their columns, that are not contaminated."""
+    shipped = _blocks(docs.selectExpr(f"cast(`{text_col}` as binary) as text"), benchmark, window, block_windows, item_col, item_text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [b.value for b in shipped]
+        for part in byte_slices(batches, text_col, 4 << 20):
+            texts = part.column(text_col).cast(pa.binary()).to_pylist()
+            yield part.filter(pa.array([not bad for *_, bad in _judged(texts, blocks, share)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

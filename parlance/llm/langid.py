@@ -23,6 +23,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +154,7 @@ class Scorer:
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a character under each language (end of a word included), and letters."""
         tokens = [letters(t) for t in texts]
-        new = set(chain.from_iterable(tokens)) - self.number.keys()
+        new = {w for w in set(chain.from_iterable(tokens)) if w not in self.number}
         if len(self.number) + len(new) > self.most:
             self.number, self.table, new = {}, self.table[:0], set(chain.from_iterable(tokens))
         ordered = sorted(new)
@@ -257,6 +258,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(predict, COLUMNS)
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Those rows of docs, with all their columns, that are not rejected."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(sent.value)
+        for part in byte_slices(batches, text_col, 4 << 20):
+            yield part.filter(pc.invert(_decided(scorer, part.column(text_col).to_pylist(), part.column(text_col))[-1]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _decided(scorer: Scorer, texts: list[str | None], ids: pa.Array) -> list[pa.Array]:
     if not scorer.model.langs:
         n = len(texts)

@@ -11,6 +11,7 @@ from . import langid
 from .common import parquet
 from .decontaminate import contamination
 from .media import media_digest
+from .near_dedup import near_duplicates
 from .pii import find_personal_data
 from .sentencepiece_codec import encoded
 from .sharding import shard_rows
@@ -44,18 +45,35 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(parquet(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(parquet(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_sentencepiece, op4_pii, op6_sharding, op8_media, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language, op2_sentencepiece, op4_pii, op6_sharding, op8_media, op9_near_dedup, op10_decontamination)}
 
 
 #: Words of the decontamination contract.
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Shingle sets, links by an inverted index, and the least document that links reach.
+_NEAR = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') || CASE WHEN len(w) < 5 THEN ' ' || len(w) ELSE '' END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL) p
+      JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(c) AS c FROM r GROUP BY a) m USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op9_near_dedup": _NEAR,
     "op10_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),

@@ -152,7 +152,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
         """Little-endian int32 ids of each text, and whether they are those of sentencepiece."""
         cut = [self.cut.findall(self.normal(t)) for t in texts]
-        new = set(chain.from_iterable(cut)) - self.ids.keys()
+        new = {p for p in set(chain.from_iterable(cut)) if p not in self.ids}
         if len(self.ids) + len(new) > self.most:
             self.ids, self.odd = {}, set()
             new = set(chain.from_iterable(cut))
