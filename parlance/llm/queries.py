@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import langid
 from .common import parquet
 from .decontaminate import contamination
+from .html_text import main_text
+from .lm_scoring import score_documents
 from .media import media_digest
 from .near_dedup import near_duplicates
 from .pii import find_personal_data
@@ -33,10 +35,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(parquet(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(parquet(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(parquet(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(parquet(spark, sf_dir, "documents"), stable=True)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(parquet(spark, sf_dir, "documents"), shards=40)
 
@@ -54,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_sentencepiece, op4_pii, op6_sharding, op8_media, op9_near_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language, op2_sentencepiece, op3_html, op4_pii, op5_lm_scores, op6_sharding, op8_media, op9_near_dedup, op10_decontamination)}
 
 
 #: Words of the decontamination contract.
