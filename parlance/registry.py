@@ -1,9 +1,17 @@
 """Queries by name, with the DuckDB SQL that each is held against."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from .plans import catalog
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(catalog.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(catalog.SQL)
