@@ -7,12 +7,15 @@ counts are concentrated as for independent coordinates.
 
 Nodes are distinct shingle sets, not documents: equal sets cost one row each, however many copies there are. Bands of the sketch
 give buckets. A bucket first links each member to its least member (a star, not pairs); links are verified on full sets and joined to
-components. Only members of one bucket that are still in different components are then compared one by one,
-so no true link that the bands offer is lost, and a large group of near copies costs no pairs.
+components. Only members of one bucket that are still in different components are then compared, if two bits of
+each coordinate do not already rule the similarity out (by six deviations): in small buckets as pairs, in large ones inside
+tasks of at most 2 x CHUNK members, which give back only links between components. So no true link that the bands offer is lost,
+and no bucket is turned into its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -27,6 +30,8 @@ from .common import byte_slices, stored
 from .components import components
 
 BANDS, ROWS = 48, 5
+#: Buckets of more members than SMALL are compared in blocks of two chunks of about CHUNK.
+SMALL, CHUNK = 16, 400
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -104,6 +109,27 @@ def band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
+def signatures(rows: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, packed into longs: 32 coordinates each, zeros after the last."""
+    bits = np.zeros((len(rows), -(-rows.shape[1] // 32) * 32), np.uint64)
+    bits[:, : rows.shape[1]] = rows & np.uint64(3)
+    shift = np.arange(32, dtype=np.uint64) * np.uint64(2)
+    return (bits.reshape(len(rows), -1, 32) << shift).sum(axis=2, dtype=np.uint64)
+
+
+def most_differing(coordinates: int, percent: int) -> int:
+    """Differing two-bit coordinates that a pair of `percent` exceeds with a chance under 1e-8 (six deviations)."""
+    p = (1 - percent / 100) * 3 / 4
+    return math.floor(coordinates * p + 6 * math.sqrt(coordinates * p * (1 - p)))
+
+
+def _differing(a: str, b: str, longs: int) -> Column:
+    """Coordinates in which two signatures differ."""
+    even = F.lit(0x5555555555555555)
+    both = [F.col(a)[k].bitwiseXOR(F.col(b)[k]) for k in range(longs)]
+    return sum((F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(even)) for x in both), F.lit(0))
+
+
 def _node(x: np.ndarray) -> int:
     return int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -117,11 +143,13 @@ def _described(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             sets = [shingle_set(t, size, words) for t in part.column("text").to_pylist()]
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             nodes = [_node(x) if len(x) else None for x in sets]
-            keys = band_keys(sketches(sets, bands * rows), bands).view(np.int64)
-            column = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(nodes, pa.int64()), column], names=["doc_id", "n_shingles", "node", "bands"])
+            sketch = sketches(sets, bands * rows)
+            lists = []
+            for values in (band_keys(sketch, bands), signatures(sketch)):
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * values.shape[1], pa.int32()), pa.array(values.view(np.int64).ravel())))
+            yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "n_shingles", "node", "bands", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, signature array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -151,6 +179,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
 
 
+def _compared(many: DataFrame, percent: int, coordinates: int, differing: int) -> DataFrame:
+    """Links between components within large buckets, a spanning set of them for each block of members.
+
+    A bucket's members are dealt to chunks; each two chunks (and each with itself) are a block, so a block has at most about
+    2 x CHUNK members. A pair is looked at in the first band that it shares.
+    """
+    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    dealt = many.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")})
+
+    def run(table: pa.Table) -> pa.Table:
+        label, n, chunk, node = (table.column(c).to_numpy() for c in ("label", "n", "chunk", "node"))
+        packed = np.array(table.column("signature").to_pylist(), np.int64).view(np.uint64)
+        two = (packed[:, :, None] >> (np.arange(32, dtype=np.uint64) * np.uint64(2)) & np.uint64(3)).reshape(len(node), -1)[:, :coordinates]
+        hot = (two[:, :, None] == np.arange(4, dtype=np.uint64)).reshape(len(node), -1).astype(np.float32)
+        ok = coordinates - hot @ hot.T <= differing
+        ok &= (label[:, None] != label) & (n[:, None] * 100 >= n * percent) & (n * 100 >= n[:, None] * percent)
+        if table.column("a")[0].as_py() != table.column("b")[0].as_py():
+            ok &= chunk[:, None] != chunk
+        u, v = np.nonzero(np.triu(ok, 1))
+        keys = np.array(table.column("bands").to_pylist(), np.int64)
+        this = int(np.flatnonzero(keys[0] == table.column("band")[0].as_py())[0])
+        first = np.concatenate([np.zeros(0, bool), *((keys[u[i : i + 10_000]] == keys[v[i : i + 10_000]]).argmax(axis=1) == this for i in range(0, len(u), 10_000))])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        root = {x: x for x in label.tolist()}
+        found = []
+        for i, j in zip(u[first].tolist(), v[first].tolist(), strict=True):
+            x, y = _root(root, int(label[i])), _root(root, int(label[j]))
+            if x != y:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    root[max(x, y)] = min(x, y)
+                    found.append((node[i], node[j]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+
+    return dealt.groupBy("band", "a", "b").applyInArrow(run, "u long, v long")
+
+
+def _root(root: dict[int, int], x: int) -> int:
+    while root[x] != x:
+        root[x] = x = root[root[x]]
+    return x
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -163,7 +237,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     source = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text")
     found = stored(_described(source, size, bands, rows), "sketches")
     nodes = stored(
-        found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes"
+        found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes"
     )
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "center")
@@ -180,12 +254,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     links = stored(_verified(star, sets, percent), "links")
     joined = components(links)
     labelled = buckets.join(joined.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-    left = labelled.join(mixed, "band")
-    right = left.select("band", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("label").alias("vlabel"))
-    rest = left.withColumnsRenamed({"node": "u", "n": "un"}).join(right, "band").where("u > v and label <> vlabel").where(near("un", "vn")).select("u", "v").distinct()
-    rest = stored(rest.join(star, ["u", "v"], "left_anti"), "rest")
-    more = stored(_verified(rest, sets, percent), "links")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("members")).where("a <> b").select("band", "members")
+    left = stored(labelled.join(mixed, "band").join(nodes.select("node", "signature"), "node"), "mixed")
+    few = left.where(F.col("members") <= SMALL).drop("members")
+    right = few.select("band", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("label").alias("vlabel"), F.col("signature").alias("vsignature"))
+    differing = most_differing(bands * rows, percent)
+    likely = _differing("signature", "vsignature", -(-bands * rows // 32)) <= differing
+    pairs = few.withColumnsRenamed({"node": "u", "n": "un"}).join(right, "band").where((F.col("u") > F.col("v")) & (F.col("label") != F.col("vlabel")) & near("un", "vn") & likely)
+    more = _verified(pairs.select("u", "v").distinct(), sets, percent)
+    many = left.where(F.col("members") > SMALL).join(nodes.select("node", "bands"), "node").join(sets, "node")
+    more = stored(more.unionByName(_compared(many, percent, bands * rows, differing)), "links")
     if not more.isEmpty():
         joined = components(joined.union(more))
     label = joined.select(F.col("u").alias("node"), F.col("v").alias("label"))
