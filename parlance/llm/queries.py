@@ -17,6 +17,7 @@ from .near_dedup import near_duplicates
 from .pii import find_personal_data
 from .sentencepiece_codec import encoded
 from .sharding import shard_rows
+from .suffix_dedup import remove_repeats
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -51,6 +52,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(parquet(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(parquet(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(parquet(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_sentencepiece, op3_html, op4_pii, op5_lm_scores, op6_sharding, op8_media, op9_near_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language, op2_sentencepiece, op3_html, op4_pii, op5_lm_scores, op6_sharding, op7_suffix_dedup, op8_media, op9_near_dedup, op10_decontamination)}
 
 
 #: Words of the decontamination contract.
