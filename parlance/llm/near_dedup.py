@@ -147,9 +147,9 @@ def _described(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             lists = []
             for values in (band_keys(sketch, bands), signatures(sketch)):
                 lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * values.shape[1], pa.int32()), pa.array(values.view(np.int64).ravel())))
-            yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "n_shingles", "node", "bands", "signature"])
+            yield pa.record_batch([part.column("doc_id"), part.column("row"), pa.array(n), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "row", "n_shingles", "node", "bands", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, signature array<long>")
+    return docs.mapInArrow(run, "doc_id long, row struct<h:long,mark:long>, n_shingles long, node long, bands array<long>, signature array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -235,9 +235,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     missed by all bands with a probability of (1 - 0.75**5)**48 = 2e-6.
     """
     source = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text")
+    source = source.withColumn("row", F.struct(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("mark")))
     found = stored(_described(source, size, bands, rows), "sketches")
     nodes = stored(
-        found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes"
+        found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes"
     )
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "center")
@@ -249,8 +250,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     center = nodes.select(F.col("node").alias("v"), F.col("n").alias("vn"))
     star = buckets.where("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v"), F.col("n").alias("un")).distinct()
     star = stored(star.join(center, "v").where(near("un", "vn")).select("u", "v"), "star")
-    wanted = buckets.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias("doc_id")).distinct()
-    sets = stored(_sets(source.join(wanted, "doc_id", "left_semi"), size).where("node is not null").dropDuplicates(["node"]), "sets")
+    wanted = buckets.select("node").distinct().join(nodes, "node").select("row")
+    sets = stored(_sets(source.join(wanted, "row", "left_semi"), size).where("node is not null").dropDuplicates(["node"]), "sets")
     links = stored(_verified(star, sets, percent), "links")
     joined = components(links)
     labelled = buckets.join(joined.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
