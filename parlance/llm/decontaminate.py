@@ -142,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         for part in byte_slices(batches, "text", 4 << 20):
             n, n_hit, items, bad = zip(*_judged(part.column("text").to_pylist(), blocks, share), strict=True)
             digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-            yield pa.record_batch([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, n_hit, map(len, items))), pa.array(digest), pa.array(bad, pa.bool_())], names=[c.split()[0] for c in COLUMNS.split(", ")])
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, n_hit, map(len, items))), pa.array(digest, pa.string()), pa.array(bad, pa.bool_())], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
     return rows.mapInArrow(run, COLUMNS)
 

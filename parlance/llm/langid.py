@@ -98,8 +98,8 @@ class Model:
             hashed = _hashes(grams)
             at = np.argsort(hashed, kind="stable")
             self.keys.append(hashed[at])
-            self.prob.append(np.array([prob[k].get(grams[i], np.full(n, np.nan)) for i in at] + [np.full(n, np.nan)], np.float32).reshape(-1, n))
-            self.back.append(np.array([back[k].get(grams[i], np.zeros(n)) for i in at] + [np.zeros(n)], np.float32).reshape(-1, n))
+            self.prob.append(np.array([prob[k].get(grams[i], np.full(n, np.nan)) for i in at] + [np.full(n, np.nan)], np.float32).reshape(len(at) + 1, n))
+            self.back.append(np.array([back[k].get(grams[i], np.zeros(n)) for i in at] + [np.zeros(n)], np.float32).reshape(len(at) + 1, n))
         #: By language: mean of the cross-entropy, and the largest accepted excess over it.
         self.usual, self.limit, self.sharpness = np.zeros(n), np.full(n, np.inf), 10.0
 
@@ -191,7 +191,7 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             marked = START * (order - 1) + word + END
             for i in range(len(marked) - order + 1):
                 grams[marked[i : i + order]] += n
-        yield pa.record_batch([pa.array([lang] * len(grams)), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
+        yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
 def fit(labelled: DataFrame, order: int = 5, docs_per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -273,7 +273,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 def _decided(scorer: Scorer, texts: list[str | None], ids: pa.Array) -> list[pa.Array]:
     if not scorer.model.langs:
         n = len(texts)
-        return [ids, pa.array(["und"] * n), pa.array([0.0] * n), pa.nulls(n, pa.float64()), pa.array([sum(map(len, letters(t))) for t in texts], pa.int64()), pa.array([True] * n)]
+        return [ids, pa.array(["und"] * n, pa.string()), pa.array([0.0] * n, pa.float64()), pa.nulls(n, pa.float64()), pa.array([sum(map(len, letters(t))) for t in texts], pa.int64()), pa.array([True] * n, pa.bool_())]
     entropy, length = scorer.documents(texts)
     best, score, odd = scorer.model.decide(entropy, length)
     none = length == 0

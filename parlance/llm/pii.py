@@ -373,7 +373,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 spans = all_spans(text or "", field)
                 rows.append((*(sum(k == kind for k, _, _ in base) for kind in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)))
             a = list(zip(*rows, strict=True))
-            yield pa.record_batch([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in a[:4]), pa.array(a[4]), pa.array(a[5]), pa.array(a[6], pa.int64())], names=[c.split()[0] for c in COLUMNS.split(", ")])
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in a[:4]), pa.array(a[4], pa.string()), pa.array(a[5], pa.string()), pa.array(a[6], pa.int64())], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, COLUMNS)
 

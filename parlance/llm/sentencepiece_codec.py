@@ -192,7 +192,7 @@ def encoded(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2,
             back = codec.decode([a.tolist() for a in arrays])
             whole = [b == codec.normal(t).replace(MARK, " ").removeprefix(" " if codec.spec.dummy_prefix else "") for b, t in zip(back, texts, strict=True)]
             column = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.concatenate(arrays)))
-            yield pa.record_batch([part.column("doc_id"), pa.array(n), column, pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(whole), pa.array(same)], names=[c.split()[0] for c in COLUMNS.split(", ")])
+            yield pa.record_batch([part.column("doc_id"), pa.array(n), column, pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(whole, pa.bool_()), pa.array(same, pa.bool_())], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, COLUMNS)
 
