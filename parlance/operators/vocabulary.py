@@ -58,3 +58,13 @@ def rolled_up(utts: DataFrame, key: str, order: str, text: Column, label: str) -
     """Texts of a speaker joined in order, with the first label. A speaker's texts are one row by definition."""
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), " ")
     return utts.groupBy(key).agg(parts.alias("text"), F.min_by(label, order).alias("label"), F.count("*").alias("n_utts"))
+
+
+def without_stop_words(words: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """words (with a label) less those whose lower-cased label is a stop word."""
+    return words.withColumn("word", F.lower("label")).join(stop_words.select(F.lower("word").alias("word")).distinct(), "word", "left_anti").drop("word")
+
+
+def label_check(ctm: DataFrame, least: int = 10) -> DataFrame:
+    """Distinct labels of an alignment, and whether they are suspiciously few: one row."""
+    return ctm.agg(F.count_distinct("label").alias("n_labels")).withColumn("suspicious", F.col("n_labels") < least)

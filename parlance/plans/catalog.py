@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scores import confidence, pronunciation
 from ..functions.stats import NAMES
-from ..operators import alignment, combine, fluency, intervals, pronunciation as gop, regression, rhythm, vocabulary, vowels
+from ..operators import alignment, combine, features, fluency, intervals, pronunciation as gop, regression, rhythm, vocabulary, vowels
 from ..sources import adapters as A
 from ..streaming import sessions
 
@@ -500,3 +500,31 @@ def session_gaps(spark, d):
 def longest_sequence(spark, d):
     """A16, A15, P18."""
     return A.table(spark, d, "conversations").where(F.size(T.tokens(F.col("text"))) > 0).agg(F.max(F.size(T.tokens(F.col("text")))).cast("long").alias("longest"), F.count("*").alias("n_texts"))
+
+
+_SCALE = "CASE utt_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 6 WHEN 3 THEN 7 END"
+
+
+@query(f"SELECT w.*, s.* EXCLUDE (utt_id, response_duration), CAST({_SCALE.replace('utt_id', 'w.utt_id')} AS DOUBLE) AS level FROM ({SQL['word_features']}) w JOIN ({SQL['silence_features']}) s ON w.utt_id = s.utt_id")
+def feature_rows(spark, d):
+    """The wide row; the scale comes from the id."""
+    ctm = _ctm(spark, d)
+    number = F.col("utt_id") % 5
+    scale = F.when(number == 0, "a1").when(number == 1, "A2").when(number == 2, "b1+").when(number == 3, "B2").otherwise("preA1")
+    utts = ctm.select("utt_id").distinct().withColumn("scale", scale)
+    parts = [rounded(f(ctm), nudge=1e-9) for f in (fluency.word_features, fluency.silence_features)]
+    return features.feature_rows(utts, parts)
+
+
+@query(f"WITH {CTM}, f AS (SELECT utt_id, CASE WHEN conf > 0.3 THEN conf ELSE 0 END AS f0, CASE WHEN conf > 0.3 THEN conf END AS nz, dur AS e FROM ctm), m AS (SELECT *, avg(f0) OVER w AS f0_m, avg(nz) OVER w AS nz_m, avg(e) OVER w AS e_m FROM f WINDOW w AS (PARTITION BY utt_id)) SELECT utt_id, {_stats_sql('f0', 'f0')}, {_stats_sql('nz', 'f0_nz')}, {_stats_sql('e', 'energy')} FROM m GROUP BY utt_id")
+def frame_features(spark, d):
+    """F0 and energy statistics over a frame table."""
+    frames = _ctm(spark, d).select("utt_id", F.col("ord").alias("i"), F.when(F.col("conf") > 0.3, F.col("conf")).otherwise(F.lit(float("nan"))).alias("f0"), F.col("dur").alias("energy"))
+    return rounded(features.frame_features(frames), nudge=1e-9)
+
+
+@query(f"WITH {CONV} SELECT label, count(*) AS n FROM conv WHERE lower(label) NOT IN ('the', 'a', 'of', 'to', 'and', 'in') GROUP BY label")
+def stop_words_removed(spark, d):
+    """F11, with a fixed small list."""
+    stop = spark.createDataFrame([(w,) for w in ("the", "a", "of", "to", "and", "in")], "word string")
+    return vocabulary.without_stop_words(_conv(spark, d), stop).groupBy("label").agg(F.count("*").alias("n"))

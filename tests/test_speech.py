@@ -263,3 +263,26 @@ def test_streams(spark, tmp_path):
         n = spark.table(name).count()
         q.stop()
         assert n == want or (name == "sessions" and n <= want)
+
+
+def test_audio(spark, tmp_path):
+    import wave
+
+    from parlance.sources import audio
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(16_000)
+        w.writeframes(np.full(1600, 16384, "<i2").tobytes())
+    got = audio.energy_frames(spark, str(tmp_path / "a.wav")).orderBy("i").collect()
+    assert len(got) == 11 and got[0].energy == pytest.approx(0.5) and got[0].total == 0.1 and got[10].energy == 0
+    assert audio.vad_frames(0.09) == pytest.approx([0.0, 0.03]) and audio.vad_frames(0.1) == pytest.approx([0.0, 0.03, 0.06])
+
+
+def test_flattening(spark):
+    from parlance.operators import features
+
+    df = spark.createDataFrame([("u", 1.0, (2.0,)), ("v", None, None)], "utt_id string, a double, rhythm struct<x:double>")
+    got = {r.utt_id: r.asDict() for r in features.flattened(df, ["a", "b"], "rhythm", ["x", "y"]).collect()}
+    assert got == {"u": {"utt_id": "u", "a": 1.0, "b": 0.0, "x": 2.0, "y": None}, "v": {"utt_id": "v", "a": 0.0, "b": 0.0, "x": None, "y": None}}
