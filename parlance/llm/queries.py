@@ -87,7 +87,22 @@ r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(c) AS c FROM r GROUP BY a) m USING (doc_id)"""
 
+#: Windows of 200 bytes (400 hex digits) that occur twice, their runs, and what lies between.
+_REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, z, len(h) // 2 - 199 - z AS n, substr(h, 2 * z + 1, 1000) AS h FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199, 300)) AS z FROM d WHERE len(h) >= 400)),
+w AS (SELECT r, z + i AS i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, z, h, unnest(range(0, least(n, 300))) AS i FROM c)),
+m AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(CAST(i > p + 200 AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i, 1, i) OVER (PARTITION BY r ORDER BY i) AS p FROM m)),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g),
+n AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY r),
+cut AS (SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS x, a AS y FROM s UNION ALL SELECT r, max(b), 1000000000 FROM s GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * x + 1, 2 * least(y, len(h) // 2) - 2 * x), '' ORDER BY x) AS h FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)"""
+
 ORACLES: dict[str, str] = {
+    "op7_suffix_dedup": _REPEATS,
     "op9_near_dedup": _NEAR,
     "op10_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
