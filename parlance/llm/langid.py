@@ -17,7 +17,6 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, worker_state
 
 START, END = "\x02", "\x03"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -146,7 +145,7 @@ class Model:
 class Scorer:
     """Sums of documents, with the scores of at most `most` words kept."""
 
-    def __init__(self, model: Model, most: int = 600_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
         self.number: dict[str, int] = {}
         self.table = np.zeros((0, len(model.langs)))
@@ -174,10 +173,9 @@ class Scorer:
         return -sums / np.maximum(long + n, 1)[:, None], long
 
 
-@lru_cache(maxsize=1)
 def _scorer(model: Model) -> Scorer:
     """The scorer of this Python worker: tasks that follow one another share its words."""
-    return Scorer(model)
+    return worker_state(("language", model), lambda: Scorer(model))
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:

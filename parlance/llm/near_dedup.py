@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, stored
+from .common import byte_slices, stored, worker_state
 from .components import components
 
 BANDS, ROWS = 48, 5
@@ -46,7 +45,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words, kept for at most `most` of them."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.most, self.known = most, {}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
@@ -57,9 +56,8 @@ class Words:
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
-@lru_cache(maxsize=1)
 def _words() -> Words:
-    return Words()
+    return worker_state(("words",), Words)
 
 
 def shingle_set(text: bytes | None, size: int, words: Words) -> np.ndarray:

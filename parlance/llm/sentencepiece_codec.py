@@ -14,14 +14,13 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_slices
+from .common import byte_slices, worker_state
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -82,7 +81,7 @@ class Spec:
 class Codec:
     """Encoder and decoder of one model in one process; keeps the ids of at most `most` parts."""
 
-    def __init__(self, model: bytes, threads: int = 2, most: int = 400_000, verify: bool = True):
+    def __init__(self, model: bytes, threads: int = 2, most: int = 300_000, verify: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import Tokenizer, decoders, models, normalizers
@@ -166,10 +165,9 @@ class Codec:
         return [t.removeprefix(" ") for t in texts] if self.spec.dummy_prefix else texts
 
 
-@lru_cache(maxsize=1)
 def _codec(model: bytes, threads: int, verify: bool) -> Codec:
     """The codec of this Python worker: tasks that follow one another share what it has learnt."""
-    return Codec(model, threads, verify=verify)
+    return worker_state(("codec", model, threads, verify), lambda: Codec(model, threads, verify=verify))
 
 
 def encoded(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, verify: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,8 +3,8 @@
 Every window of `length` bytes has an anchor: the gram of GRAM bytes with the least hash in it. Equal windows have equal anchors at equal
 places, so a piece (the consecutive windows of one anchor) can only meet pieces of the same anchor. Spark counts pieces by
 anchor and content, as hashes; an anchor seen once cannot repeat, and one that always has the same content repeats
-throughout. Only the distinct pieces of the other anchors are fetched from the texts, dealt out by anchor, and put into a suffix array
-in each task: equal windows are neighbours in it. Documents gather their repeated windows and drop the bytes they cover.
+throughout. Only the distinct pieces of the other anchors are fetched from the texts, dealt out by anchor, trimmed to what another piece may share, and
+put into a suffix array in each task: equal windows are neighbours in it. Documents gather their repeated windows and drop the bytes they cover.
 
 The suffix array is built as Baier's grouping does: suffixes are grouped by their first byte, groups are taken from the
 highest down, and each splits the groups of its members' previous smaller suffixes by how many of its members point there, until
@@ -106,7 +106,7 @@ def _rolling(x: np.ndarray, length: int) -> np.ndarray:
 
 
 def pieces(text: bytes, length: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchor, content hash, first window, windows and weight of the pieces of a text, by stretches of `chunk` windows.
+    """Anchor, content hash, first window, windows, weight and place of the anchor of the pieces of a text, by stretches of `chunk` windows.
 
     Adjacent equal pieces (of repetitive texts) are one row with their number as weight.
     """
@@ -127,20 +127,53 @@ def pieces(text: bytes, length: int, chunk: int = 1 << 20) -> Iterator[tuple[np.
         new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
         weight = np.diff(np.r_[new, len(start)])
         final = np.r_[new[1:], len(start)] - 1
-        yield anchor[new], content[new], begin + start[new], stop[final] - start[new], weight
+        yield anchor[new], content[new], begin + start[new], stop[final] - start[new], weight, (at[start] - start)[new]
 
 
-def repeated_runs(held: list[tuple[bytes, bool]], length: int) -> list[list[int]]:
-    """For each piece the flattened [a, b) runs of windows that repeat: all if it says so, else by neighbours in the suffix array."""
-    text = b"".join(p for p, _ in held)
-    valid, owner, base = bytearray(len(text)), np.zeros(len(text), np.int64), np.zeros(len(held), np.int64)
-    at = 0
-    for k, (p, _) in enumerate(held):
-        valid[at : at + len(p) - length + 1] = b"\1" * (len(p) - length + 1)
-        base[k] = at
-        owner[at : at + len(p)] = k
-        at += len(p)
-    twice = bytearray(len(text))
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid)
+    return low
+
+
+def _shared(parts: list[bytes]) -> list[int]:
+    """For each string the longest prefix that it shares with any other: with a neighbour in sorted order."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        n = _common(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+Piece = tuple[bytes, int, bool]
+
+
+def repeated_runs(groups: list[list[Piece]], length: int) -> list[list[list[int]]]:
+    """For each piece the flattened [a, b) runs of windows that repeat.
+
+    A group holds the distinct pieces of one anchor as (bytes, place of the anchor, whether the piece itself repeats). A window
+    reaches no further to either side of the anchor than some other piece agrees, so pieces are first trimmed to that; equal
+    trimmed pieces are one that repeats. Of the rest, equal windows are neighbours in the suffix array.
+    """
+    cores: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+    for g, group in enumerate(groups):
+        left, right = _shared([p[:o][::-1] for p, o, _ in group]), _shared([p[o:] for p, o, _ in group])
+        for k, (p, o, _) in enumerate(group):
+            if left[k] + right[k] >= length:
+                cores.setdefault((g, left[k], p[o - left[k] : o + right[k]]), []).append((g, k))
+    text = b"".join(core for _, _, core in cores)
+    valid, twice, at = bytearray(len(text)), bytearray(len(text)), 0
+    for _, _, core in cores:
+        n = len(core) - length + 1
+        valid[at : at + n] = b"\1" * n
+        at += len(core)
     last, last_at = None, 0
     for i in suffix_array(text):
         if valid[i]:
@@ -148,16 +181,21 @@ def repeated_runs(held: list[tuple[bytes, bool]], length: int) -> list[list[int]
             if own == last:
                 twice[i] = twice[last_at] = 1
             last, last_at = own, i
-    out = []
-    for k, (p, always) in enumerate(held):
-        n = len(p) - length + 1
-        mark = np.ones(n, bool) if always else np.frombuffer(twice, np.uint8, n, base[k]).astype(bool)
-        edge = np.flatnonzero(np.diff(np.r_[False, mark, False].astype(np.int8)))
-        out.append(edge.tolist())
+    out = [[[0, len(p) - length + 1] if always else [] for p, _, always in group] for group in groups]
+    at = 0
+    for (_, reach, core), owners in cores.items():
+        n = len(core) - length + 1
+        mark = np.ones(n, bool) if len(owners) > 1 else np.frombuffer(twice, np.uint8, n, at).astype(bool)
+        runs = np.flatnonzero(np.diff(np.r_[False, mark, False].astype(np.int8)))
+        for g, k in owners:
+            _, o, always = groups[g][k]
+            if not always:
+                out[g][k] = (runs + (o - reach)).tolist()
+        at += len(core)
     return out
 
 
-_OCC = "h long, mark long, anchor long, content long, start long, windows long, weight long"
+_OCC = "h long, mark long, anchor long, content long, start long, windows long, weight long, place long"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -177,17 +215,18 @@ def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         rows = []
         for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
             for w in wanted:
-                rows.append((w["anchor"], w["content"], w["often"], text[w["start"] : w["start"] + w["windows"] + length - 1]))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.record_batch([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.bool_()), pa.array(list(cols[3]), pa.binary())], names=["anchor", "content", "often", "piece"])
+                rows.append((w["anchor"], w["content"], w["often"], w["place"], text[w["start"] : w["start"] + w["windows"] + length - 1]))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.record_batch([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.bool_()), pa.array(list(cols[3]), pa.int64()), pa.array(list(cols[4]), pa.binary())], names=["anchor", "content", "often", "place", "piece"])
 
 
 def _sorted(table: pa.Table, length: int) -> pa.Table:
-    held: dict[tuple[int, int], tuple[bytes, bool]] = {}
-    for a, c, often, piece in zip(*(table.column(x).to_pylist() for x in ("anchor", "content", "often", "piece")), strict=True):
-        held[a, c] = piece, often
-    runs = repeated_runs(list(held.values()), length)
-    return pa.table([pa.array([a for a, _ in held], pa.int64()), pa.array([c for _, c in held], pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["anchor", "content", "runs"])
+    held: dict[int, dict[int, Piece]] = {}
+    for anchor, content, often, place, piece in zip(*(table.column(x).to_pylist() for x in ("anchor", "content", "often", "place", "piece")), strict=True):
+        held.setdefault(anchor, {})[content] = piece, place, often
+    runs = repeated_runs([list(g.values()) for g in held.values()], length)
+    ids = [(a, c) for a, g in held.items() for c in g]
+    return pa.table([pa.array([a for a, _ in ids], pa.int64()), pa.array([c for _, c in ids], pa.int64()), pa.array([r for g in runs for r in g], pa.list_(pa.int64()))], names=["anchor", "content", "runs"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -224,9 +263,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, task_bytes: int = 256 <<
     hits = stored(found.join(anchors, "anchor"), "hits")
     # pieces of anchors with one content repeat as they are; of the others each content is fetched once
     several = hits.where("contents > 1")
-    first = several.groupBy("anchor", "content").agg(F.sum("weight").alias("n"), F.min(F.struct("h", "mark", "start", (F.col("windows") / F.col("weight")).cast("long").alias("windows"))).alias("r"))
-    wanted = first.groupBy(F.col("r.h").alias("h"), F.col("r.mark").alias("mark")).agg(F.collect_list(F.struct("anchor", "content", (F.col("n") > 1).alias("often"), "r.start", "r.windows")).alias("wanted"))
-    fetched = rows.select("h", "mark", "text").join(wanted, ["h", "mark"]).select("text", "wanted").mapInArrow(lambda it: _fetched(it, length), "anchor long, content long, often boolean, piece binary")
+    first = several.groupBy("anchor", "content").agg(F.sum("weight").alias("n"), F.min(F.struct("h", "mark", "start", (F.col("windows") / F.col("weight")).cast("long").alias("windows"), "place")).alias("r"))
+    wanted = first.groupBy(F.col("r.h").alias("h"), F.col("r.mark").alias("mark")).agg(F.collect_list(F.struct("anchor", "content", (F.col("n") > 1).alias("often"), "r.start", "r.windows", "r.place")).alias("wanted"))
+    fetched = rows.select("h", "mark", "text").join(wanted, ["h", "mark"]).select("text", "wanted").mapInArrow(lambda it: _fetched(it, length), "anchor long, content long, often boolean, place long, piece binary")
     fetched = stored(fetched, "pieces")
     size = fetched.agg(F.sum(F.octet_length("piece")).alias("n")).first()["n"] or 0
     parts = max(16, -(-size // task_bytes))
