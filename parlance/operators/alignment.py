@@ -1,35 +1,68 @@
-"""Word alignment of hypothesis and reference: edit distance in SQL, weighted alignment with its path in Arrow batches."""
+"""Word alignment of hypothesis and reference in Arrow batches: edit distance, and weighted alignment with its path."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INSERT, DELETE, SUBSTITUTE, TILT = 3, 3, 4, 1e-7
+#: Tables of more cells than this are not kept whole.
+SMALL = 4096
+
+
+def edit_distance(ref: list[str | None], hyp: list[str | None]) -> int:
+    """Levenshtein distance of two lists of words, a bit for each word of hyp in one long integer; null words equal nothing."""
+    n = len(hyp)
+    if not n:
+        return len(ref)
+    places: dict[str, int] = {}
+    for j, word in enumerate(hyp):
+        if word is not None:
+            places[word] = places.get(word, 0) | 1 << j
+    full, top = (1 << n) - 1, n - 1
+    up, down, edits = full, 0, n  # neighbours in a row of the table differ by +1 or -1
+    for word in ref:
+        same = places.get(word, 0)
+        x = same | down
+        y = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(y | up)), up & y
+        edits += (more >> top & 1) - (less >> top & 1)
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        up, down = less | (full & ~(x | more)), more & x
+    return edits
+
+
+def _slices(batches: Iterator[pa.RecordBatch], limit: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds about `limit` words of ref and hyp (one longer row stays alone)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ref", "hyp"))
+        group = (np.cumsum(sizes) - sizes) // limit
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
 
 
-def edit_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance of two arrays of words, by folding rows of the table."""
-    first = F.sequence(F.lit(0), F.size(hyp))
-
-    def row(last: Column, word: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            best = F.least(F.get(last, j + 1) + 1, F.element_at(acc, -1) + 1, F.get(last, j) + F.when(F.get(hyp, j) == word, 0).otherwise(1))
-            return F.concat(acc, F.array(best))
-
-        start = F.array(F.get(last, F.lit(0)) + 1)
-        return F.when(F.size(hyp) == 0, start).otherwise(F.aggregate(F.filter(first, lambda j: j < F.size(hyp)), start, cell))
-
-    return F.element_at(F.aggregate(ref, first, row), -1)
+def word_error_rate(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """pairs with edits, ref_words and wer; an empty reference has a null rate, a null side null edits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            edits = [None if r is None or h is None else edit_distance(r, h) for r, h in zip(b.column("ref").to_pylist(), b.column("hyp").to_pylist(), strict=True)]
+            yield pa.record_batch([b.column("row"), pa.array(edits, pa.int32())], names=["row", "edits"])
 
-def word_error_rate(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """pairs with edits, ref_words and wer; an empty reference has a null rate."""
-    edits = F.when(F.col(ref).isNotNull() & F.col(hyp).isNotNull(), edit_distance(F.col(ref), F.col(hyp)))
-    return pairs.withColumn("edits", edits).withColumn("ref_words", F.size(ref)).withColumn("wer", F.try_divide(F.col("edits"), F.col("ref_words")))
+    names = pairs.columns
+    fields = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
+    rows = pairs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col(ref).alias("ref"), F.col(hyp).alias("hyp")).mapInArrow(run, f"row struct<{fields}>, edits int")
+    rows = rows.select(*(F.col("row").getField(n).alias(n) for n in names), "edits")
+    return rows.withColumn("ref_words", F.size(ref)).withColumn("wer", F.try_divide(F.col("edits"), F.col("ref_words")))
 
 
 def align(ref: list[str], hyp: list[str], tilted: bool = True) -> list[tuple[str, str | None, str | None]]:
@@ -41,6 +74,8 @@ def align(ref: list[str], hyp: list[str], tilted: bool = True) -> list[tuple[str
     """
     n, m = len(ref), len(hyp)
     tilt = [TILT if tilted and w.isupper() else 0 for w in ref]
+    if n * m > SMALL:
+        return _long_path(ref, hyp, tilt)
     table = [[j * INSERT for j in range(m + 1)]]
     for i, word in enumerate(ref):
         e, low, above = tilt[i], word.lower(), table[i]
@@ -68,6 +103,70 @@ def align(ref: list[str], hyp: list[str], tilted: bool = True) -> list[tuple[str
     return path[::-1]
 
 
+def _long_path(ref: list[str], hyp: list[str], tilt: list[float]) -> list[tuple[str, str | None, str | None]]:
+    """The path of align() without its table: diagonals of equal i + j, of which every k-th pair is kept, k about the root of their number.
+
+    Cells are the very sums of align(). The steps back of k diagonals at a time are found again from the pair before them.
+    """
+    n, m = len(ref), len(hyp)
+    number: dict[str, int] = {}
+    low = np.array([number.setdefault(w.lower(), len(number)) for w in ref])
+    other = np.array([number.setdefault(w, len(number)) for w in hyp])[::-1]
+    e = np.array(tilt, np.float64)
+    every = max(2, math.isqrt(n + m))
+
+    def diagonal(d: int, before: np.ndarray, last: np.ndarray, steps: bool) -> tuple[np.ndarray, int, np.ndarray | None]:
+        """Costs of the cells (i, d - i), by i; of those off the edges, the first i and the steps back."""
+        here = np.empty(n + 1)
+        if d <= m:
+            here[0] = d * INSERT
+        if d <= n:
+            here[d] = (DELETE - tilt[d - 1]) * d
+        a, b = max(1, d - m), min(n, d - 1)
+        if a > b:
+            return here, a, None
+        t = e[a - 1 : b]
+        corner, above, left = before[a - 1 : b], last[a - 1 : b], last[a : b + 1]
+        differ = low[a - 1 : b] != other[m - d + a : m - d + b + 1]
+        cost = np.minimum(np.minimum(left + (INSERT + t), above + (DELETE - t)), corner + (SUBSTITUTE * differ + t))
+        here[a : b + 1] = cost
+        if not steps:
+            return here, a, None
+        same = cost == np.minimum(np.minimum(corner, above), left) + t
+        kinds = [same, cost == corner + (SUBSTITUTE + t), cost == above + (DELETE - t), cost == left + (INSERT + t)]
+        return here, a, np.select(kinds, [0, 1, 2, 3], 0).astype(np.int8)
+
+    kept = {}
+    before, last = np.empty(n + 1), np.zeros(n + 1)  # of the diagonals -1 and 0
+    for d in range(1, n + m + 1):
+        if d % every == 1:
+            kept[d] = before, last
+        before, last = last, diagonal(d, before, last, False)[0]
+    path, i, j = [], n, m
+    while i or j:
+        d = i + j
+        first = (d - 1) // every * every + 1
+        before, last = kept.pop(first)
+        steps = {}
+        for k in range(first, d + 1):
+            here, a, found = diagonal(k, before, last, True)
+            steps[k] = a, found
+            before, last = last, here
+        while i + j >= first:
+            a, found = steps[i + j]
+            step = 2 if not j else 3 if not i else int(found[i - a])
+            if step < 2:
+                i, j = i - 1, j - 1
+                path.append(("substitution" if step else "match", ref[i], hyp[j]))
+            elif step == 2:
+                i -= 1
+                path.append(("deletion", ref[i], None))
+            else:
+                j -= 1
+                path.append(("insertion", None, hyp[j]))
+    return path[::-1]
+
+
 PATH = "array<struct<type:string,ref:string,hyp:string>>"
 
 
@@ -78,7 +177,7 @@ def alignments(pairs: DataFrame, keys: list[str], tilted: bool = True, ref: str
     step = pa.struct([("type", pa.string()), ("ref", pa.string()), ("hyp", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             paths = [None if not r or h is None else [dict(zip(("type", "ref", "hyp"), s, strict=True)) for s in align(r, h, tilted)] for r, h in zip(b.column("ref").to_pylist(), b.column("hyp").to_pylist(), strict=True)]
             yield pa.record_batch([*(b.column(k) for k in keys), pa.array(paths, pa.list_(step))], names=[*keys, "path"])
 

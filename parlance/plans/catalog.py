@@ -354,10 +354,9 @@ def triple_scores(spark, d):
 
 
 def _pairs(spark, d):
-    first = lambda w: F.slice(w, 1, 30)
     rows = _marked_arrays(spark, d)
-    plain = A.table(spark, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), first(T.tokens(F.col("text"))).alias("hyp"))
-    loud = F.transform(first(F.col("w")), lambda x: F.when(x == "@uh", "UH").otherwise(x))
+    plain = A.table(spark, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), T.tokens(F.col("text")).alias("hyp"))
+    loud = F.transform(F.col("w"), lambda x: F.when(x == "@uh", "UH").otherwise(x))
     return rows.select("conv_id", "turn", loud.alias("ref")).join(plain, ["conv_id", "turn"])
 
 

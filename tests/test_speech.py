@@ -150,6 +150,31 @@ def test_word_error_rate(spark):
             assert got[k].wer == (_distance(a, b) / len(a) if a else None)
 
 
+def test_long_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    long = [([rng.choice(["a", "b", "A", "UH", "c"]) for _ in range(rng.randrange(60, 300))], [rng.choice("abcd") for _ in range(rng.randrange(60, 300))]) for _ in range(12)] + [(["A"] * 5000, ["a"]), (["a"], ["b"] * 5000)]
+    short = [([rng.choice(["a", "b", "A", "B", "c"]) for _ in range(rng.randrange(1, 9))], [rng.choice("abcd") for _ in range(rng.randrange(1, 9))]) for _ in range(500)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(long)], "id long, ref array<string>, hyp array<string>")
+    got = {r.id: r.edits for r in alignment.word_error_rate(df).collect()}
+    assert got == {k: _distance(a, b) for k, (a, b) in enumerate(long)}
+    for tilted in (True, False):
+        monkeypatch.setattr(alignment, "SMALL", 1 << 30)
+        whole = [alignment.align(a, b, tilted) for a, b in long + short]
+        monkeypatch.setattr(alignment, "SMALL", 0)
+        assert [alignment.align(a, b, tilted) for a, b in long + short] == whole
+
+
+def test_pairs_are_whole(spark):
+    from parlance.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    words = {(r.conv_id, r.turn): len(r.text.split()) for r in spark.read.parquet(f"{d}/conversations.parquet").where("text is not null").collect()}
+    got = catalog.word_error_rate(spark, d).collect()
+    assert max(words.values()) > 30 and {(r.conv_id, r.turn): r.ref_words for r in got} == {(r.conv_id, r.turn): words[r.conv_id, r.turn] for r in got}
+    rates = {(r.conv_id, r.turn): sum(r[f"{k}_{x}"] for k in ("match", "substitution", "deletion") for x in "fd") for r in catalog.fer_der(spark, d).collect()}
+    assert rates and all(n == words[k] for k, n in rates.items())
+
+
 def test_frames(spark):
     frames = spark.createDataFrame([("u", k / 100, float(k)) for k in range(1, 101)], "utt_id string, t double, value double")
     times = spark.createDataFrame([("u", 1, 0.005), ("u", 2, 0.253), ("u", 3, 0.5), ("u", 4, 0.95), ("w", 5, 0.5)], "utt_id string, ord int, t double")
