@@ -5,8 +5,10 @@ of a window needs all its words, so the prefix of each window under a global ord
 documents hold least often, counted over all documents. Documents are joined on prefix words only; positional and
 length bounds place the window around the match, and the words are then compared one by one.
 
-The benchmark is dealt with in blocks of at most `block_windows` windows. A block's tables are broadcast (their size is
-bounded by that number), and a document passes every block without a shuffle. There is no cap on matches.
+The benchmark is dealt with in blocks of about `block_windows` windows. A block's tables are broadcast (their size is
+bounded by that number). One block is matched where the documents are read. Of several, only one at a time is in the driver
+and the workers: each pass over the documents stores the occurrences it finds, and its broadcasts are destroyed before the next;
+texts then meet their occurrences by two hashes. There is no cap on matches.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, stored
@@ -34,14 +38,14 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """Distinct (window, items): the words joined by a space, and the ids of all items that hold it."""
+    """Distinct (window, items): the words joined by a space, and the ids of all items that hold it; a null stands for those without."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "text", 1 << 20):
             items, found = [], []
             for item, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 w = words(text)
-                if w and item is not None:
+                if w:
                     own = {b" ".join(w[i : i + window]) for i in range(max(1, len(w) - window + 1))}
                     found += own
                     items += [item] * len(own)
@@ -49,7 +53,8 @@ def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str
 
     rows = benchmark.selectExpr(f"cast(`{item_col}` as string) as item", f"cast(`{text_col}` as binary) as text")
     cut_rows = rows.mapInArrow(cut, "item string, window binary")
-    return cut_rows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    unnamed = F.when(F.max(F.col("item").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return cut_rows.groupBy("window").agg(F.concat(F.sort_array(F.collect_set("item")), unnamed).alias("items"))
 
 
 def _counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
@@ -92,38 +97,69 @@ class Block:
         return spans, items
 
 
-def _judged(texts: list[bytes | None], blocks: list[Block], share: int) -> Iterator[tuple[int, int, set[str], bool]]:
-    """Words, hit words, items and contamination of each text."""
-    for text in texts:
-        tokens = words(text)
-        items: set[str] = set()
-        hit = np.zeros(len(tokens), bool)
-        for block in blocks:
-            spans, own = block.hits(tokens)
-            for first, n in spans:
-                hit[first : first + n] = True
-            items |= own
-        n_hit = int(hit.sum())
-        yield len(tokens), n_hit, items, n_hit > 0 and share * n_hit >= len(tokens)
+_FOUND = "h long, g int, first array<int>, length array<int>, items array<string>"
 
 
-def _blocks(rows: DataFrame, benchmark: DataFrame, window: int, block_windows: int, item_col: str, item_text_col: str) -> list:
-    """Broadcasts of the benchmark's blocks; rows has the documents' texts, for the counts."""
+def _matched(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
+    """Occurrences of a block's windows in each text that holds any."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    for part in byte_slices(batches, "text", 4 << 20):
+        rows = []
+        for h, g, text in zip(*(part.column(c).to_pylist() for c in ("h", "g", "text")), strict=True):
+            spans, items = block.hits(words(text))
+            if spans:
+                rows.append((h, g, [a for a, _ in spans], [n for _, n in spans], list(items)))
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+        yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+
+def _judged(text: bytes | None, found: list[tuple[list[tuple[int, int]], set]], share: int) -> tuple[int, int, set, bool]:
+    """Words, hit words, items and contamination of a text with the occurrences and items of each block."""
+    n = len(words(text))
+    items: set = set()
+    hit = np.zeros(n, bool)
+    for spans, own in found:
+        for first, length in spans:
+            hit[first : first + length] = True
+        items |= own
+    n_hit = int(hit.sum())
+    return n, n_hit, items, n_hit > 0 and share * n_hit >= n
+
+
+def _keys(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias("h"), F.hash(text).alias("g")
+
+
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int, block_windows: int, item_col: str, item_text_col: str) -> tuple[Broadcast | None, DataFrame | None]:
+    """The broadcast of the benchmark's only block, or what the blocks, one after another, find in rows (h, g, text)."""
     spark = rows.sparkSession
     windows = stored(item_windows(benchmark, window, item_col, item_text_col), "windows")
     n_blocks = max(1, -(-windows.count() // block_windows))
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(n_blocks)))
-    shipped = []
+    parts = []
     for k in range(n_blocks):
-        found = [(r[0], list(r[1])) for r in numbered.where(F.col("block") == k).select("window", "items").collect()]  # block_windows at most, about
+        found = [(r[0], list(r[1])) for r in numbered.where(F.col("block") == k).select("window", "items").collect()]  # block_windows, about
         known = {w: i for i, w in enumerate(sorted({w for text, _ in found for w in text.split(b" ")}))}
         sent = spark.sparkContext.broadcast(known)
         counted = rows.select("text").mapInArrow(lambda it, v=sent: _counts(it, v), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
         held = np.zeros(len(known), np.int64)
         for r in counted.collect():  # a row for each word of the block
             held[r["word"]] = r["n"]
-        shipped.append(spark.sparkContext.broadcast(Block(found, known, held)))
-    return shipped
+        sent.destroy(blocking=True)
+        block = spark.sparkContext.broadcast(Block(found, known, held))
+        if n_blocks == 1:
+            return block, None
+        parts.append(stored(rows.select("h", "g", "text").mapInArrow(lambda it, v=block: _matched(it, v.value), _FOUND).distinct(), "occurrences"))
+        block.destroy(blocking=True)
+    return None, reduce(DataFrame.unionAll, parts).groupBy("h", "g").agg(F.collect_list(F.struct("first", "length", "items")).alias("found"))
+
+
+def _results(part: pa.RecordBatch, column: str, block: Block | None, share: int) -> list[tuple[int, int, set, bool]]:
+    texts = part.column(column).cast(pa.binary()).to_pylist()
+    if block:
+        return [_judged(t, [block.hits(words(t))], share) for t in texts]
+    given = part.column("_found").to_pylist()
+    return [_judged(t, [(list(zip(x["first"], x["length"], strict=True)), set(x["items"])) for x in g or ()], share) for t, g in zip(texts, given, strict=True)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 100_000,
@@ -131,31 +167,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     """A row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A document is contaminated if some words are hit and share * n_hit >= n_words. Null and wordless texts have no words
-    and no hits; null and wordless items give no windows; items without an id are left out. Repeated documents each
-    get their row; repeated items count once for each id. Other columns are not read.
+    and no hits; null and wordless items give no windows. Items without an id hit words as all others do, count as one item
+    together and are left out of the hashed list. Repeated documents each get their row; repeated items count once for each
+    id. Other columns are not read.
     """
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text")
-    shipped = _blocks(rows, benchmark, window, block_windows, item_col, item_text_col)
+    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text").select("doc_id", "text", *_keys(F.col("text")))
+    sent, found = _searched(rows, benchmark, window, block_windows, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in shipped]
+        block = sent.value if sent else None
         for part in byte_slices(batches, "text", 4 << 20):
-            n, n_hit, items, bad = zip(*_judged(part.column("text").to_pylist(), blocks, share), strict=True)
-            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+            n, n_hit, items, bad = zip(*_results(part, "text", block, share), strict=True)
+            digest = [hashlib.sha256(",".join(sorted(x - {None})).encode()).hexdigest() for x in items]
             yield pa.record_batch([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, n_hit, map(len, items))), pa.array(digest, pa.string()), pa.array(bad, pa.bool_())], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return rows.mapInArrow(run, COLUMNS)
+    given = rows.select("doc_id", "text") if found is None else rows.join(found, ["h", "g"], "left").select("doc_id", "text", F.col("found").alias("_found"))
+    return given.mapInArrow(run, COLUMNS)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 100_000,
                text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Those rows of docs, with all their columns, that are not contaminated."""
-    shipped = _blocks(docs.selectExpr(f"cast(`{text_col}` as binary) as text"), benchmark, window, block_windows, item_col, item_text_col)
+    rows = docs.selectExpr(f"cast(`{text_col}` as binary) as text").select("text", *_keys(F.col("text")))
+    sent, found = _searched(rows, benchmark, window, block_windows, item_col, item_text_col)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in shipped]
+        block = sent.value if sent else None
         for part in byte_slices(batches, text_col, 4 << 20):
-            texts = part.column(text_col).cast(pa.binary()).to_pylist()
-            yield part.filter(pa.array([not bad for *_, bad in _judged(texts, blocks, share)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            kept = [not bad for *_, bad in _results(part, text_col, block, share)]
+            yield part.select(names).filter(pa.array(kept, pa.bool_()))
+
+    given = docs
+    if found is not None:
+        h, g = _keys(docs[text_col].cast("binary"))
+        given = docs.join(found.withColumnsRenamed({"h": "_h", "g": "_g", "found": "_found"}), (h == F.col("_h")) & (g == F.col("_g")), "left").drop("_h", "_g")
+    return given.mapInArrow(run, docs.schema)
