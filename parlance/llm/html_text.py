@@ -24,6 +24,7 @@ from .common import byte_slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg object select math canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_CODE = frozenset("script style".split())
 _CLOSES_SAME = frozenset("li dt dd tr td th option".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -35,9 +36,10 @@ Block = tuple[tuple[str, ...], list[str], int]
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: tag path (names and class words, outermost first), words, words inside links."""
+    """Leaf blocks in page order: tag path (distinct names and class words, outermost first, then the last three), words, words inside links."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []  # name, distinct names down to here, the last three of all
+    endless: set[str] = set()  # names without a later end tag
     counts: dict[str, int] = {}
     pieces: list[str] = []
     linked: list[str] = []
@@ -46,8 +48,7 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             words = "".join(pieces).split()
             if words:
-                path = tuple(x for name, tokens in stack[-12:] for x in (name, *tokens))
-                out.append((path, words, len("".join(linked).split())))
+                out.append((stack[-1][1] + stack[-1][2] if stack else (), words, len("".join(linked).split())))
             pieces.clear()
             linked.clear()
 
@@ -95,8 +96,15 @@ def blocks(page: str) -> list[Block]:
                 pop(name)
             continue
         if name in RAW:
-            close = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            if name in ("svg", "math") and m[3].endswith("/"):
+                continue
+            close = None if name in endless else re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif name in _CODE:
+                at = n
+            else:  # only the tag is skipped
+                endless.add(name)
             continue
         if name in INLINE:
             if name == "br":
@@ -109,7 +117,10 @@ def blocks(page: str) -> list[Block]:
                 pop(name)
         if name not in VOID:
             tokens = tuple(t for a, b, c in _NAMES.findall(m[3]) for t in _PART.findall((a or b or c).lower())) if m[3] else ()
-            stack.append((name, tokens[:6]))
+            names = (name, *tokens)
+            above, last = stack[-1][1:] if stack else ((), ())
+            new = tuple(x for x in dict.fromkeys(names) if x not in above)
+            stack.append((name, above + new if new else above, (last + names)[-3:]))
             counts[name] = counts.get(name, 0) + 1
     flush()
     return out

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, queries
+from parlance.llm import decontaminate, html_text, queries
 
 
 @pytest.mark.parametrize("block", [100_000, 3])
@@ -24,3 +24,17 @@ def test_items_without_id_hit(spark, block):
     assert {r.doc_id for r in got if r.contaminated} == {None, 1, 3, 5}
     clean = decontaminate.keep_clean(d, b, block_windows=block)
     assert clean.columns == d.columns and sorted(r.doc_id for r in clean.collect()) == [2, 4]
+
+
+@pytest.mark.parametrize("tag", ["<svg viewBox='0 0 1 1'/>", "<math/>", "<select>", "<object data=x>", "<audio>", "<video>", "<svg>"])
+def test_text_after_an_open_or_closed_tag_stays(tag):
+    assert [" ".join(b[1]) for b in html_text.blocks(f"<head>{tag}</head><p>one</p><article>two</article>")] == ["one", "two"]
+    page = f"<p>one</p><svg/><p>two</p><svg><text>drawn</text></svg>{tag}<p>three</p>"
+    assert [" ".join(b[1]) for b in html_text.blocks(page)] == ["one", "two", "three"]
+    assert html_text.blocks("<script>x <p>code</p>") == []
+
+
+def test_path_is_whole():
+    page = "<nav class='a b c d e f site menu'>" + "<div>" * 30 + "<em>text"
+    assert {"nav", "site", "menu", "div", "em"} <= set(html_text.blocks(page)[0][0])
+    assert len(html_text.blocks("<div class='x y'>t" * 20_000)[-1][0]) < 20
