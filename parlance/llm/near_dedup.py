@@ -232,6 +232,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     rows share their class; an empty table gives no rows; other columns are not read. A pair of exactly `percent` is
     missed by all bands with a probability of (1 - 0.75**5)**48 = 2e-6.
     """
+    return _classes(docs, size, percent, bands, rows, id_col, text_col).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each row of docs: doc_id, mark (a hash of the text), n_shingles, label of the class (null if wordless), component_id."""
     source = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text")
     source = source.withColumn("row", F.struct(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("mark")))
     found = stored(_described(source, size, bands, rows), "sketches")
@@ -268,10 +273,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     label = joined.select(F.col("u").alias("node"), F.col("v").alias("label"))
     members = nodes.select("node", "first_id").join(label, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     least = members.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = members.join(least, "label").select("node", "component_id")
-    own = found.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
+    classes = members.join(least, "label").select("node", "label", "component_id")
+    own = found.select("doc_id", F.col("row.mark").alias("mark"), "n_shingles", "node").join(classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return own.select("doc_id", "mark", "n_shingles", "label", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,5 +284,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows without an id cannot be told apart by it and stay as they are.
     """
-    kept = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = _classes(docs.where(F.col(id_col).isNotNull()), 5, 75, BANDS, ROWS, id_col, text_col)
+    alone = F.when(F.col("label").isNull(), F.struct("doc_id", "mark"))  # wordless: each (id, text) is its own class
+    kept = found.groupBy("label", alone.alias("alone")).agg(F.min(F.struct("doc_id", "mark")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.mark").alias("_mark"))
+    same = (docs[id_col].cast("bigint") == F.col("_id")) & (F.xxhash64(docs[text_col].cast("binary")) == F.col("_mark"))
+    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, html_text, queries
+from parlance.llm import decontaminate, html_text, near_dedup, queries
 
 
 @pytest.mark.parametrize("block", [100_000, 3])
@@ -38,3 +38,10 @@ def test_path_is_whole():
     page = "<nav class='a b c d e f site menu'>" + "<div>" * 30 + "<em>text"
     assert {"nav", "site", "menu", "div", "em"} <= set(html_text.blocks(page)[0][0])
     assert len(html_text.blocks("<div class='x y'>t" * 20_000)[-1][0]) < 20
+
+
+def test_one_row_of_a_class_with_a_shared_id(spark):
+    one, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = [(1, one), (5, one + " more"), (5, other), (6, other + " more"), (7, "x y"), (7, "x y"), (8, None), (8, "")]
+    kept = near_dedup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, one), (5, other), (7, "x y"), (8, None), (8, "")], key=str)
