@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,15 +66,68 @@ def _first(model, c):
     return log
 
 
+CASES = ["", None, "  two  spaces ", "\n\n a\nb  \n", "emoji 😀 literal <s> </s>", " " * 40 + "x", "a" * 3000, "ñ́ \t tab", " ", "a ", "x▁y ▁▁ z", "é\né 😀\n"]
+
+
+def _codec_holds(codec, cases):
+    flat, n, same, back = codec.encode(pa.array(cases, pa.string()))
+    ends = np.cumsum(n)
+    ids = [flat[e - k : e].tolist() for e, k in zip(ends, n, strict=True)]
+    assert ids == [codec.reference.encode((t or "").replace("▁", " ")) for t in cases]
+    assert same.all()
+    return ids, back
+
+
 def test_sentencepiece_parity_on_whole_texts(texts):
+    with open(sentencepiece_codec.DEFAULT_MODEL, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read(), most=2000)  # trimmed many times
+    cases = [t for _, t in texts[:120]] + CASES
+    for i in range(0, len(cases), 30):
+        ids, back = _codec_holds(codec, cases[i : i + 30])
+        assert back.all() and codec.decode(ids) == [(t or "").replace("▁", " ") for t in cases[i : i + 30]]
+
+
+def _message(fields):
+    """Protobuf bytes of (number, value): ints as varints, floats as fixed 32 bits, bytes with their length."""
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + np.float32(value).tobytes()
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("prefix", [True, False])
+def test_sentencepiece_unigram_models(texts, fallback, prefix):
+    """A unigram model of written-down pieces and scores, none of them trained."""
+    rng = random.Random(9)
+    chars = sorted({c for _, t in texts[:40] for c in t if c not in " \n"})
+    whole = sorted({w for _, t in texts[:40] for w in t.split()})[:400]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{k:02X}>", 0.0, 6) for k in range(256) if fallback]
+    pieces += [(p, -1 - 9 * rng.random(), 1) for p in sorted({*chars, "▁", *("▁" + w for w in whole), *(w[:3] for w in whole if len(w) > 3)})]
+    model = b"".join(_message([(1, _message([(1, p.encode()), (2, float(s)), (3, k)]))]) for p, s, k in pieces)
+    trainer = [(3, 1), (35, int(fallback)), (40, 0), (41, 1), (42, 2), (43, 2**64 - 1)]
+    model += _message([(2, _message(trainer)), (3, _message([(1, b"identity"), (3, int(prefix)), (4, 0), (5, 1)]))])
+    codec = sentencepiece_codec.Codec(model)
+    assert codec.spec.kind == sentencepiece_codec.UNIGRAM and codec.spec.byte_fallback == fallback and codec.prefixed == prefix
+    _codec_holds(codec, [t for _, t in texts[:40]] + CASES)
+
+
+def test_sentencepiece_flags_a_part_that_differs(texts):
     with open(sentencepiece_codec.DEFAULT_MODEL, "rb") as f:
         codec = sentencepiece_codec.Codec(f.read())
-    cases = [t for _, t in texts[:120]] + ["", "  two  spaces ", "\n\n a\nb  \n", "emoji 😀 literal <s> </s>", " " * 40 + "x", "a" * 3000, "ñ́ \t tab"]
-    ids, same = codec.encode(cases)
-    ids = [np.frombuffer(x, "<i4").tolist() for x in ids]
-    assert all(same)
-    assert ids == [codec.reference.encode(t) for t in cases]
-    assert codec.decode(ids) == cases
+    encode = codec.reference.encode
+    codec.reference = type("Wrong", (), {"encode": lambda _, lines, num_threads: [x[::-1] if "odd" in t else x for x, t in zip(encode(lines), lines, strict=True)]})()
+    same = codec.encode(pa.array(["one two three", "an oddity here", "four five", "an oddity"]))[2]
+    assert same.tolist() == [True, False, True, False]
 
 
 def test_sentencepiece_columns_decode_back(docs):
