@@ -65,105 +65,77 @@ def word_error_rate(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> Dat
     return rows.withColumn("ref_words", F.size(ref)).withColumn("wer", F.try_divide(F.col("edits"), F.col("ref_words")))
 
 
-def align(ref: list[str], hyp: list[str], tilted: bool = True) -> list[tuple[str, str | None, str | None]]:
-    """Cheapest path as (operation, reference word, hypothesis word); upper-case reference words are disfluent.
+#: Operations by their number in a table of steps, in the order in which a step is preferred.
+STEPS = ("match", "substitution", "deletion", "insertion")
 
-    Costs are sums kept in one grouping throughout, so that stepping back finds the very numbers that were stored: a step costs
-    (weight + tilt), where the tilt of an upper-case reference word makes deletion cheaper and all else dearer. A step
-    back prefers the diagonal if the cell equals its least neighbour and the tilt, then substitution, deletion, insertion.
-    """
-    n, m = len(ref), len(hyp)
-    tilt = [TILT if tilted and w.isupper() else 0 for w in ref]
-    if n * m > SMALL:
-        return _long_path(ref, hyp, tilt)
-    table = [[j * INSERT for j in range(m + 1)]]
-    for i, word in enumerate(ref):
-        e, low, above = tilt[i], word.lower(), table[i]
-        line = [(DELETE - e) * (i + 1)]
-        for j, other in enumerate(hyp):
-            line.append(min(line[j] + (INSERT + e), above[j + 1] + (DELETE - e), above[j] + (SUBSTITUTE * (low != other) + e)))
-        table.append(line)
-    path, i, j = [], n, m
-    while i or j:
-        e = tilt[i - 1]  # before the first word: that of the last
-        here = table[i][j]
-        near = min(([table[i - 1][j - 1], table[i - 1][j]] if i and j else [table[i - 1][j]] if i else []) + ([table[i][j - 1]] if j else []))
-        if i and j and here in (near + e, table[i - 1][j - 1] + (SUBSTITUTE + e)):
-            i, j = i - 1, j - 1
-            path.append(("match" if here == near + e else "substitution", ref[i], hyp[j]))
-        elif not j or (i and here == table[i - 1][j] + (DELETE - e)):
-            i -= 1
-            path.append(("deletion", ref[i], None))
-        elif not i or here == table[i][j - 1] + (INSERT + e):
-            j -= 1
-            path.append(("insertion", None, hyp[j]))
-        else:
-            i, j = i - 1, j - 1
-            path.append(("match", ref[i], hyp[j]))
-    return path[::-1]
 
+class _Diagonals:
+    """The cost table of a pair by its diagonals i + j = d, each made from the two before it in a few array operations.
 
-def _long_path(ref: list[str], hyp: list[str], tilt: list[float]) -> list[tuple[str, str | None, str | None]]:
-    """The path of align() without its table: diagonals of equal i + j, of which every k-th pair is kept, k about the root of their number.
-
-    Cells are the very sums of align(). The steps back of k diagonals at a time are found again from the pair before them.
+    A cell is the least of three sums: the cell above with (DELETE - tilt), the cell to the left with (INSERT + tilt), and the corner with
+    (SUBSTITUTE + tilt), or the tilt alone for equal words. Sums keep this grouping, so that equal costs are equal doubles.
     """
-    n, m = len(ref), len(hyp)
-    number: dict[str, int] = {}
-    low = np.array([number.setdefault(w.lower(), len(number)) for w in ref])
-    other = np.array([number.setdefault(w, len(number)) for w in hyp])[::-1]
-    e = np.array(tilt, np.float64)
-    every = max(2, math.isqrt(n + m))
-
-    def diagonal(d: int, before: np.ndarray, last: np.ndarray, steps: bool) -> tuple[np.ndarray, int, np.ndarray | None]:
-        """Costs of the cells (i, d - i), by i; of those off the edges, the first i and the steps back."""
-        here = np.empty(n + 1)
+
+    def __init__(self, ref: list[str], hyp: list[str], tilt: np.ndarray):
+        number: dict[str, int] = {}
+        self.n, self.m, self.tilt = len(ref), len(hyp), tilt
+        self.low = np.array([number.setdefault(w.lower(), len(number)) for w in ref], np.int64)
+        self.other = np.array([number.setdefault(w, len(number)) for w in hyp], np.int64)[::-1]
+
+    def after(self, d: int, before: np.ndarray, last: np.ndarray, steps: bool) -> tuple[np.ndarray, tuple[int, np.ndarray] | None]:
+        """Costs on diagonal d by i, from those on d - 2 and d - 1; if asked, the first i off the edges and the steps from there."""
+        n, m, here = self.n, self.m, np.empty(self.n + 1)
         if d <= m:
             here[0] = d * INSERT
         if d <= n:
-            here[d] = (DELETE - tilt[d - 1]) * d
+            here[d] = (DELETE - self.tilt[d - 1]) * d
         a, b = max(1, d - m), min(n, d - 1)
         if a > b:
-            return here, a, None
-        t = e[a - 1 : b]
+            return here, None
+        t = self.tilt[a - 1 : b]
         corner, above, left = before[a - 1 : b], last[a - 1 : b], last[a : b + 1]
-        differ = low[a - 1 : b] != other[m - d + a : m - d + b + 1]
+        differ = self.low[a - 1 : b] != self.other[m - d + a : m - d + b + 1]
         cost = np.minimum(np.minimum(left + (INSERT + t), above + (DELETE - t)), corner + (SUBSTITUTE * differ + t))
         here[a : b + 1] = cost
         if not steps:
-            return here, a, None
-        same = cost == np.minimum(np.minimum(corner, above), left) + t
-        kinds = [same, cost == corner + (SUBSTITUTE + t), cost == above + (DELETE - t), cost == left + (INSERT + t)]
-        return here, a, np.select(kinds, [0, 1, 2, 3], 0).astype(np.int8)
-
-    kept = {}
-    before, last = np.empty(n + 1), np.zeros(n + 1)  # of the diagonals -1 and 0
-    for d in range(1, n + m + 1):
-        if d % every == 1:
-            kept[d] = before, last
-        before, last = last, diagonal(d, before, last, False)[0]
-    path, i, j = [], n, m
-    while i or j:
-        d = i + j
-        first = (d - 1) // every * every + 1
-        before, last = kept.pop(first)
-        steps = {}
-        for k in range(first, d + 1):
-            here, a, found = diagonal(k, before, last, True)
-            steps[k] = a, found
-            before, last = last, here
+            return here, None
+        level = np.minimum(np.minimum(corner, above), left) + t  # what a free diagonal step from the least neighbour would cost
+        kinds = [cost == level, cost == corner + (SUBSTITUTE + t), cost == above + (DELETE - t), cost == left + (INSERT + t)]
+        return here, (a, np.select(kinds, range(4), 0).astype(np.int8))
+
+
+def align(ref: list[str], hyp: list[str], tilted: bool = True) -> list[tuple[str, str | None, str | None]]:
+    """Cheapest path as (operation, reference word, hypothesis word); upper-case reference words are disfluent.
+
+    With a tilt, deletion of a disfluent word is cheaper by it and all else dearer. Reference words are lower-cased to be compared. Of
+    equal steps the first of STEPS is taken, where a cell at the level of its least neighbour and the tilt counts as a match. The table is not kept:
+    every k-th pair of diagonals is, k about the root of their number, and the steps of k diagonals at a time are found again from it.
+    """
+    tilt = np.array([TILT if tilted and w.isupper() else 0.0 for w in ref])
+    table, total = _Diagonals(ref, hyp, tilt), len(ref) + len(hyp)
+    every = total if len(ref) * len(hyp) <= SMALL else math.isqrt(total)
+    kept, pair = [], (np.empty(len(ref) + 1), np.zeros(len(ref) + 1))  # of the diagonals -1 and 0
+    for d in range(1, total + 1):
+        if d % every == 1 or every == 1:
+            kept.append((d, pair))
+            if d + every > total:
+                break
+        pair = pair[1], table.after(d, *pair, False)[0]
+    path, i, j = [], len(ref), len(hyp)
+    for first, pair in reversed(kept):
+        steps = []
+        for d in range(first, i + j + 1):
+            here, found = table.after(d, *pair, True)
+            steps.append(found)
+            pair = pair[1], here
         while i + j >= first:
-            a, found = steps[i + j]
-            step = 2 if not j else 3 if not i else int(found[i - a])
-            if step < 2:
-                i, j = i - 1, j - 1
-                path.append(("substitution" if step else "match", ref[i], hyp[j]))
-            elif step == 2:
-                i -= 1
-                path.append(("deletion", ref[i], None))
+            if i and j:
+                a, found = steps[i + j - first]
+                kind = STEPS[found[i - a]]
             else:
-                j -= 1
-                path.append(("insertion", None, hyp[j]))
+                kind = STEPS[2 if i else 3]
+            i, j = i - (kind != "insertion"), j - (kind != "deletion")
+            path.append((kind, None if kind == "insertion" else ref[i], None if kind == "deletion" else hyp[j]))
     return path[::-1]
 
 
