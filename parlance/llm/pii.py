@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\W_]+|\s+|[\W_]")
 _TRIGGER = re.compile(r"[0-9@]+")
+_REST = re.compile(r"[^\W_]*")
 
 Span = tuple[str, int, int]
 
@@ -89,25 +92,40 @@ def _kind(c: str) -> str:
 
 
 def windows(text: str, reach: int = 48) -> Iterator[tuple[int, int]]:
-    """Stretches around digits, at signs and credential words; those that overlap are one."""
+    """Stretches around digits, at signs and credential words, out to the ends of the tokens they would cut; those that meet are one."""
     marks = [m.span() for m in _TRIGGER.finditer(text)]
-    low = text.lower()
-    if len(low) == len(text):
-        for cue in _CREDENTIAL:
-            at = low.find(cue)
-            while at >= 0:
-                marks.append((at, at + len(cue)))
-                at = low.find(cue, at + 1)
-    start = end = None
-    for a, b in sorted(marks):
-        if end is not None and a - reach <= end:
-            end = max(end, b + reach)
+    low = text.replace("\u0130", "_").lower()  # the one letter whose lower case is longer
+    for cue in _CREDENTIAL:
+        at = low.find(cue)
+        while at >= 0:
+            marks.append((at, at + len(cue)))
+            at = low.find(cue, at + 1)
+    marks.sort()
+    near: list[list[int]] = []
+    for a, b in marks:
+        if near and a - reach <= near[-1][1]:
+            near[-1][1] = max(near[-1][1], b + reach)
         else:
-            if end is not None:
-                yield start, min(len(text), end)
-            start, end = max(0, a - reach), b + reach
-    if end is not None:
-        yield start, min(len(text), end)
+            near.append([max(0, a - reach), b + reach])
+    start = end = 0
+    for a, b in near:
+        b = min(b, len(text))
+        while a > end and _inside(text, a):  # end: no further back than the last stretch
+            a -= 1
+        if b < len(text) and _inside(text, b):
+            b = _REST.match(text, b).end()
+        if a > end:
+            if end:
+                yield start, end
+            start = a
+        end = max(end, b)
+    if end:
+        yield start, end
+
+
+def _inside(text: str, at: int) -> bool:
+    """Whether a place lies inside a token of letters and digits."""
+    return text[at - 1].isalnum() and text[at].isalnum()
 
 
 class Lattice:
@@ -328,13 +346,12 @@ def trained(n: int = 900, epochs: int = 6, seed: int = 11, rate: float = 0.3, de
 def all_spans(text: str, field: Field) -> list[Span]:
     """Pattern spans, and the field's that touch none of them."""
     base = base_spans(text)
-    more = field.spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    out, k = list(base), 0
-    for kind, a, b in sorted(more, key=lambda s: s[1]):
-        while k < len(taken) and taken[k][1] <= a and all(y <= a for _, y in taken[k : k + 4]):
-            k += 1
-        if not any(x < b and a < y for x, y in taken[k : k + 8]):
+    ordered = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in ordered], list(accumulate((b for _, b in ordered), max))
+    out = list(base)
+    for kind, a, b in field.spans(text):
+        before = bisect_left(starts, b)  # pattern spans that begin before this one's end
+        if not before or ends[before - 1] <= a:
             out.append((kind, a, b))
     return sorted(out, key=_order)
 
@@ -379,7 +396,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by its kind; all columns and rows stay, a null text stays null."""
+    """docs with every span of the text replaced by its kind; all columns and rows stay, a null text stays null, an empty one empty.
+
+    Repeated rows stay and are masked alike; an empty table gives none.
+    """
     sent = _shipped(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

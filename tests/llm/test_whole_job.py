@@ -1,11 +1,13 @@
 """Whole jobs where an operator once did less: null ids, blocks, markup."""
 
+import random
+
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, html_text, near_dedup, queries
+from parlance.llm import decontaminate, html_text, near_dedup, pii, queries
 
 
 @pytest.mark.parametrize("block", [100_000, 3])
@@ -45,3 +47,38 @@ def test_one_row_of_a_class_with_a_shared_id(spark):
     docs = [(1, one), (5, one + " more"), (5, other), (6, other + " more"), (7, "x y"), (7, "x y"), (8, None), (8, "")]
     kept = near_dedup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, one), (5, other), (7, "x y"), (8, None), (8, "")], key=str)
+
+
+@pytest.mark.parametrize("before", ["", "İ ", "ß İİ\n"])
+def test_secrets_go_whole(before):
+    field = pii.trained()
+    for secret in ("Hunter2024x", "a1b2" * 75, "Qx7" + "z" * 300, "abcdefghijkl" * 8):
+        text = f"{before}some words password={secret} and more words"
+        masked = pii.masked(text, pii.all_spans(text, field))
+        assert secret not in masked and secret[-20:] not in masked and masked.endswith(" and more words") and masked.startswith(before + "some words password="), masked
+    text = before + "password: Hunter2024x secret=abcdefghijkl"
+    assert [k for k, _, _ in pii.all_spans(text, field)] == ["secret", "secret"]
+
+
+def test_windows_are_disjoint_and_cut_no_token():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bcd" * rng.randrange(40), " ", " word", "1", "@", "password ", "é", "-"]) for _ in range(60))
+        found = list(pii.windows(text))
+        assert all(0 <= a < b <= len(text) for a, b in found) and all(x[1] < y[0] for x, y in zip(found, found[1:], strict=False))
+        assert all(any(a <= k < b for a, b in found) for k, c in enumerate(text) if c in "01@")
+        assert not any(text[k - 1].isalnum() and text[k].isalnum() for w in found for k in w if 0 < k < len(text))
+    for t in ("a1" * 200_000, ("z" * 500 + "1 ") * 400, "1" * 300_000, "z" * 500_000 + "@"):
+        assert sum(b - a for a, b in pii.windows(t)) <= len(t)
+
+
+def test_no_span_of_the_field_touches_a_pattern_span():
+    class Given:
+        def __init__(self, spans):
+            self.spans = lambda _: spans
+
+    text = "a@b.cd " * 12 + "1.2.3.4 +1 234 567 8901 4539148803436467 tail"
+    base = pii.base_spans(text)
+    more = [("secret", a, a + n) for n in (1, 5, 40, 90) for a in range(0, len(text) - n, 3)]
+    got = [s for s in pii.all_spans(text, Given(more)) if s[0] == "secret"]
+    assert got == sorted(s for s in more if not any(a < s[2] and s[1] < b for _, a, b in base))
