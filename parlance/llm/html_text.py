@@ -26,29 +26,47 @@ RAW = frozenset("script style noscript template textarea iframe svg object selec
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CODE = frozenset("script style".split())
 _CLOSES_SAME = frozenset("li dt dd tr td th option".split())
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 PATH, OWN, WORDS, SHARES = 64, 32, 64, 9
 INPUT = PATH + OWN + WORDS + SHARES
-Block = tuple[tuple[str, ...], list[str], int]
+#: An element: the one around it, its name and class words, the buckets that all names down to here fall into (a bit each), the last three names.
+Node = tuple["Node | None", tuple[str, ...], int, tuple[str, ...]]
+#: Element, words, words inside links.
+Block = tuple[Node | None, list[str], int]
+
+
+@lru_cache(maxsize=20_000)
+def _bit(name: str) -> int:
+    return 1 << zlib.crc32(name.encode()) % PATH
+
+
+def path(node: Node | None) -> list[str]:
+    """Names and class words from an element outwards."""
+    out = []
+    while node:
+        out += reversed(node[1])
+        node = node[0]
+    return out
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: tag path (distinct names and class words, outermost first, then the last three), words, words inside links."""
+    """Leaf blocks in page order. An element costs the same however deep it lies, as it holds the one around it and not its path."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []  # name, distinct names down to here, the last three of all
+    stack: list[tuple[str, Node]] = []
     endless: set[str] = set()  # names without a later end tag
     counts: dict[str, int] = {}
     pieces: list[str] = []
     linked: list[str] = []
+    last_end = page.rfind(">")
 
     def flush() -> None:
         if pieces:
             words = "".join(pieces).split()
             if words:
-                out.append((stack[-1][1] + stack[-1][2] if stack else (), words, len("".join(linked).split())))
+                out.append((stack[-1][1] if stack else None, words, len("".join(linked).split())))
             pieces.clear()
             linked.clear()
 
@@ -78,9 +96,9 @@ def blocks(page: str) -> list[Block]:
             end = page.find("-->", opened + 4) if page.startswith("<!--", opened) else page.find(">", opened)
             at = n if end < 0 else end + (3 if page.startswith("<!--", opened) else 1)
             continue
-        m = _TAG.match(page, opened)
+        m = _TAG.match(page, opened) if opened < last_end else None
         if not m:
-            end = page.find(">", opened) if nxt.isalpha() or nxt == "/" else -1
+            end = page.find(">", opened) if opened < last_end and (nxt.isalpha() or nxt == "/") else -1
             if end < 0:
                 add("<")
                 at = opened + 1
@@ -118,20 +136,21 @@ def blocks(page: str) -> list[Block]:
         if name not in VOID:
             tokens = tuple(t for a, b, c in _NAMES.findall(m[3]) for t in _PART.findall((a or b or c).lower())) if m[3] else ()
             names = (name, *tokens)
-            above, last = stack[-1][1:] if stack else ((), ())
-            new = tuple(x for x in dict.fromkeys(names) if x not in above)
-            stack.append((name, above + new if new else above, (last + names)[-3:]))
+            around = stack[-1][1] if stack else None
+            bits, last = around[2:] if around else (0, ())
+            for x in names:
+                bits |= _bit(x)
+            stack.append((name, (around, names, bits, (last + names)[-3:])))
             counts[name] = counts.get(name, 0) + 1
     flush()
     return out
 
 
 @lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _path_vector(bits: int, last: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(PATH + OWN, np.float32)
-    for x in path:
-        v[zlib.crc32(x.encode()) % PATH] = 1
-    for x in path[-3:]:
+    v[[k for k in range(PATH) if bits >> k & 1]] = 1
+    for x in last:
         v[PATH + zlib.crc32(b"own" + x.encode()) % OWN] = 1
     return v
 
@@ -147,14 +166,14 @@ class _Buckets(dict):
 _BUCKETS = _Buckets()
 
 
-def vectors(pages: list[list[Block]]) -> np.ndarray:
-    """A row for each block of the pages, in order."""
+def vectors(pages: list[list[Block]], first: int = 0, of: int | None = None) -> np.ndarray:
+    """A row for each block of the pages, in order; of a stretch of a page, whose first block is number `first` of `of`."""
     flat = [b for page in pages for b in page]
     x = np.zeros((len(flat), INPUT), np.float32)
     if not flat:
         return x
     n = np.fromiter((len(w) for _, w, _ in flat), np.int64, len(flat))
-    x[:, : PATH + OWN] = np.stack([_path_vector(p) for p, _, _ in flat])
+    x[:, : PATH + OWN] = np.stack([_path_vector(*(p[2:] if p else (0, ()))) for p, _, _ in flat])
     ids = np.fromiter((_BUCKETS[w] for _, words, _ in flat for w in words), np.int64, int(n.sum()))
     bag = np.bincount(np.repeat(np.arange(len(flat)), n) * WORDS + ids, minlength=len(flat) * WORDS)
     x[:, PATH + OWN : -SHARES] = bag.reshape(-1, WORDS) / n[:, None] * 2
@@ -164,7 +183,7 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
     share[:, 2] = np.fromiter((w[-1][-1] in ".!?\"" for _, w, _ in flat), np.float32, len(flat))
     share[:, 3] = np.fromiter((any(not c.isalnum() for c in w[0][:1]) for _, w, _ in flat), np.float32, len(flat))
     share[:, 4] = np.fromiter((w[0][0] == "©" for _, w, _ in flat), np.float32, len(flat))
-    place = np.concatenate([np.arange(len(p)) / max(1, len(p) - 1) for p in pages if p])
+    place = np.concatenate([(first + np.arange(len(p))) / max(1, (of or len(p)) - 1) for p in pages if p])
     share[:, 5], share[:, 6] = place, 1 - place
     share[:, 7] = n < 6
     share[:, 8] = n > 20
@@ -191,12 +210,15 @@ class Labeller:
         self.weights["o"] = rng.normal(0, (2 * h) ** -0.5, 2 * h).astype(np.float32)
         self.weights["p"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """Outputs (time, page, cell) of padded pages in one direction; keep gets what training needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None, begin: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """Outputs (time, page, cell) of padded pages in one direction, and the last state; keep gets what training needs.
+
+        begin: the state that the stretch before (in this direction) ended in.
+        """
         time, pages, _ = x.shape
         h = self.hidden
         z = x @ self.weights[f"x{d}"] + self.weights[f"c{d}"]
-        state = cell = np.zeros((pages, h), np.float32)
+        state, cell = begin or (np.zeros((pages, h), np.float32),) * 2
         out = np.zeros((time, pages, h), np.float32)
         for t in range(time) if d == "f" else range(time - 1, -1, -1):
             gates = z[t] + state @ self.weights[f"h{d}"]
@@ -210,15 +232,27 @@ class Labeller:
             cell = np.where(m, fresh, cell)
             state = np.where(m, o * squashed, state)
             out[t] = state
-        return out
+        return out, (state, cell)
 
     def probabilities(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         steps = ([], []) if keep is not None else (None, None)
-        both = np.concatenate([self._run(x, mask, "f", steps[0]), self._run(x, mask, "b", steps[1])], axis=2)
+        both = np.concatenate([self._run(x, mask, d, own)[0] for d, own in zip("fb", steps, strict=True)], axis=2)
         if keep is not None:
             keep |= {"f": steps[0], "b": steps[1], "both": both}
         return _sigmoid(both @ self.weights["o"] + self.weights["p"][0])
 
+    def long_probabilities(self, page: list[Block], cells: int) -> np.ndarray:
+        """Those of one page, by stretches of `cells` blocks that hand on the state: no array grows with the page but one number a block."""
+        n, h = len(page), self.hidden
+        total = np.full(n, self.weights["p"][0], np.float32)
+        for side, d in enumerate("fb"):
+            state, cuts = None, range(0, n, cells)
+            for a in cuts if d == "f" else reversed(cuts):
+                x = vectors([page[a : a + cells]], a, n)[:, None]
+                out, state = self._run(x, np.ones((len(x), 1), bool), d, None, state)
+                total[a : a + len(x)] += out[:, 0] @ self.weights["o"][side * h : (side + 1) * h]
+        return _sigmoid(total)
+
     def slopes(self, x: np.ndarray, mask: np.ndarray, truth: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         keep: dict = {}
         p = self.probabilities(x, mask, keep)
@@ -243,19 +277,24 @@ class Labeller:
         loss = -np.log(np.clip(np.where(truth, p, 1 - p), 1e-7, 1))[mask].mean()
         return out, float(loss)
 
-    def label(self, pages: list[list[Block]], group: int = 128) -> list[np.ndarray]:
-        """For each page, whether each block is article text."""
-        x = vectors(pages)
-        sizes = np.fromiter(map(len, pages), np.int64, len(pages))
-        start = np.cumsum(sizes) - sizes
+    def label(self, pages: list[list[Block]], group: int = 128, cells: int = 8192) -> list[np.ndarray]:
+        """For each page, whether each block is article text.
+
+        Pages of like length run together: at most `group`, and at most `cells` places with the padding. Longer pages run alone.
+        """
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = [k for k in np.argsort(sizes, kind="stable").tolist() if sizes[k]]
-        for a in range(0, len(order), group):
-            own = order[a : a + group]
-            padded, mask = _padded([x[start[k] : start[k] + sizes[k]] for k in own])
-            p = self.probabilities(padded, mask)
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+        while order:
+            k = order[-1]
+            if len(pages[k]) > cells:
+                out[order.pop()] = self.long_probabilities(pages[k], cells) >= 0.5
+                continue
+            own = order[-min(group, cells // len(pages[k])) :]
+            del order[-len(own) :]
+            rows, sizes = vectors([pages[k] for k in own]), [len(pages[k]) for k in own]
+            p = self.probabilities(*_padded(np.split(rows, np.cumsum(sizes)[:-1])))
             for at, k in enumerate(own):
-                out[k] = p[: sizes[k], at] >= 0.5
+                out[k] = p[: sizes[at], at] >= 0.5
         return out
 
 
@@ -296,7 +335,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[str]]]:
             "side": lambda: f'<{(t := pick("aside", "div"))} class="{pick("sidebar", "side", "widget", "related", "recommended", "popular", "more")}"><h3>{prose(1, 4)}</h3>{pick(f"<ul>{links(rng.integers(2, 6))}</ul>", f"<p>{some()}</p>")}</{t}>',
             "notice": lambda: f'<div class="{pick("cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "alert", "newsletter", "subscribe", "disclaimer")}"><p>{pick("We use cookies.", "Accept all cookies to go on.", "Subscribe now!", "", "")} {some()}</p>{pick("", "<button>Accept</button>")}</div>',
             "form": lambda: f'<form action="/{word()}" class="{pick("search", "login", "signup", "")}"><label>{some()}</label><input name="q"><button>{pick("Search", "Send", "Sign up", "Log in")}</button></form>',
-            "comments": lambda: f'<{(t := pick("section", "div", "ul"))} {pick("class", "id")}="{pick("comments", "comment-list", "discussion", "responses", "replies")}"><h3>{pick("Comments", "3 comments", "Responses", prose(1, 3))}</h3>' + "".join(f'<{(u := pick("div", "li", "article"))} class="{pick("comment", "reply", "comment-body")}"><p>{prose(3, 40)}</p></{u}>' for _ in range(rng.integers(1, 6))) + f"</{t}>",
+            "comments": lambda: f'<{(t := pick("section", "div", "ul"))} {pick("class", "id")}="{pick("comments", "comment-list", "discussion", "responses", "replies")}">{pick("<h3>Comments</h3>", "<h3>3 comments</h3>", "<h3>Responses</h3>", f"<h3>{prose(1, 3)}</h3>", "", "", "")}' + "".join(f'<{(u := pick("div", "li", "article"))} class="{pick("comment", "reply", "comment-body")}"><p>{prose(3, 40)}</p></{u}>' for _ in range(rng.integers(1, 6))) + f"</{t}>",
             "share": lambda: f'<div class="{pick("share", "social", "tags", "pagination", "byline meta", "author-bio")}">{pick(links(3, "span"), some())}</div>',
             "footer": lambda: pick(f"<footer>{pick('&copy; ', '', '© ')}{word()}.example.com &middot; {some()}</footer>", f'<div id="footer" class="{pick("footer", "site-footer", "copyright", "bottom")}"><p>{pick("&copy; 2020 ", "")}{some()}</p></div>', f"<footer><ul>{links(4)}</ul><p>{some()}</p></footer>"),
         }[kind]()
@@ -308,7 +347,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[str]]]:
             body.append((pick("p", "p", "p", "p", "h2", "li", "blockquote", "pre", "h3"), prose(1, pick(3, 12, 40, 120))))
         title = prose(1, pick(5, 12))
         inner, truth = "", []
-        if chance(0.85):
+        if chance(0.7):
             inner += f"<h1>{title}</h1>"
             truth.append(title)
         plain = chance(0.15)
@@ -328,16 +367,22 @@ def examples(n: int, seed: int) -> list[tuple[str, list[str]]]:
         article = {
             "article": lambda: f"<article>{inner}</article>", "main": lambda: f"<main>{inner}</main>", "content": lambda: f'<div class="{pick("content", "entry-content", "article-body", "main", "text", "story")}">{inner}</div>', "post": lambda: f'<div id="{pick("post", "main", "article")}-{rng.integers(9)}" class="post">{inner}</div>',
             "nested": lambda: f'<main><article class="{pick("post", "hentry")}"><div class="body">{inner}</div></article></main>', "table": lambda: f"<table><tr><td>{inner}</td></tr></table>", "bare": lambda: inner,
-        }[wrap]()
-        before = [k for k in ("notice", "header", "nav", "form", "ad", "side") if chance(0.4)]
+        }[wrap]
+        def deep(part: str) -> str:
+            k = pick(0, 0, 0, 0, 0, 1, 3, 8, 20)
+            wrap = pick("<div>", "<div>", f'<div class="{word()}">', f'<section id="{word()}">')
+            return wrap * k + part + f"</{wrap[1:4] if wrap[1] == 'd' else 'section'}>" * k
+
+        before = [k for k in ("notice", "header", "nav", "form", "ad", "side") if chance(0.5)] if chance(0.7) else []
         after = [k for k in ("share", "side", "ad", "comments", "form", "notice") if chance(0.35)] + (["footer"] if chance(0.85) else [])
-        parts = [f"<title>{pick(title, title[:60], prose(2, 8))}</title>" if chance(0.9) else "", *(junk(k) for k in before), article, *(junk(k) for k in after)]
-        out.append(("<!DOCTYPE html><html><head>" + parts[0] + "</head><body>" + "".join(parts[1:]) + pick("</body></html>", "</body></html>", ""), truth))
+        body_open, body_close = pick(("", ""), ("", ""), ("", ""), ("<div>" * (k := int(rng.integers(1, 25))), "</div>" * k))
+        parts = [f"<title>{pick(title, title[:60], prose(2, 8))}</title>" if chance(0.65) else "", *(deep(junk(k)) for k in before), deep(article()), *(deep(junk(k)) for k in after)]
+        out.append(("<!DOCTYPE html><html><head>" + parts[0] + "</head><body>" + body_open + "".join(parts[1:]) + body_close + pick("</body></html>", "</body></html>", ""), truth))
     return out
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 700, epochs: int = 8, batch: int = 20, seed: int = 5, rate: float = 0.01) -> Labeller:
+def trained(n: int = 900, epochs: int = 9, batch: int = 20, seed: int = 5, rate: float = 0.01) -> Labeller:
     """The labeller after `epochs` passes of Adam over n made pages."""
     data = []
     for page, truth in examples(n, seed):
@@ -345,7 +390,7 @@ def trained(n: int = 700, epochs: int = 8, batch: int = 20, seed: int = 5, rate:
         left = [" ".join(entities.unescape(t).split()) for t in truth]
         label = np.zeros(len(own), bool)
         for k, (_, words, _) in enumerate(own):
-            if left and " ".join(words) == left[0] and not (k == 0 and own[k][0][-1:] == ("title",)):
+            if left and " ".join(words) == left[0] and not (k == 0 and own[k][0] and own[k][0][1] == ("title",)):
                 label[k] = True
                 left.pop(0)
         data.append((vectors([own]), label))

@@ -154,10 +154,60 @@ def test_html_blocks_of_broken_markup():
     assert html_text.blocks("<" * 20_000) and html_text.blocks("") == []
 
 
+def _plain_lstm(model, x):
+    """One page, one cell at a time."""
+    w, h = model.weights, model.hidden
+    total = [float(w["p"][0])] * len(x)
+    squash = lambda v: 1 / (1 + math.exp(-v))
+    for side, d in enumerate("fb"):
+        state, cell = [0.0] * h, [0.0] * h
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            z = [float(w[f"c{d}"][k]) + float(x[t] @ w[f"x{d}"][:, k]) + sum(state[j] * float(w[f"h{d}"][j, k]) for j in range(h)) for k in range(4 * h)]
+            cell = [squash(z[h + k]) * cell[k] + squash(z[k]) * math.tanh(z[3 * h + k]) for k in range(h)]
+            state = [squash(z[2 * h + k]) * math.tanh(cell[k]) for k in range(h)]
+            total[t] += sum(state[k] * float(w["o"][side * h + k]) for k in range(h))
+    return [squash(v) for v in total]
+
+
+def test_html_lstm_is_the_plain_one():
+    model = html_text.Labeller(hidden=5, seed=2)
+    pages = [html_text.blocks(page) for page, _ in html_text.examples(6, 77)]
+    x, mask = html_text._padded([html_text.vectors([p]) for p in pages])
+    got = model.probabilities(x, mask)
+    for k, page in enumerate(pages):
+        want = _plain_lstm(model, html_text.vectors([page]))
+        assert np.allclose(got[: len(page), k], want, atol=1e-5)
+        assert np.allclose(model.long_probabilities(page, 3), want, atol=1e-5)
+    whole = model.label(pages)
+    assert all((a == b).all() for a, b in zip(whole, model.label(pages, cells=4), strict=True))
+    assert all((a == model.label([p])[0]).all() for a, p in zip(whole, pages, strict=True))
+
+
+def test_html_slopes_are_finite_differences():
+    model = html_text.Labeller(hidden=4, seed=3)
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    pages = [html_text.blocks(page) for page, _ in html_text.examples(3, 78)]
+    x, mask = html_text._padded([html_text.vectors([p]) for p in pages])
+    rng = np.random.default_rng(0)
+    truth = rng.random(mask.shape) < 0.5
+    slopes, _ = model.slopes(x.astype(np.float64), mask, truth)
+    for name, w in model.weights.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in w.shape)
+            if name.startswith("x"):
+                at = (int(rng.choice(np.flatnonzero(np.abs(x).sum(axis=(0, 1))))), at[1])
+            was, found = w[at], []
+            for step in (1e-3, -1e-3):
+                w[at] = was + step
+                found.append(model.slopes(x.astype(np.float64), mask, truth)[1])
+            w[at] = was
+            assert abs((found[0] - found[1]) / 2e-3 - slopes[name][at]) < 2e-4 * max(1, abs(slopes[name][at])), name
+
+
 def test_html_real_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_text.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
-        want = [" ".join(b[1]) for b in html_text.blocks(r.html) if "article" in b[0]]
+        want = [" ".join(b[1]) for b in html_text.blocks(r.html) if "article" in html_text.path(b[0])]
         assert r.text == "\n\n".join(want) and r.n_chars == len(r.text)
 
 

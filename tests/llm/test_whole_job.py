@@ -1,6 +1,8 @@
 """Whole jobs where an operator once did less: null ids, blocks, markup."""
 
 import random
+import time
+import tracemalloc
 
 import duckdb
 import pandas as pd
@@ -38,8 +40,34 @@ def test_text_after_an_open_or_closed_tag_stays(tag):
 
 def test_path_is_whole():
     page = "<nav class='a b c d e f site menu'>" + "<div>" * 30 + "<em>text"
-    assert {"nav", "site", "menu", "div", "em"} <= set(html_text.blocks(page)[0][0])
-    assert len(html_text.blocks("<div class='x y'>t" * 20_000)[-1][0]) < 20
+    node = html_text.blocks(page)[0][0]
+    assert {"nav", "site", "menu", "div", "em"} <= set(html_text.path(node))
+    assert all(node[2] & html_text._bit(x) for x in ("nav", "site", "menu", "div", "em"))
+
+
+def test_comments_in_deep_pages_are_no_article():
+    model = html_text.trained()
+    article = "<article>" + "".join(f"<p>{' '.join(f'word{k}x{j}' for j in range(30))}.</p>" for k in range(5)) + "</article>"
+    comments = "<section class='comments'>{}" + "".join(f"<div class='comment'><p>{' '.join(f'reply{k}y{j}' for j in range(20))}.</p></div>" for k in range(4))
+    for depth in (0, 8, 13, 30, 2000):
+        page = f"<html><head><title>Some words</title></head><body>{'<div>' * depth}{article}{comments.format('<div>' * depth)}"
+        own = html_text.blocks(page)
+        got = [b[1][0][:4] for b, keep in zip(own, model.label([own])[0], strict=True) if keep]
+        assert got == ["word"] * 5, depth
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<p x='" * 170_000, "<p x='" * 170_000 + ">", "<!--" * 250_000, "<p>a" * 250_000, "".join(f"<div class=c{k}>" for k in range(60_000)) + "x", "<script " * 125_000, "<a b=\"'>" * 110_000, "</x" * 330_000 + ">"])
+def test_broken_pages_of_a_megabyte(page):
+    """Each within seconds, and in memory in proportion to the page."""
+    begin = time.process_time()
+    tracemalloc.start()
+    own = html_text.blocks(page)
+    if len(own) > 1000:
+        own = own[:20_000]
+    html_text.Labeller().label([own])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - begin < 60 and most < 500e6
 
 
 def test_one_row_of_a_class_with_a_shared_id(spark):
