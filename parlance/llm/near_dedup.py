@@ -9,8 +9,12 @@ Nodes are distinct shingle sets, not documents: equal sets cost one row each, ho
 give buckets. A bucket first links each member to its least member (a star, not pairs); links are verified on full sets and joined to
 components. Only members of one bucket that are still in different components are then compared, if two bits of
 each coordinate do not already rule the similarity out (by six deviations): in small buckets as pairs, in large ones inside
-tasks of at most 2 x CHUNK members, which give back only links between components. So no true link that the bands offer is lost,
-and no bucket is turned into its pairs.
+tasks, each for two chunks of the bucket. A first pass over the chunks carries signatures only; sets are fetched for members
+with a likely partner, and the second pass gives back only links between components. A bucket of m members has about
+the root of m / CHUNK chunks, so that a member goes to as many tasks and a task holds about twice the root of m x CHUNK of them. No true
+link that the bands offer is lost, and no bucket is turned into its pairs.
+
+Nodes are numbers that a written table gives to 16-byte digests of the sets, so different sets are never one node.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, stored, worker_state
+from .common import byte_slices, dropped, stored, worker_state
 from .components import components
 
 BANDS, ROWS = 48, 5
-#: Buckets of more members than SMALL are compared in blocks of two chunks of about CHUNK.
-SMALL, CHUNK = 16, 400
+#: Buckets of more members than SMALL are compared in blocks of two chunks; CHUNK sets their number, see above.
+SMALL, CHUNK = 16, 32
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -71,7 +75,16 @@ def shingle_set(text: bytes | None, size: int, words: Words) -> np.ndarray:
     h = np.full(n, width, np.uint64)
     for i in range(width):
         h = h * _PRIME + w[i : i + n]
-    return np.unique(_mix(h))
+    return distinct(_mix(h))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -128,36 +141,38 @@ def _differing(a: str, b: str, longs: int) -> Column:
     return sum((F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(even)) for x in both), F.lit(0))
 
 
-def _node(x: np.ndarray) -> int:
-    return int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(x: np.ndarray) -> bytes:
+    return blake2b(x.tobytes(), digest_size=16).digest()
 
 
 def _described(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set; null if empty) and bands of every document."""
+    """doc_id, n_shingles, digest of the set (null if empty), bands and signature of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
         for part in byte_slices(batches, "text", 2 << 20):
             sets = [shingle_set(t, size, words) for t in part.column("text").to_pylist()]
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            nodes = [_node(x) if len(x) else None for x in sets]
+            digests = [_digest(x) if len(x) else None for x in sets]
             sketch = sketches(sets, bands * rows)
             lists = []
             for values in (band_keys(sketch, bands), signatures(sketch)):
                 lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * values.shape[1], pa.int32()), pa.array(values.view(np.int64).ravel())))
-            yield pa.record_batch([part.column("doc_id"), part.column("row"), pa.array(n), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "row", "n_shingles", "node", "bands", "signature"])
+            yield pa.record_batch([part.column("doc_id"), part.column("row"), pa.array(n), pa.array(digests, pa.binary()), *lists], names=["doc_id", "row", "n_shingles", "digest", "bands", "signature"])
+
+    return docs.mapInArrow(run, "doc_id long, row struct<h:long,mark:long>, n_shingles long, digest binary, bands array<long>, signature array<long>")
 
-    return docs.mapInArrow(run, "doc_id long, row struct<h:long,mark:long>, n_shingles long, node long, bands array<long>, signature array<long>")
 
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """node, digest of the set and the set of rows (node, text)."""
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
         for part in byte_slices(batches, "text", 2 << 20):
             sets = [shingle_set(t, size, words) for t in part.column("text").to_pylist()]
-            yield pa.record_batch([pa.array([_node(x) if len(x) else None for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+            yield pa.record_batch([part.column("node"), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "digest", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles binary")
+    return rows.mapInArrow(run, "node long, digest binary, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,51 +185,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for a, b in zip(batch.column("u_set").to_pylist(), batch.column("v_set").to_pylist(), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(x) + len(y)
-                common = both - len(np.unique(np.concatenate([x, y])))
+                common = both - len(distinct(np.concatenate([x, y])))
                 keep.append(100 * common >= percent * (both - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
 
 
-def _compared(many: DataFrame, percent: int, coordinates: int, differing: int) -> DataFrame:
+def _likely(table: pa.Table, percent: int, differing: int, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs in a block that may be links between components, by tiles of rows: sizes fit, signatures differ little."""
+    label, n, chunk = (table.column(c).to_numpy() for c in ("label", "n", "chunk"))
+    signature = np.stack(table.column("signature").to_numpy()).view(np.uint64)
+    even, two = np.uint64(0x5555555555555555), table.column("a")[0].as_py() != table.column("b")[0].as_py()
+    tile = max(1, cells // len(n))
+    for i in range(0, len(n), tile):
+        own = slice(i, i + tile)
+        apart = np.zeros((len(n[own]), len(n)), np.uint16)
+        for k in range(signature.shape[1]):
+            x = signature[own, k, None] ^ signature[:, k]
+            apart += np.bitwise_count((x | x >> np.uint64(1)) & even)
+        ok = (apart <= differing) & (label[own, None] != label) & (n[own, None] * 100 >= n * percent) & (n * 100 >= n[own, None] * percent)
+        if two:
+            ok &= chunk[own, None] != chunk
+        u, v = np.nonzero(ok)
+        later = v > u + i
+        yield u[later] + i, v[later]
+
+
+def _compared(many: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, differing: int) -> DataFrame:
     """Links between components within large buckets, a spanning set of them for each block of members.
 
-    A bucket's members are dealt to chunks; each two chunks (and each with itself) are a block, so a block has at most about
-    2 x CHUNK members. A pair is looked at in the first band that it shares.
+    A bucket's members are dealt to chunks; each two chunks (and each with itself) are a block. A pair is looked at in the first
+    band that it shares.
     """
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    chunks = F.ceil(F.sqrt(F.col("members") / CHUNK)).cast("int")
     dealt = many.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")})
-
-    def run(table: pa.Table) -> pa.Table:
-        label, n, chunk, node = (table.column(c).to_numpy() for c in ("label", "n", "chunk", "node"))
-        packed = np.array(table.column("signature").to_pylist(), np.int64).view(np.uint64)
-        two = (packed[:, :, None] >> (np.arange(32, dtype=np.uint64) * np.uint64(2)) & np.uint64(3)).reshape(len(node), -1)[:, :coordinates]
-        hot = (two[:, :, None] == np.arange(4, dtype=np.uint64)).reshape(len(node), -1).astype(np.float32)
-        ok = coordinates - hot @ hot.T <= differing
-        ok &= (label[:, None] != label) & (n[:, None] * 100 >= n * percent) & (n * 100 >= n[:, None] * percent)
-        if table.column("a")[0].as_py() != table.column("b")[0].as_py():
-            ok &= chunk[:, None] != chunk
-        u, v = np.nonzero(np.triu(ok, 1))
-        keys = np.array(table.column("bands").to_pylist(), np.int64)
+    dealt = dealt.select("band", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node", "n", "label", "chunk", "signature")
+    schema = "band long, a int, b int, node long, n long, label long, chunk int, signature array<long>"
+
+    def partnered(table: pa.Table) -> pa.Table:
+        keep = np.zeros(table.num_rows, bool)
+        for pair in _likely(table, percent, differing):
+            for side in pair:
+                keep[side] = True
+        return table.filter(pa.array(keep))
+
+    def linked(table: pa.Table) -> pa.Table:
+        label, node = (table.column(c).to_numpy() for c in ("label", "node"))
+        keys = np.stack(table.column("bands").to_numpy())
         this = int(np.flatnonzero(keys[0] == table.column("band")[0].as_py())[0])
-        first = np.concatenate([np.zeros(0, bool), *((keys[u[i : i + 10_000]] == keys[v[i : i + 10_000]]).argmax(axis=1) == this for i in range(0, len(u), 10_000))])
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         root = {x: x for x in label.tolist()}
         found = []
-        for i, j in zip(u[first].tolist(), v[first].tolist(), strict=True):
-            x, y = _root(root, int(label[i])), _root(root, int(label[j]))
-            if x != y:
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    root[max(x, y)] = min(x, y)
-                    found.append((node[i], node[j]))
+        for u, v in _likely(table, percent, differing):
+            first = np.concatenate([np.zeros(0, bool), *((keys[u[i : i + 10_000]] == keys[v[i : i + 10_000]]).argmax(axis=1) == this for i in range(0, len(u), 10_000))])
+            for i, j in zip(u[first].tolist(), v[first].tolist(), strict=True):
+                x, y = _root(root, int(label[i])), _root(root, int(label[j]))
+                if x != y:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                        root[max(x, y)] = min(x, y)
+                        found.append((node[i], node[j]))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
-    return dealt.groupBy("band", "a", "b").applyInArrow(run, "u long, v long")
+    left = stored(dealt.groupBy("band", "a", "b").applyInArrow(partnered, schema), "partnered")
+    whole = left.join(nodes.select("node", "bands"), "node").join(sets.select("node", "shingles"), "node")
+    return whole.groupBy("band", "a", "b").applyInArrow(linked, "u long, v long")
 
 
 def _root(root: dict[int, int], x: int) -> int:
@@ -240,9 +278,9 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, id
     source = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text")
     source = source.withColumn("row", F.struct(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("mark")))
     found = stored(_described(source, size, bands, rows), "sketches")
-    nodes = stored(
-        found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes"
-    )
+    sets_of = found.where("digest is not null").groupBy("digest")
+    one = sets_of.agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = stored(one.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by being written
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "center")
     buckets = stored(banded.join(shared, "band"), "buckets")
@@ -253,39 +291,46 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, id
     center = nodes.select(F.col("node").alias("v"), F.col("n").alias("vn"))
     star = buckets.where("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v"), F.col("n").alias("un")).distinct()
     star = stored(star.join(center, "v").where(near("un", "vn")).select("u", "v"), "star")
-    wanted = buckets.select("node").distinct().join(nodes, "node").select("row")
-    sets = stored(_sets(source.join(wanted, "row", "left_semi"), size).where("node is not null").dropDuplicates(["node"]), "sets")
+    wanted = buckets.select("node").distinct().join(nodes, "node").select("row", "node", F.col("digest").alias("expected"))
+    fetched = _sets(source.join(wanted.drop("expected"), "row").select("node", "text"), size).join(wanted.select("node", "expected"), "node")
+    sets = stored(fetched.where("digest = expected").select("node", "shingles").dropDuplicates(["node"]), "sets")
     links = stored(_verified(star, sets, percent), "links")
+    dropped(star)
     joined = components(links)
     labelled = buckets.join(joined.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("members")).where("a <> b").select("band", "members")
     left = stored(labelled.join(mixed, "band").join(nodes.select("node", "signature"), "node"), "mixed")
+    dropped(buckets)
     few = left.where(F.col("members") <= SMALL).drop("members")
     right = few.select("band", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("label").alias("vlabel"), F.col("signature").alias("vsignature"))
     differing = most_differing(bands * rows, percent)
     likely = _differing("signature", "vsignature", -(-bands * rows // 32)) <= differing
     pairs = few.withColumnsRenamed({"node": "u", "n": "un"}).join(right, "band").where((F.col("u") > F.col("v")) & (F.col("label") != F.col("vlabel")) & near("un", "vn") & likely)
     more = _verified(pairs.select("u", "v").distinct(), sets, percent)
-    many = left.where(F.col("members") > SMALL).join(nodes.select("node", "bands"), "node").join(sets, "node")
-    more = stored(more.unionByName(_compared(many, percent, bands * rows, differing)), "links")
+    more = stored(more.unionByName(_compared(left.where(F.col("members") > SMALL), nodes, sets, percent, differing)), "links")
     if not more.isEmpty():
-        joined = components(joined.union(more))
+        before, joined = joined, components(joined.union(more))
+        dropped(before)
+    for table in (left, sets, links, more):
+        dropped(table)
     label = joined.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    members = nodes.select("node", "first_id").join(label, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+    members = nodes.select("digest", "node", "first_id").join(label, "node", "left").select("digest", "first_id", F.coalesce("label", "node").alias("label"))
     least = members.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = members.join(least, "label").select("node", "label", "component_id")
-    own = found.select("doc_id", F.col("row.mark").alias("mark"), "n_shingles", "node").join(classes, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    classes = members.join(least, "label").select("digest", "label", "component_id")
+    own = found.select("doc_id", F.col("row.mark").alias("mark"), "n_shingles", "digest").join(classes, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return own.select("doc_id", "mark", "n_shingles", "label", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate class, all columns; equal (id, text) rows are one.
+    """docs with one row of each near-duplicate class, all columns: that of the least id, or of no id if none of the class has one.
 
-    Rows without an id cannot be told apart by it and stay as they are.
+    Rows without an id are judged as all others. Wordless texts are near nothing: each different (id, text) of them is a class.
+    Of rows equal in id and text any one stays. An empty table gives none.
     """
-    found = _classes(docs.where(F.col(id_col).isNotNull()), 5, 75, BANDS, ROWS, id_col, text_col)
-    alone = F.when(F.col("label").isNull(), F.struct("doc_id", "mark"))  # wordless: each (id, text) is its own class
-    kept = found.groupBy("label", alone.alias("alone")).agg(F.min(F.struct("doc_id", "mark")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.mark").alias("_mark"))
-    same = (docs[id_col].cast("bigint") == F.col("_id")) & (F.xxhash64(docs[text_col].cast("binary")) == F.col("_mark"))
-    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = _classes(docs, 5, 75, BANDS, ROWS, id_col, text_col)
+    alone = F.when(F.col("label").isNull(), F.struct("doc_id", "mark"))
+    kept = found.groupBy("label", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r"))
+    kept = kept.select(F.col("r.doc_id").alias("_id"), F.col("r.mark").alias("_mark"))
+    same = docs[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("binary")) == F.col("_mark"))
+    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
