@@ -6,22 +6,28 @@ anchor and content, as hashes; an anchor seen once cannot repeat, and one that a
 throughout. Only the distinct pieces of the other anchors are fetched from the texts, dealt out by anchor, trimmed to what another piece may share, and
 put into a suffix array in each task: equal windows are neighbours in it. Documents gather their repeated windows and drop the bytes they cover.
 
+A common line has an anchor with a new context in every document. Such a group of more than `task_bytes` is split by the text around the
+anchor: a window lies at least half to its left or half to its right, so its piece's windows go to two groups, keyed by
+the half context on that side; again and again until groups are small or all of a group's windows are known to be equal.
+
 The suffix array is built as Baier's grouping does: suffixes are grouped by their first byte, groups are taken from the
 highest down, and each splits the groups of its members' previous smaller suffixes by how many of its members point there, until
-groups are Lyndon prefixes; a scan then emits each group's order by the same pointers. There is no recursion or renaming.
+groups are Lyndon prefixes; a scan then emits each group's order by the same pointers. There is no recursion or renaming. Members are
+put in order of position before a group is taken, which the pointers need here: that sort makes it n log n at worst where groups stay large.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, stored
+from .common import byte_slices, dropped, stored
 from .near_dedup import _mix
 
 GRAM = 50
@@ -220,13 +226,51 @@ def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.record_batch([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.bool_()), pa.array(list(cols[3]), pa.int64()), pa.array(list(cols[4]), pa.binary())], names=["anchor", "content", "often", "place", "piece"])
 
 
+def _halves(over: DataFrame, length: int) -> DataFrame:
+    """Rows of pieces, each split in two by where its windows lie about the anchor.
+
+    A row stands for the windows lo to hi of a piece, all of which hold `left` bytes before the anchor and `right` after it; these are in its key.
+    """
+    span = length - GRAM
+    half = F.ceil((F.lit(span) - F.col("left") - F.col("right")) / 2).cast("int")
+    cut = F.col("place") - F.col("left") - F.col("half") + 1  # windows before it hold half of what is open on the left
+    before = F.struct(F.col("lo").alias("lo"), F.least("hi", cut).alias("hi"), (F.col("left") + F.col("half")).alias("left"), F.col("right").alias("right"))
+    after = F.struct(F.greatest("lo", cut).alias("lo"), F.col("hi").alias("hi"), F.col("left").alias("left"), (F.lit(span) - F.col("left") - F.col("half") + 1).alias("right"))
+    rows = over.withColumn("half", half).withColumn("side", F.explode(F.array(before, after))).where("side.lo < side.hi")
+    known = F.expr(f"substring(piece, place - side.left + 1, side.left + side.right + {GRAM})")
+    key = F.xxhash64("anchor", "side.left", "side.right", known)
+    return rows.select("anchor", "content", "often", "place", "piece", key.alias("key"), "side.lo", "side.hi", "side.left", "side.right")
+
+
+def _bounded(pieces: DataFrame, length: int, task_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups (by key) of at most task_bytes; and rows of larger ones whose windows are all equal."""
+    ready, equal, now = [], [], pieces
+    for level in range(length.bit_length() + 2):
+        sizes = now.groupBy("key").agg(F.sum(F.octet_length("piece")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.max("often").alias("often"))
+        kinds = sizes.where("rows > 1 or often").select("key", (F.col("bytes") > task_bytes).alias("large"))  # a lone window repeats nowhere
+        judged = now.join(kinds, "key")
+        ready.append(judged.where("not large").drop("large"))
+        large = stored(judged.where("large").drop("large"), "large-groups")
+        known = F.col("left") + F.col("right") == length - GRAM
+        if large.isEmpty():
+            dropped(large)
+            break
+        if level:
+            equal.append(large.where(known))
+        now = _halves(large.where(~known), length)
+    else:  # what is open of a window's context halves in each round
+        raise RuntimeError("groups did not settle")
+    return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, equal) if equal else None
+
+
 def _sorted(table: pa.Table, length: int) -> pa.Table:
-    held: dict[int, dict[int, Piece]] = {}
-    for anchor, content, often, place, piece in zip(*(table.column(x).to_pylist() for x in ("anchor", "content", "often", "place", "piece")), strict=True):
-        held.setdefault(anchor, {})[content] = piece, place, often
-    runs = repeated_runs([list(g.values()) for g in held.values()], length)
-    ids = [(a, c) for a, g in held.items() for c in g]
-    return pa.table([pa.array([a for a, _ in ids], pa.int64()), pa.array([c for _, c in ids], pa.int64()), pa.array([r for g in runs for r in g], pa.list_(pa.int64()))], names=["anchor", "content", "runs"])
+    held: dict[tuple, list[tuple]] = {}
+    for row in zip(*(table.column(x).to_pylist() for x in ("key", "left", "right", "anchor", "content", "often", "place", "piece", "lo", "hi")), strict=True):
+        held.setdefault(row[:3], []).append(row[3:])
+    groups = [[(piece[lo : hi + length - 1], place - lo, often) for _, _, often, place, piece, lo, hi in g] for g in held.values()]
+    found = [(r[0], r[1], [x + r[5] for x in runs]) for g, own in zip(held.values(), repeated_runs(groups, length), strict=True) for r, runs in zip(g, own, strict=True) if runs]
+    a, c, runs = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["anchor", "content", "runs"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -253,7 +297,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, task_bytes: int = 256 <<
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in another document or the same.
     Null texts are empty; texts shorter than `length` stay whole. Repeated rows repeat each other. An empty table gives no
-    rows; other columns are not read. Texts equal in hash and id share one list of spans.
+    rows; other columns are not read. Texts equal in hash and id share one list of spans. No task gets more than about
+    task_bytes of pieces that may repeat, however many contexts a passage has.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text")
     rows = rows.withColumns({"h": F.xxhash64("doc_id"), "mark": F.xxhash64("text")})
@@ -266,10 +311,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, task_bytes: int = 256 <<
     first = several.groupBy("anchor", "content").agg(F.sum("weight").alias("n"), F.min(F.struct("h", "mark", "start", (F.col("windows") / F.col("weight")).cast("long").alias("windows"), "place")).alias("r"))
     wanted = first.groupBy(F.col("r.h").alias("h"), F.col("r.mark").alias("mark")).agg(F.collect_list(F.struct("anchor", "content", (F.col("n") > 1).alias("often"), "r.start", "r.windows", "r.place")).alias("wanted"))
     fetched = rows.select("h", "mark", "text").join(wanted, ["h", "mark"]).select("text", "wanted").mapInArrow(lambda it: _fetched(it, length), "anchor long, content long, often boolean, place long, piece binary")
-    fetched = stored(fetched, "pieces")
+    fetched = fetched.dropDuplicates(["anchor", "content"])  # repeated rows are fetched as often
+    whole = {"place": F.col("place").cast("int"), "key": F.col("anchor"), "lo": F.lit(0), "hi": F.octet_length("piece") - length + 1, "left": F.lit(0), "right": F.lit(0)}
+    fetched = stored(fetched.withColumns(whole), "pieces")
     size = fetched.agg(F.sum(F.octet_length("piece")).alias("n")).first()["n"] or 0
     parts = max(16, -(-size // task_bytes))
-    solved = fetched.withColumn("part", F.pmod("anchor", F.lit(parts))).groupBy("part").applyInArrow(lambda t: _sorted(t, length), "anchor long, content long, runs array<long>")
+    small, equal = _bounded(fetched, length, task_bytes)
+    solved = small.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(lambda t: _sorted(t, length), "anchor long, content long, runs array<long>")
+    if equal is not None:
+        solved = solved.unionByName(equal.select("anchor", "content", F.array(F.col("lo").cast("long"), F.col("hi").cast("long")).alias("runs")))
     pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda k: F.struct(F.get("runs", 2 * k).alias("x"), F.get("runs", 2 * k + 1).alias("y")))
     runs = solved.where(F.size("runs") > 0).select("anchor", "content", pairs.alias("pairs"))
     met = several.join(runs, ["anchor", "content"]).select("h", "mark", "start", "windows", "weight", F.explode("pairs").alias("p"))

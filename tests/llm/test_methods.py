@@ -399,7 +399,7 @@ def _near(sets):
     return {k: find(k) for k in ids}
 
 
-@pytest.mark.parametrize("small,chunk", [(16, 400), (1, 3)])
+@pytest.mark.parametrize("small,chunk", [(16, 32), (1, 0.5)])
 def test_near_duplicates(spark, texts, monkeypatch, small, chunk):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)

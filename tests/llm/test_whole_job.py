@@ -1,15 +1,17 @@
 """Whole jobs where an operator once did less: null ids, blocks, markup."""
 
+import hashlib
 import random
 import time
 import tracemalloc
+from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, html_text, near_dedup, pii, queries
+from parlance.llm import decontaminate, html_text, near_dedup, pii, queries, suffix_dedup
 
 
 @pytest.mark.parametrize("block", [100_000, 3])
@@ -110,3 +112,42 @@ def test_no_span_of_the_field_touches_a_pattern_span():
     more = [("secret", a, a + n) for n in (1, 5, 40, 90) for a in range(0, len(text) - n, 3)]
     got = [s for s in pii.all_spans(text, Given(more)) if s[0] == "secret"]
     assert got == sorted(s for s in more if not any(a < s[2] and s[1] < b for _, a, b in base))
+
+
+def test_rows_without_an_id_are_judged(spark):
+    one, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = [(None, one), (None, one), (3, one + " more"), (None, other), (None, other + " more"), (None, other), (None, None), (None, None), (None, "")]
+    kept = near_dedup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert (3, one + " more") in kept and (None, one) not in kept
+    assert sum(r.text in (other, other + " more") for r in kept) == 1 and len(kept) == 4
+
+
+def _plain_repeats(data, length):
+    seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    for b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        yield sum(gone), hashlib.sha256(bytes(x for x, y in zip(b, gone, strict=True) if not y)).hexdigest()
+
+
+@pytest.mark.parametrize("line", [60, 130, 199, 230])
+def test_a_common_line_with_a_new_context_in_every_text(spark, line):
+    """Groups of one anchor are split until they fit; those whose windows are all equal need no task."""
+    rng = random.Random(line)
+    draw = lambda n: bytes(rng.choice(b"abcdefghij ") for _ in range(n))
+    common = draw(line)
+    data = [draw(160 - k % 3) + common + draw(150 + k % 5) for k in range(60)] + [b"z" * 130 + common + draw(170) for _ in range(8)] + [draw(170) + common + b"y" * 90 + draw(20) for _ in range(8)]
+    data += [data[3][100:] + data[4], data[0]]
+    df = spark.createDataFrame([(k, b.decode()) for k, b in enumerate(data)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, task_bytes=1 << 11).collect()}
+    assert got == dict(enumerate(_plain_repeats(data, 200)))
+
+
+def test_a_hundred_thousand_contexts_of_one_line(spark):
+    line = "this very line stands in every one of a hundred thousand texts; "
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(line), F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 512)).alias("text"))
+    df = df.unionByName(df.where("id < 3").selectExpr("doc_id + 1000000 as doc_id", "text"))
+    got = suffix_dedup.remove_repeats(df).where("n_removed > 0").select("doc_id", "n_removed").collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 1000000, 1000001, 1000002} and {r.n_removed for r in got} == {256 + len(line)}
