@@ -3,11 +3,13 @@
 One model for each language: n-grams of characters inside words (with start and end marks), continuation counts below the
 highest order, one absolute discount for each order. The models lie side by side: for each order one sorted array of n-gram
 hashes and a matrix with a column of log probabilities (nan: not seen) and of log back-off weights for each language. A text
-goes to the language of the lowest cross-entropy a character. A text is rejected if that lies nearer to the entropy
-of random letters than to the language's usual one (more is allowed to short texts); the usual entropy, and how sharply the
-score separates languages, are calibrated on texts kept from the counts.
+goes to the language of the lowest cross-entropy a character. Rejection is calibrated on texts kept from the counts: their excess
+over the language's usual entropy (scaled by length, as short texts vary more) has a quantile that all but `reject_rate` of them lie
+under, and the limit is half-way from it to random letters. `Model.rejected` holds the share of those texts that the limit rejects. How
+sharply the score separates languages is calibrated on the same texts.
 
-Training reads a bounded sample (`docs_per_lang` documents of each language, about, chosen by a hash); the counts are made by
+Training reads a bounded sample (`docs_per_lang` documents of each language, about, chosen by a hash of id and text, so that rows that
+share an id are not taken together; equal rows are, as one text each); the counts are made by
 Spark. Prediction is one narrow pass: words are scored once for each task, documents sum their words.
 """
 
@@ -15,8 +17,11 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +34,26 @@ from pyspark.sql import functions as F
 from .common import byte_slices, worker_state
 
 START, END = "\x02", "\x03"
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(wanted) -> str:
+    """Code points of which `wanted` holds, as the inside of a character class."""
+    found = np.flatnonzero([wanted(chr(c)) for c in range(sys.maxunicode + 1)])
+    runs = np.split(found, np.flatnonzero(np.diff(found) > 1) + 1)
+    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+
+
+#: The same for texts of Latin-1 characters, which hold no marks: one small table of characters.
+_LATIN = re.compile("[" + "".join(c for c in map(chr, range(256)) if c.isalpha()) + "]+")
+
+
+@lru_cache
+def _letters() -> re.Pattern:
+    """Letters and, after a letter, marks; `\\w` also takes other numbers (halves, superscripts) and no marks."""
+    letter = "[^\\W\\d_" + _ranges(lambda c: c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]"
+    return re.compile(f"{letter}+(?:(?![\\x00-\\x7f])[{_ranges(lambda c: unicodedata.category(c)[0] == 'M')}]+{letter}*)*")
+
+
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Characters that a language might use, for the uniform distribution under the unigrams.
@@ -38,8 +62,13 @@ COLUMNS = "doc_id long, lang_pred string, score double, cross_entropy double, n_
 
 
 def letters(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _LETTERS.findall((text or "").lower())
+    """Runs of letters and their marks, lower-cased."""
+    text = (text or "").lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _letters().findall(text)
+    return _LATIN.findall(text)
 
 
 def _rolled(codes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -99,8 +128,8 @@ class Model:
             self.keys.append(hashed[at])
             self.prob.append(np.array([prob[k].get(grams[i], np.full(n, np.nan)) for i in at] + [np.full(n, np.nan)], np.float32).reshape(len(at) + 1, n))
             self.back.append(np.array([back[k].get(grams[i], np.zeros(n)) for i in at] + [np.zeros(n)], np.float32).reshape(len(at) + 1, n))
-        #: By language: mean of the cross-entropy, and the largest accepted excess over it.
-        self.usual, self.limit, self.sharpness = np.zeros(n), np.full(n, np.inf), 10.0
+        #: By language: mean of the cross-entropy, the largest accepted excess over it, and the share of held-out texts over that.
+        self.usual, self.limit, self.rejected, self.sharpness = np.zeros(n), np.full(n, np.inf), np.zeros(n), 10.0
 
     def noise(self, lang: int, words: int = 2000, seed: int = 3) -> float:
         """Cross-entropy of words whose letters are drawn alike from those the model knows."""
@@ -139,7 +168,12 @@ class Model:
         lowest = entropy[np.arange(len(best)), best]
         root = np.sqrt(np.minimum(length, 400))
         score = 1 / np.exp(np.clip(-(entropy - lowest[:, None]) * (self.sharpness * root / 20)[:, None], -700, 0)).sum(axis=1)
-        return best, score, lowest - self.usual[best] > self.limit[best] * (1 + np.sqrt(20 / np.maximum(length, 1)))
+        return best, score, (lowest - self.usual[best]) / leeway(length) > self.limit[best]
+
+
+def leeway(length: np.ndarray) -> np.ndarray:
+    """How much more excess a text of so many letters may have than a long one."""
+    return 1 + np.sqrt(20 / np.maximum(length, 1))
 
 
 class Scorer:
@@ -192,11 +226,11 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
         yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame, order: int = 5, docs_per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(labelled: DataFrame, order: int = 5, docs_per_lang: int = 1500, reject_rate: float = 0.002, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models of the languages of `labelled`; rows without a language or a text are left out.
 
-    The driver gets a row for each language and the n-grams of the sample, which `docs_per_lang` bounds. With no
-    row to learn from, the model has no language and rejects everything.
+    The driver gets a row for each language and the n-grams of the sample, which `docs_per_lang` bounds (equal rows of id and text
+    fall into or out of it together, and count once). With no row to learn from, the model has no language and rejects everything.
     """
     spark = labelled.sparkSession
     rows = labelled.selectExpr(f"`{id_col}` as id", f"cast(`{lang_col}` as string) as lang", f"cast(`{text_col}` as string) as text").where("lang is not null and text is not null")
@@ -205,8 +239,8 @@ def fit(labelled: DataFrame, order: int = 5, docs_per_lang: int = 1500, id_col:
     if not langs:
         return Model([], {}, order)
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(math.ceil(1_000_000 * min(1, docs_per_lang / sizes[k])))) for k in langs))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
-    for_limits = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0
+    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang"))).dropDuplicates()
+    for_limits = F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(5)) == 0
     counted = sample.where(~for_limits).select("lang", "text").mapInArrow(lambda it: _count(it, order), "lang string, gram string, n long")
     grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = {k: {} for k in langs}
@@ -229,7 +263,10 @@ def fit(labelled: DataFrame, order: int = 5, docs_per_lang: int = 1500, id_col:
         for j in range(len(model.langs)):
             if (truth == j).any():
                 model.usual[j] = np.average(entropy[truth == j, j], weights=np.minimum(length[truth == j], 100))
-                model.limit[j] = (model.noise(j) - model.usual[j]) / 2
+                excess = (entropy[truth == j, j] - model.usual[j]) / leeway(length[truth == j])
+                usual = float(np.quantile(excess, 1 - reject_rate))
+                model.limit[j] = max(usual, (usual + model.noise(j) - model.usual[j]) / 2)
+                model.rejected[j] = float((excess > model.limit[j]).mean())
         known = truth >= 0
 
         def loss(sharpness: float) -> float:
@@ -257,7 +294,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Those rows of docs, with all their columns, that are not rejected."""
+    """Those rows of docs, with all their columns, that are not rejected.
+
+    Null texts and texts without letters are rejected; the id is not looked at. Repeated rows are judged alike; an empty table gives none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
