@@ -5,7 +5,8 @@ shard is drawn exactly, as a random permutation of all rows would have it (multi
 replacement); each bucket is permuted locally and cut by its row of the matrix; each shard is permuted again, in
 cells, and the cells' sizes give gapless slots.
 
-Everything random is a hash of the row, so a task that is run again gives the same rows. The driver holds one count
+Everything random is a hash of the row's place (part file and line of the written rows), so a task that is run again gives the same
+rows, equal rows and rows of one id are spread like all others, and no value is a hot key. The driver holds one count
 for each bucket and one matrix row for each bucket: at most `max_buckets` x shards numbers, whatever the input.
 """
 
@@ -60,7 +61,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 17, id_col: str =
     """A row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law).
 
     size is the UTF-8 bytes of the text and 16; a null text counts as empty. A null id is a value like others.
-    Repeated rows each get a slot of their own. An empty table gives no rows. Other columns are not read.
+    Repeated rows each get a slot of their own. An empty table gives no rows. Other columns are not read. Equal input in equal partitions
+    gives equal shards.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -68,25 +70,26 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 17, id_col: str =
     total = narrow.count()
     buckets = max(min_buckets, min(max_buckets, -(-total // bucket_rows)))
     cells = max(1, -(-total // (shards * cell_rows)))
-    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed)), F.lit(buckets)).cast("int")
-    ranked = narrow.withColumn("bucket", bucket)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    ranked = narrow.select("*", part.alias("file"), F.col("_metadata.row_index").alias("line"))
+    ranked = ranked.withColumn("bucket", F.pmod(F.xxhash64("file", "line", F.lit(seed)), F.lit(buckets)).cast("int"))
     counts = {r["bucket"]: r["count"] for r in ranked.groupBy("bucket").count().collect()}  # a row for each bucket
     order = sorted(counts)
     matrix = communication_matrix([counts[b] for b in order], [total // shards + (s < total % shards) for s in range(shards)], seed)
     cuts = [(b, np.cumsum(row).tolist()) for b, row in zip(order, matrix, strict=True)]
     table = spark.createDataFrame(cuts, "bucket int, cuts array<bigint>")
-    local = Window.partitionBy("bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "text_crc32", "size")
+    local = Window.partitionBy("bucket").orderBy(F.xxhash64("file", "line", F.lit(seed + 1)), "file", "line")
     dealt = (
         ranked.withColumn("rank", F.row_number().over(local) - 1)
         .join(table, "bucket")
         .withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col("rank"))))
-        .withColumn("mix", F.xxhash64("doc_id", "rank", F.lit(seed + 2)))
-        .select("doc_id", "size", "text_crc32", "shard", "mix", F.pmod("mix", F.lit(cells)).cast("int").alias("cell"))
+        .withColumn("mix", F.xxhash64("file", "line", F.lit(seed + 2)))
+        .select("doc_id", "size", "text_crc32", "file", "line", "shard", "mix", F.pmod("mix", F.lit(cells)).cast("int").alias("cell"))
     )
     dealt = stored(dealt, "shard-dealt")
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    again = Window.partitionBy("shard", "cell").orderBy("mix", "doc_id", "text_crc32", "size")
+    again = Window.partitionBy("shard", "cell").orderBy("mix", "file", "line")
     return dealt.withColumn("place", F.row_number().over(again) - 1).join(starts, ["shard", "cell"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
