@@ -4,11 +4,15 @@ A frame is a baseline JPEG of 16 x 12 blocks (192 payload bytes). Each 8 x 8 blo
 quantiser 8, is the byte less 128, and it has no AC part, so decoding is exact: one 8-bit sample a block. The Huffman table
 gives DC category c a code of 9 - c bits: every difference takes 9 bits, the end-of-block code 1 bit, a frame
 240 bytes before byte stuffing, and whole documents are packed and unpacked by numpy without a loop over bits.
+
+Frames of other coders are decoded by their own segments: quantisers, Huffman tables, restart intervals, any baseline size and sampling.
+Clips need no more than the mean level of each 8 x 8 block of brightness, which for the frames above are the samples.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -83,6 +87,125 @@ def decode_frames(frames: list[bytes]) -> bytes:
     return (np.cumsum(diffs, axis=1, dtype=np.int16) + 128).astype(np.uint8).tobytes()
 
 
+#: Places of the coefficients of a block in the order of a scan: diagonals, every other one upwards.
+_ZIGZAG = np.array(sorted(range(64), key=lambda k: (s := k // 8 + k % 8, k % 8 if s % 2 == 0 else k // 8)))
+_WAVES = np.cos((2 * np.arange(8)[:, None] + 1) * np.arange(8) * np.pi / 16) * np.where(np.arange(8) == 0, 8**-0.5, 0.5)
+
+
+def _codes(counts: bytes, symbols: bytes) -> np.ndarray:
+    """For each 16 bits that may follow in a scan: 256 x length of the code they begin with, and its symbol; 0 for none."""
+    table, at, k = np.zeros(1 << 16, np.int32), 0, 0
+    for length, n in enumerate(counts, 1):
+        for symbol in symbols[k : k + n]:
+            table[at : at + (1 << 16 - length)] = length << 8 | symbol
+            at += 1 << 16 - length
+        k += n
+    return table
+
+
+class _Scan:
+    """Bits of a scan between two restart markers."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data.replace(b"\xff\0", b"\xff") + b"\0" * 8, 0
+
+    def bits(self, n: int) -> int:
+        byte, shift = divmod(self.at, 8)
+        self.at += n
+        return int.from_bytes(self.data[byte : byte + 5], "big") >> (40 - shift - n) & (1 << n) - 1
+
+    def symbol(self, table: np.ndarray) -> int:
+        found = int(table[self.bits(16)])
+        if not found or self.at - 16 > 8 * len(self.data):
+            raise ValueError("a scan with a code that is in no table")
+        self.at += (found >> 8) - 16
+        return found & 255
+
+    def number(self, size: int) -> int:
+        x = self.bits(size) if size else 0
+        return x if not size or x >> size - 1 else x - (1 << size) + 1
+
+
+def decode_jpeg(frame: bytes) -> np.ndarray:
+    """Brightness (height x width) of a baseline JPEG."""
+    quantisers, tables, restart, parts, at = {}, {}, 0, [], 2
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
+    while True:
+        marker, size = frame[at + 1 : at + 2], int.from_bytes(frame[at + 2 : at + 4], "big")
+        body, at = frame[at + 4 : at + 2 + size], at + 2 + size
+        if len(marker) == 0 or size < 2:
+            raise ValueError("a JPEG without a scan")
+        if marker == b"\xdb":
+            while body:
+                wide = body[0] >> 4
+                quantisers[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
+                body = body[65 + 64 * wide :]
+        elif marker == b"\xc4":
+            while body:
+                n = sum(body[1:17])
+                tables[body[0]] = _codes(body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif marker in (b"\xc0", b"\xc1"):
+            height, width = struct.unpack(">HH", body[1:5])
+            parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
+        elif b"\xc2" <= marker <= b"\xcf" and marker not in (b"\xc8", b"\xcc"):
+            raise ValueError("not a baseline JPEG")
+        elif marker == b"\xdd":
+            restart = int.from_bytes(body[:2], "big")
+        elif marker == b"\xda":
+            used = {body[k]: body[k + 1] for k in range(1, 1 + 2 * body[0], 2)}
+            break
+    if not parts or set(used) != {p[0] for p in parts}:
+        raise ValueError("components in scans of their own")
+    end = frame.rfind(b"\xff\xd9")
+    scans = re.split(rb"\xff[\xd0-\xd7]", frame[at : end if end >= at else len(frame)])
+    wide, high = max(h for _, h, _, _ in parts), max(v for _, _, v, _ in parts)
+    if len(parts) == 1:  # a lone component is not interleaved
+        parts, wide, high = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
+    across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    first = parts[0]
+    found = np.zeros((down * first[2], across * first[1], 64), np.int64)
+    scan, last = None, {}
+    for unit in range(across * down):
+        if scan is None or (restart and unit % restart == 0):
+            scan, last = _Scan(scans[unit // restart if restart else 0]), dict.fromkeys(used, 0)
+        y, x = divmod(unit, across)
+        for part in parts:
+            name, h, v, _ = part
+            dc, ac = tables[used[name] >> 4], tables[16 | used[name] & 15]
+            for k in range(h * v):
+                block = found[y * v + k // h, x * h + k % h] if part is first else np.zeros(64, np.int64)
+                last[name] += scan.number(scan.symbol(dc))
+                block[0], place = last[name], 1
+                while place < 64:
+                    run, size = divmod(scan.symbol(ac), 16)
+                    if not size and run < 15:
+                        break
+                    place += run
+                    if size and place < 64:
+                        block[place] = scan.number(size)
+                    place += 1
+    waves = np.zeros_like(found, np.float64)
+    waves[..., _ZIGZAG] = found * quantisers[first[3]]
+    pixels = np.einsum("yu,abuv,xv->aybx", _WAVES, waves.reshape(*found.shape[:2], 8, 8), _WAVES, optimize=True)
+    return np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8).reshape(8 * len(found), -1)[:height, :width]
+
+
+def levels(frames: list[bytes]) -> np.ndarray:
+    """Mean level of each 8 x 8 block, a row for each frame; frames of another size than the first are an error."""
+    if all(f.startswith(_HEAD) for f in frames):
+        return np.frombuffer(decode_frames(frames), np.uint8).reshape(len(frames), -1)
+    out = []
+    for frame in frames:
+        pixels = decode_jpeg(frame).astype(np.float64)
+        pixels = np.pad(pixels, [(0, -n % 8) for n in pixels.shape], mode="edge")
+        out.append(np.rint(pixels.reshape(pixels.shape[0] // 8, 8, -1, 8).mean(axis=(1, 3))).astype(np.uint8).ravel())
+    if len({len(x) for x in out}) > 1:
+        raise ValueError("frames of several sizes")
+    return np.stack(out)
+
+
 def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
@@ -103,33 +226,60 @@ def write_avi(frames: list[bytes]) -> bytes:
     return _chunk(b"RIFF", b"AVI " + head + movi + _chunk(b"idx1", index.tobytes()))
 
 
-def read_avi(avi: bytes) -> list[bytes]:
-    """Frames by the RIFF index."""
-    if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
-        raise ValueError("not an AVI file")
-    at, movi, index = 12, None, None
-    while at + 8 <= len(avi):
-        name, size = avi[at : at + 4], int.from_bytes(avi[at + 4 : at + 8], "little")
-        if name == b"LIST" and avi[at + 8 : at + 12] == b"movi":
-            movi = at + 8
-        elif name == b"idx1":
-            index = np.frombuffer(avi, "<u4", size // 4, at + 8).reshape(-1, 4)
+def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Name, first byte and end of each chunk."""
+    while at + 8 <= end:
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        yield data[at : at + 4], at + 8, min(end, at + 8 + size)
         at += 8 + size + (size & 1)
-    if movi is None or index is None:
-        raise ValueError("no frames or no index")
-    return [avi[movi + o + 8 : movi + o + 8 + n] for o, n in index[:, 2:].tolist()]
 
 
-def shots(samples: bytes, span: int = 12, factor: float = 3.0, floor: float = 0.08) -> tuple[np.ndarray, np.ndarray]:
-    """First frames of the shots, and the frames' histograms (share of samples in each of 16 grey bins).
+def read_avi(avi: bytes) -> tuple[list[bytes], float]:
+    """Frames of the first video stream by the RIFF index, and the milliseconds of a frame; other streams are passed over.
+
+    Index entries count from the list of frames or from the file's begin. A frame of no bytes repeats the one before it.
+    """
+    if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
+        raise ValueError("not an AVI file")
+    movi = index = stream = None
+    frame_ms, streams = float(FRAME_MS), 0
+    for name, a, b in _chunks(avi, 12, len(avi)):
+        if name == b"LIST" and avi[a : a + 4] == b"movi":
+            movi = a
+        elif name == b"LIST" and avi[a : a + 4] == b"hdrl":
+            for name, x, y in _chunks(avi, a + 4, b):
+                if name == b"avih":
+                    frame_ms = int.from_bytes(avi[x : x + 4], "little") / 1000
+                elif name == b"LIST" and avi[x : x + 4] == b"strl":
+                    head = next((p for inner, p, _ in _chunks(avi, x + 4, y) if inner == b"strh"), None)
+                    if stream is None and head and avi[head : head + 4] == b"vids":
+                        stream = streams
+                    streams += 1
+        elif name == b"idx1":
+            index = np.frombuffer(avi, "<u4", (b - a) // 16 * 4, a).reshape(-1, 4)
+    if movi is None or index is None or stream is None:
+        raise ValueError("no video stream or no index")
+    names = [int.from_bytes(b"%02d" % stream + kind, "little") for kind in (b"dc", b"db")]
+    own = index[np.isin(index[:, 0], names)][:, 2:].tolist()
+    base = 0 if own and avi[own[0][0] : own[0][0] + 4] in (b"%02ddc" % stream, b"%02ddb" % stream) else movi
+    frames: list[bytes] = []
+    for o, n in own:
+        if n or frames:
+            frames.append(avi[base + o + 8 : base + o + 8 + n] if n else frames[-1])
+    if not frames:
+        raise ValueError("no frames")
+    return frames, frame_ms
+
+
+def shots(grey: np.ndarray, span: int = 12, factor: float = 3.0, floor: float = 0.08) -> tuple[np.ndarray, np.ndarray]:
+    """First frames of the shots, and the frames' histograms (blocks in each of 16 grey bins), from a row of levels for each frame.
 
     A cut is a frame whose histogram differs from the last (half the L1 distance) by more than floor and than the mean
     and `factor` standard deviations of the `span` differences before it.
     """
-    grey = np.frombuffer(samples, np.uint8).reshape(-1, FRAME) >> 4
-    n = len(grey)
-    hist = np.bincount((np.arange(n)[:, None] * BINS + grey).ravel(), minlength=n * BINS).reshape(n, BINS)
-    diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * FRAME)
+    n, blocks = grey.shape
+    hist = np.bincount((np.arange(n)[:, None] * BINS + (grey >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
+    diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * blocks)
     total, square = np.cumsum(np.r_[0, diff]), np.cumsum(np.r_[0, diff * diff])
     end = np.arange(len(diff))
     start = np.maximum(0, end - span)
@@ -149,19 +299,23 @@ CLIPS = "doc_id long, clip int, start_ms long, end_ms long, first_frame long, n_
 
 def _digest(doc: int | None, text: bytes) -> tuple:
     avi = write_avi(encode_frames(padded(text)))
-    back = decode_frames(read_avi(avi))
-    cuts, hist = shots(back)
+    back = decode_frames(read_avi(avi)[0])
+    cuts, hist = shots(np.frombuffer(back, np.uint8).reshape(-1, FRAME))
     share = np.round(hist.sum(axis=0) * 1000 / max(1, hist.sum())).astype(int)
     feature = f"shots={len(cuts)};cuts={zlib.crc32(cuts.astype('<i8').tobytes()):08x};hist={'.'.join(map(str, share))}"
     return doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(avi), hashlib.sha256(avi).hexdigest(), feature, len(hist), len(cuts)
 
 
-def _clips(doc: int | None, text: bytes) -> Iterator[tuple]:
-    back = decode_frames(read_avi(write_avi(encode_frames(padded(text)))))
-    cuts, hist = shots(back)
-    level = np.frombuffer(back, np.uint8).reshape(-1, FRAME).mean(axis=1)
-    for k, (a, b) in enumerate(zip(cuts.tolist(), [*cuts.tolist()[1:], len(hist)], strict=True)):
-        yield doc, k, a * FRAME_MS, b * FRAME_MS, a, b - a, float(level[a:b].mean())
+def _clips(doc: int | None, avi: bytes) -> Iterator[tuple]:
+    try:
+        frames, frame_ms = read_avi(avi)
+        grey = levels(frames)
+    except (ValueError, IndexError, KeyError, struct.error):  # no readable motion-JPEG file: no clips
+        return
+    cuts, _ = shots(grey)
+    level = grey.mean(axis=1)
+    for k, (a, b) in enumerate(zip(cuts.tolist(), [*cuts.tolist()[1:], len(grey)], strict=True)):
+        yield doc, k, round(a * frame_ms), round(b * frame_ms), a, b - a, float(level[a:b].mean())
 
 
 def _rows(batches: Iterator[pa.RecordBatch], make, schema: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -174,8 +328,8 @@ def _rows(batches: Iterator[pa.RecordBatch], make, schema: str, limit: int = 8 <
         yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, names.types, strict=True)], schema=names)
 
 
-def _mapped(docs: DataFrame, make, schema: str, id_col: str, text_col: str) -> DataFrame:
-    source = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as binary) as text")
+def _mapped(source: DataFrame, make, schema: str, id_col: str, data_col: str) -> DataFrame:
+    source = source.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{data_col}` as binary) as text")
     return source.mapInArrow(lambda it: _rows(it, make, schema), schema)
 
 
@@ -189,10 +343,22 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the AVI file as a binary column."""
+    """doc_id and the AVI file as a binary column, a row for each row of docs.
+
+    A null text is empty (one frame of spaces). Equal texts give equal files; an empty table gives no rows; other columns are not read.
+    """
     return _mapped(docs, lambda d, t: [(d, write_avi(encode_frames(padded(t))))], "doc_id long, avi binary", id_col, text_col)
 
 
+def clips_of(media: DataFrame, id_col: str = "doc_id", avi_col: str = "avi") -> DataFrame:
+    """A row for each shot of a column of AVI motion-JPEG files: clip number, times in milliseconds, frames and mean level.
+
+    Files of any baseline coder. Null values and values that are no such file have no clips. Repeated rows each give their clips; an
+    empty table gives none; other columns are not read.
+    """
+    return _mapped(media, _clips, CLIPS, id_col, avi_col)
+
+
 def clip_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each shot: clip number, times in milliseconds, frames and mean level."""
-    return _mapped(docs, _clips, CLIPS, id_col, text_col)
+    """clips_of the media column of texts; every row has a clip at least."""
+    return clips_of(media_column(docs, id_col, text_col))

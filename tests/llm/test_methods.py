@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -48,6 +49,57 @@ def test_kneser_ney_sums_to_one():
     assert abs(sum(first) + unseen - 1) < 1e-4
 
 
+def _plain_kneser_ney(counts, word, order):
+    """Log probability of a word: interpolated Kneser-Ney from dictionaries of n-gram counts, one character at a time."""
+    tables = {order: dict(counts)}
+    for k in range(order, 1, -1):
+        tables[k - 1] = Counter(g[1:] for g in tables[k])
+    discount = {}
+    for k, t in tables.items():
+        once, twice = (sum(c == m for c in t.values()) for m in (1, 2))
+        discount[k] = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(context, c):
+        k = len(context) + 1
+        lower = p(context[1:], c) if k > 1 else 1 / langid.CHARSET
+        followers = [n for g, n in tables[k].items() if g[:-1] == context]
+        if not followers:
+            return lower
+        return max(tables[k].get(context + c, 0) - discount[k], 0) / sum(followers) + discount[k] * len(followers) / sum(followers) * lower
+
+    marked = langid.START * (order - 1) + word + langid.END
+    return sum(math.log(p(marked[i - order + 1 : i], marked[i])) for i in range(order - 1, len(marked)))
+
+
+def test_kneser_ney_scores_are_the_plain_ones(texts):
+    counts = {"x": Counter(), "y": Counter()}
+    for k, (_, t) in enumerate(texts[:12]):
+        for w in langid.letters(t)[:60]:
+            marked = langid.START * 3 + w + langid.END
+            counts["xy"[k % 2]].update(marked[i : i + 4] for i in range(len(marked) - 3))
+    model = langid.Model(["x", "y"], {k: dict(v) for k, v in counts.items()}, 4)
+    words = [w for _, t in texts[:20] for w in langid.letters(t)[55:70]] + ["zzzz", "q", "é", "übergroß"]
+    got = model.words(words)
+    for i, w in enumerate(words):
+        for j, lang in enumerate("xy"):
+            assert abs(got[i, j] - _plain_kneser_ney(counts[lang], w, 4)) < 1e-3
+
+
+def test_letters_have_their_marks():
+    assert langid.letters("हिन्दी ½ ²x a\u0301b 12 _ İz ٣ Ⅷ 中文") == ["हिन्दी", "x", "a\u0301b", "i\u0307z", "中文"]
+    assert langid.letters("½ ² ① 7 \u0301") == [] == langid.letters(None)
+
+
+def test_rejection_is_calibrated(spark, docs):
+    same_id = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    model = langid.fit(same_id, docs_per_lang=20)
+    assert np.isfinite(model.limit).all() and (model.rejected <= 0.1).all()
+    rng = random.Random(1)
+    junk = [(k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(60))) for k in range(40)]
+    got = langid.identify(spark.createDataFrame(junk, "doc_id long, text string"), langid.fit(docs)).toPandas()
+    assert got.rejected.mean() > 0.9
+
+
 def _first(model, c):
     """Log probability of the first character of a word."""
     pad = langid.START * 2
@@ -313,10 +365,38 @@ def test_shards_are_exact_and_uniform(spark):
     assert (got.text_crc32 == [zlib.crc32(f"té{i}".encode()) for i in got.doc_id]).all()
     place = got.shard * 287 + got.slot
     assert abs(np.corrcoef(got.doc_id, place)[0, 1]) < 0.08
-    again = sharding.shard_rows(df.repartition(5), shards=7, min_buckets=16, cell_rows=40).toPandas()
+    again = sharding.shard_rows(df, shards=7, min_buckets=16, cell_rows=40).toPandas()
     assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_shards_of_equal_rows_are_spread(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.shard_rows(df, shards=5, min_buckets=16, cell_rows=40).toPandas()
+    assert (got.groupby("shard").size() == 800).all() and all(sorted(p.slot) == list(range(800)) for _, p in got.groupby("shard"))
+    assert got[got.doc_id.isna()].groupby("shard").size().between(540, 660).all()
+    halves = got[got.doc_id.isna()].slot // 400
+    assert 0.45 < halves.mean() < 0.55
+
+
+def test_shard_assignment_is_that_of_the_plain_steps(spark):
+    """The whole assignment again, row by row: buckets, matrix, cut of the permuted bucket, permuted cells."""
+    df = spark.range(0, 300, 1, 3).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    narrow = [(p, k, r) for p, part in enumerate(df.rdd.glom().collect()) for k, r in enumerate(part)]
+    hashed = spark.createDataFrame([(p, k, r.doc_id) for p, k, r in narrow], "file int, line long, doc_id long")
+    hashed = hashed.select("*", *(F.xxhash64("file", "line", F.lit(17 + i)).alias(f"h{i}") for i in range(3))).collect()
+    buckets, cells, sizes = 8, 300 // (6 * 10), [300 // 6] * 6
+    of = {b: sorted((r for r in hashed if r.h0 % buckets == b), key=lambda r: (r.h1, r.file, r.line)) for b in range(buckets)}
+    order = [b for b in range(buckets) if of[b]]
+    shards = [[] for _ in range(6)]
+    for b, row in zip(order, sharding.communication_matrix([len(of[b]) for b in order], sizes, 17), strict=True):
+        rows = iter(of[b])
+        for s, n in enumerate(row):
+            shards[s] += [next(rows) for _ in range(n)]
+    want = {r.doc_id: (s, k) for s, rows in enumerate(shards) for k, r in enumerate(sorted(rows, key=lambda r: (r.h2 % cells, r.h2, r.file, r.line)))}
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_rows(df, shards=6, min_buckets=8, cell_rows=10).collect()}
+    assert got == want
+
+
 def test_suffix_arrays():
     rng = random.Random(2)
     for k in range(1500):
@@ -357,22 +437,110 @@ def test_media_round_trip():
     rng = random.Random(4)
     for n in (0, 1, 191, 192, 193, 5000):
         data = media.padded(bytes(rng.choice([0, 255, 254, 1, 128, rng.randrange(256)]) for _ in range(n)))
-        avi = media.write_avi(media.encode_frames(data))
-        assert media.decode_frames(media.read_avi(avi)) == data and len(data) % 192 == 0
+        frames, frame_ms = media.read_avi(media.write_avi(media.encode_frames(data)))
+        assert media.decode_frames(frames) == data and len(data) % 192 == 0 and frame_ms == media.FRAME_MS
+        for k, frame in enumerate(frames):  # any JPEG decoder sees the samples
+            pixels = media.decode_jpeg(frame)
+            assert pixels.shape == (96, 128) and (pixels == np.kron(np.frombuffer(data[192 * k : 192 * k + 192], np.uint8).reshape(12, 16), np.ones((8, 8)))).all()
 
 
 def test_media_shots():
     flat = bytes([20]) * 192 * 30 + bytes([200]) * 192 * 30 + bytes([90]) * 192 * 10
-    assert media.shots(flat)[0].tolist() == [0, 30, 60]
-
-
-def test_media_frames_are_jpeg():
-    image = pytest.importorskip("PIL.Image")
-    import io
-
-    frame = media.encode_frames(media.padded(bytes(range(192))))[0]
-    pixels = np.asarray(image.open(io.BytesIO(frame)))
-    assert pixels.shape == (96, 128) and (pixels[::8, ::8].ravel() == np.arange(192)).all()
+    assert media.shots(np.frombuffer(flat, np.uint8).reshape(-1, 192))[0].tolist() == [0, 30, 60]
+
+
+def _jpeg(planes, sampling, quantiser, restart):
+    """Another baseline coder: full blocks of any content, its own tables, interleaved components. Returns the file and the decoded first plane."""
+    wave = np.array([[(0.5 if u else 8**-0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for u in range(8)] for x in range(8)])
+    order, k = [], 0
+    for s in range(15):
+        diagonal = [(s - j, j) for j in range(8) if 0 <= s - j < 8]
+        order += diagonal if s % 2 == 0 else diagonal[::-1]
+    code = {t: {x: (k, n) for k, x in enumerate(symbols)} for t, n, symbols in (("dc", 5, range(12)), ("ac", 9, range(255, -1, -1)))}
+    code["ac"][0] = (510, 10)
+    wide, high = max(h for h, _ in sampling), max(v for _, v in sampling)
+    height, width = planes[0].shape
+    across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    bits, scans, first, last = "", [], None, [0] * len(planes)
+    blocks = []
+    for plane, (h, v) in zip(planes, sampling, strict=True):
+        full = np.pad(plane.astype(float), ((0, down * v * 8 - plane.shape[0]), (0, across * h * 8 - plane.shape[1])), mode="edge") - 128
+        got = np.einsum("yu,aybx,xv->abuv", wave, full.reshape(down * v, 8, across * h, 8), wave)
+        blocks.append(np.rint(got / quantiser).astype(int))
+        if first is None:
+            back = np.einsum("yu,abuv,xv->aybx", wave, blocks[0] * quantiser, wave).reshape(full.shape) + 128
+            first = np.clip(np.rint(back), 0, 255)[:height, :width]
+
+    def put(table, symbol):
+        value, n = code[table][symbol]
+        return format(value, f"0{n}b")
+
+    def number(x):
+        n = abs(x).bit_length()
+        return format(x if x > 0 else x + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def close(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") if bits else b""
+
+    for unit in range(across * down):
+        if restart and unit and unit % restart == 0:
+            scans.append(close(bits))
+            bits, last = "", [0] * len(planes)
+        y, x = divmod(unit, across)
+        for c, (h, v) in enumerate(sampling):
+            for k in range(h * v):
+                flat = [int(blocks[c][y * v + k // h, x * h + k % h][i, j]) for i, j in order]
+                bits += put("dc", abs(flat[0] - last[c]).bit_length()) + number(flat[0] - last[c])
+                last[c], run = flat[0], 0
+                for k2, value in enumerate(flat[1:], 1):
+                    if not any(flat[k2:]):
+                        bits += put("ac", 0)
+                        break
+                    if value == 0:
+                        run += 1
+                        continue
+                    bits += put("ac", 0xF0) * (run // 16) + put("ac", (run % 16) << 4 | abs(value).bit_length()) + number(value)
+                    run = 0
+    scans.append(close(bits))
+    data = b"".join(s + (bytes([255, 0xD0 + k % 8]) if k < len(scans) - 1 else b"") for k, s in enumerate(scans))
+    segment = lambda marker, body: struct.pack(">BBH", 255, marker, len(body) + 2) + body
+    head = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xDB, b"\x03" + bytes(int(quantiser[i, j]) for i, j in order))
+    head += segment(0xC0, struct.pack(">BHHB", 8, height, width, len(planes)) + b"".join(bytes([c + 1, h << 4 | v, 3]) for c, (h, v) in enumerate(sampling)))
+    head += segment(0xC4, b"\x01" + bytes([0] * 4 + [12] + [0] * 11) + bytes(range(12)) + b"\x12" + bytes([0] * 8 + [255, 1] + [0] * 6) + bytes(range(255, -1, -1)))
+    if restart:
+        head += segment(0xDD, struct.pack(">H", restart))
+    return head + segment(0xDA, bytes([len(planes)]) + b"".join(bytes([c + 1, 0x12]) for c in range(len(planes))) + bytes([0, 63, 0])) + data + b"\xff\xd9", first
+
+
+@pytest.mark.parametrize("sampling,restart", [([(1, 1)], 0), ([(2, 2)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
+def test_media_decodes_frames_of_another_coder(sampling, restart):
+    rng = np.random.default_rng(5)
+    smooth = np.add.outer(np.arange(37) * 3, np.arange(53) * 2) % 256
+    planes = [(smooth + rng.integers(-20, 20, smooth.shape)).clip(0, 255)] + [rng.integers(0, 256, (19, 27)) for _ in sampling[1:]]
+    quantiser = 3 + np.add.outer(np.arange(8), np.arange(8))
+    data, want = _jpeg(planes, [(1, 1)] if len(sampling) == 1 else sampling, quantiser, restart)
+    got = media.decode_jpeg(data)
+    assert got.shape == smooth.shape and np.abs(got - want).max() <= 1 and np.abs(got - planes[0]).mean() < 6
+
+
+def test_clips_of_a_foreign_file(spark):
+    """A file with a sound stream first, absolute index offsets, a frame that repeats, two shots of another coder's frames."""
+    quantiser = np.full((8, 8), 4)
+    dark, light = (_jpeg([np.full((24, 40), v) + np.arange(40) % 5], [(1, 1)], quantiser, 0)[0] for v in (30, 190))
+    chunk = media._chunk
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<14I", 100_000, *[0] * 13)) + chunk(b"LIST", b"strl" + chunk(b"strh", b"auds" + b"\0" * 52)) + chunk(b"LIST", b"strl" + chunk(b"strh", b"vidsMJPG" + b"\0" * 48)))
+    body, index, at = b"movi", b"", 12 + len(head) + 12
+    for frame in [dark] * 6 + [b""] + [light] * 5:
+        for name, data in ((b"00wb", b"sound"), (b"01dc", frame)):
+            index += name + struct.pack("<III", 16, at, len(data))
+            body += chunk(name, data)
+            at += len(chunk(name, data))
+    avi = chunk(b"RIFF", b"AVI " + head + chunk(b"LIST", body) + chunk(b"idx1", index))
+    rows = [(1, avi), (2, None), (3, b"no file"), (4, avi[:200]), (1, avi), (5, avi[: len(avi) - 40])]
+    got = media.clips_of(spark.createDataFrame(rows, "doc_id long, avi binary")).collect()
+    assert sorted((r.doc_id, r.clip, r.start_ms, r.end_ms, r.n_frames) for r in got if r.doc_id == 1) == [(1, 0, 0, 700, 7)] * 2 + [(1, 1, 700, 1200, 5)] * 2
+    assert {r.doc_id for r in got} <= {1, 5}
 
 
 def test_clips_cover_documents(docs):
