@@ -5,7 +5,10 @@ of a window needs all its words, so the prefix of each window under a global ord
 documents hold least often, counted over all documents. Documents are joined on prefix words only; positional and
 length bounds place the window around the match, and the words are then compared one by one.
 
-The benchmark is dealt with in blocks of about `block_windows` windows. A block's tables are broadcast (their size is
+Document frequencies of all benchmark words come from one scan of the documents, summed and joined to the windows by Spark. A bitmap of
+BITS bits, whatever the benchmark's size, spares most other words the shuffle; those that it lets through meet no window.
+
+Windows are looked up in blocks of about `block_windows`. A block's tables are broadcast (their size is
 bounded by that number). One block is matched where the documents are read. Of several, only one at a time is in the driver
 and the workers: each pass over the documents stores the occurrences it finds, and its broadcasts are destroyed before the next;
 texts then meet their occurrences by two hashes. There is no cap on matches.
@@ -14,6 +17,7 @@ texts then meet their occurrences by two hashes. There is no cap on matches.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -24,11 +28,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, stored
+from .common import byte_slices, dropped, stored
 
 #: A-Z to lower case; digits, letters and all bytes from 0x80 stay; the rest separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+#: Bits of the map of benchmark words.
+BITS = 1 << 23
 COLUMNS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -57,29 +63,54 @@ def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str
     return cut_rows.groupBy("window").agg(F.concat(F.sort_array(F.collect_set("item")), unnamed).alias("items"))
 
 
-def _counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """How many documents of this task hold each word of the block."""
-    known: dict = vocabulary.value
-    n = np.zeros(len(known), np.int64)
+def _frequencies(batches: Iterator[pa.RecordBatch], bitmap: bytes, most: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """How many documents of this task hold each word that the bitmap lets through; a word may come several times."""
+    counts: dict[bytes, int] = {}  # -1: not let through
+    names = ["word", "n"]
+
+    def told() -> pa.RecordBatch:
+        own = {w: n for w, n in counts.items() if n > 0}
+        return pa.record_batch([pa.array(own, pa.binary()), pa.array(own.values(), pa.int64())], names=names)
+
     for part in byte_slices(batches, "text", 4 << 20):
         for text in part.column("text").to_pylist():
-            for word in known.keys() & set(words(text)):
-                n[known[word]] += 1
-    held = np.flatnonzero(n)
-    yield pa.record_batch([pa.array(held, pa.int32()), pa.array(n[held], pa.int64())], names=["word", "n"])
+            for word in set(words(text)):
+                n = counts.get(word)
+                if n is None:
+                    at = zlib.crc32(word) % BITS
+                    counts[word] = 1 if bitmap[at >> 3] >> (at & 7) & 1 else -1
+                elif n > 0:
+                    counts[word] = n + 1
+            if len(counts) > most:
+                yield told()
+                counts.clear()
+    yield told()
+
+
+def _prefixed(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """windows (window, items) with the place of the word that the fewest of rows hold; of equal ones the first by its bytes, then by place."""
+    spark = rows.sparkSession
+    placed = windows.select("window", F.posexplode(F.split(F.col("window").cast("string"), " ")).alias("at", "word")).withColumn("word", F.col("word").cast("binary"))
+    bits = np.zeros(BITS, bool)
+    for r in placed.select((F.crc32("word") % BITS).alias("k")).distinct().collect():  # BITS numbers at most
+        bits[r["k"]] = True
+    sent = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+    held = rows.select("text").mapInArrow(lambda it: _frequencies(it, sent.value), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at"))
+    first = placed.join(held, "word", "left").groupBy("window").agg(rarest.alias("r")).select("window", F.col("r.at").alias("at"))
+    return windows.join(first, "window")
 
 
 class Block:
     """Windows of one block as word numbers (1 and up; 0 is any other word), by their prefix word."""
 
-    def __init__(self, found: list[tuple[bytes, list[str]]], known: dict[bytes, int], held: np.ndarray):
-        self.number = {w: i + 1 for w, i in known.items()}
-        self.windows = [np.array([self.number[w] for w in text.split(b" ")], np.int32) for text, _ in found]
-        self.items = [items for _, items in found]
+    def __init__(self, found: list[tuple[bytes, list[str], int]]):
+        self.number = {w: i + 1 for i, w in enumerate(sorted({w for text, _, _ in found for w in text.split(b" ")}))}
+        self.windows = [np.array([self.number[w] for w in text.split(b" ")], np.int32) for text, _, _ in found]
+        self.items = [items for _, items, _ in found]
         self.by_prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.is_prefix = np.zeros(len(known) + 1, bool)
-        for k, w in enumerate(self.windows):
-            at = min(range(len(w)), key=lambda i, w=w: (held[w[i] - 1], w[i], i))
+        self.is_prefix = np.zeros(len(self.number) + 1, bool)
+        for k, (w, (_, _, at)) in enumerate(zip(self.windows, found, strict=True)):
             self.by_prefix[int(w[at])].append((k, at))
             self.is_prefix[w[at]] = True
 
@@ -133,24 +164,21 @@ def _keys(text: Column) -> tuple[Column, Column]:
 def _searched(rows: DataFrame, benchmark: DataFrame, window: int, block_windows: int, item_col: str, item_text_col: str) -> tuple[Broadcast | None, DataFrame | None]:
     """The broadcast of the benchmark's only block, or what the blocks, one after another, find in rows (h, g, text)."""
     spark = rows.sparkSession
-    windows = stored(item_windows(benchmark, window, item_col, item_text_col), "windows")
+    plain = stored(item_windows(benchmark, window, item_col, item_text_col), "windows")
+    windows = stored(_prefixed(rows, plain), "windows")
+    dropped(plain)
     n_blocks = max(1, -(-windows.count() // block_windows))
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(n_blocks)))
     parts = []
     for k in range(n_blocks):
-        found = [(r[0], list(r[1])) for r in numbered.where(F.col("block") == k).select("window", "items").collect()]  # block_windows, about
-        known = {w: i for i, w in enumerate(sorted({w for text, _ in found for w in text.split(b" ")}))}
-        sent = spark.sparkContext.broadcast(known)
-        counted = rows.select("text").mapInArrow(lambda it, v=sent: _counts(it, v), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        held = np.zeros(len(known), np.int64)
-        for r in counted.collect():  # a row for each word of the block
-            held[r["word"]] = r["n"]
-        sent.destroy(blocking=True)
-        block = spark.sparkContext.broadcast(Block(found, known, held))
+        found = [(bytes(r[0]), list(r[1]), r[2]) for r in numbered.where(F.col("block") == k).select("window", "items", "at").collect()]  # block_windows, about
+        block = spark.sparkContext.broadcast(Block(found))
         if n_blocks == 1:
+            dropped(windows)
             return block, None
         parts.append(stored(rows.select("h", "g", "text").mapInArrow(lambda it, v=block: _matched(it, v.value), _FOUND).distinct(), "occurrences"))
         block.destroy(blocking=True)
+    dropped(windows)
     return None, reduce(DataFrame.unionAll, parts).groupBy("h", "g").agg(F.collect_list(F.struct("first", "length", "items")).alias("found"))
 
 
@@ -187,7 +215,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 100_000,
                text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Those rows of docs, with all their columns, that are not contaminated."""
+    """Those rows of docs, with all their columns, that are not contaminated.
+
+    Null and wordless texts stay; the id is not looked at. Repeated rows are judged alike and all stay or go; an empty table gives
+    none; an empty benchmark takes none.
+    """
     rows = docs.selectExpr(f"cast(`{text_col}` as binary) as text").select("text", *_keys(F.col("text")))
     sent, found = _searched(rows, benchmark, window, block_windows, item_col, item_text_col)
     names = docs.columns
