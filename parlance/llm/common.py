@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,13 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 T = TypeVar("T")
 
 
+_TABLES: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset, as in local tests, a temporary folder is made and set.
+    Where it is unset, a local session (one machine) gets a temporary folder; any other is an error, as executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_parlance_shared", None)
         if not found:
             found = f"file://{tempfile.mkdtemp(prefix='parlance-')}"
@@ -31,8 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays until dropped() or clean(): a result that is still to be computed may read it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._parlance_path = path
@@ -41,9 +51,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._parlance_path)
+    _deleted(df.sparkSession, df._parlance_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that stored() has left; for when the results of the operators have been written."""
+    for path in list(_TABLES):
+        _deleted(spark, path)
+
+
+def _deleted(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if name in _TABLES:
+        _TABLES.remove(name)
 
 
 _HELD: dict = {}

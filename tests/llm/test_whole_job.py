@@ -5,13 +5,14 @@ import random
 import time
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, html_text, near_dedup, pii, queries, suffix_dedup
+from parlance.llm import common, decontaminate, html_text, near_dedup, pii, queries, suffix_dedup
 
 
 @pytest.mark.parametrize("block", [100_000, 3])
@@ -151,3 +152,23 @@ def test_a_hundred_thousand_contexts_of_one_line(spark):
     df = df.unionByName(df.where("id < 3").selectExpr("doc_id + 1000000 as doc_id", "text"))
     got = suffix_dedup.remove_repeats(df).where("n_removed > 0").select("doc_id", "n_removed").collect()
     assert {r.doc_id for r in got} == {0, 1, 2, 1000000, 1000001, 1000002} and {r.n_removed for r in got} == {256 + len(line)}
+
+
+def test_tables_go(spark):
+    near_dedup.keep_one(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")).count()
+    tables = [Path(x.removeprefix("file://")) for x in common._TABLES]
+    assert tables and all(x.is_dir() for x in tables)
+    common.clean(spark)
+    assert not common._TABLES and not any(x.exists() for x in tables)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session())
+    Session.sparkContext.master = "local-cluster[3,2,1000]"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session())
