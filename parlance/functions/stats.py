@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,26 @@ def described(df: DataFrame, keys: list[str], values: dict[str, Column], more: l
     return df.groupBy(*keys).agg(*out)
 
 
-def running_count(df: DataFrame, order: str, count: Column, name: str, buckets: int = 64) -> DataFrame:
+def _below(cuts: list[float], value: Column) -> Column:
+    """How many of the sorted cuts lie under a value; many cuts in two steps, each of about their root."""
+    if len(cuts) > 64:
+        step = math.isqrt(len(cuts))
+        coarse = cuts[step - 1 :: step]
+        block = F.size(F.filter(F.lit(coarse), lambda c: c < value))
+        inner = F.slice(F.lit(cuts), block * step + 1, F.lit(step))
+        return block * step + F.size(F.filter(inner, lambda c: c < value))
+    return F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < value))
+
+
+def running_count(df: DataFrame, order: str, count: Column, name: str, bucket_rows: int = 100_000) -> DataFrame:
     """df with the sum of `count` over all rows of smaller or equal `order` (numeric, no ties).
 
-    Rows go to buckets between approximate quantiles; running sums inside buckets start at the sum of the buckets before, a
-    table of one row for each bucket.
+    Rows go to buckets of about `bucket_rows` between approximate quantiles (at most 10,000 buckets); running sums inside buckets start at
+    the sum of the buckets before, a table of one row for each bucket.
     """
-    cuts = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.01)))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(order)))
+    buckets = max(8, min(10_000, -(-df.count() // bucket_rows)))
+    cuts = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.1 / buckets)))
+    bucket = _below(cuts, F.col(order).cast("double"))
     df = df.withColumns({"_bucket": bucket, "_count": count})
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy("_bucket").agg(F.sum("_count").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -17,8 +17,8 @@ NOISES = ("@breath", "@cough", "@laugh", "@bkg", "@ns", "@sil")
 SILENT_PHONES = ("sil", "@sil", "spn")
 VOWELS = ("ah", "aa", "ih", "aw", "w", "axr", "ow", "ao", "y", "eh", "ay", "uh", "q", "ey", "ae", "iy", "oy", "uw", "ax", "er")
 CONSONANTS = ("l", "zh", "s", "z", "ng", "g", "k", "th", "d", "dh", "w", "p", "n", "t", "r", "sh", "ch", "hh", "b", "jh", "f", "m", "v")
-SCALE_ELEVEN = {"preA1": 1, "A1": 2, "A1+": 3, "A2": 4, "A2+": 5, "B1": 6, "B1+": 7, "B2": 8, "B2+": 9, "C": 10}
-SCALE_EIGHT = {"A1": 1, "A1+": 2, "A2": 3, "A2+": 4, "B1": 5, "B1+": 6, "B2": 7}
+SCALE_ELEVEN = {"0": 0, "preA1": 1, "A1": 2, "A1+": 3, "A2": 4, "A2+": 5, "B1": 6, "B1+": 7, "B2": 8, "B2+": 9, "C": 10}
+SCALE_EIGHT = {"0": 0, "A1": 1, "A1+": 2, "A2": 3, "A2+": 4, "B1": 5, "B1+": 6, "B2": 7}
 SCALE_LOWER = {k.lower(): v for k, v in SCALE_EIGHT.items()}
 
 

@@ -25,6 +25,22 @@ def united(tables: list[DataFrame], columns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, (t.select(*columns) for t in tables))
 
 
+def bagged(tables: list[DataFrame], key: str, value: str) -> DataFrame:
+    """key and value rows of all tables: lists of a key are put together, repeats stay."""
+    return reduce(DataFrame.unionByName, (t.select(key, value) for t in tables))
+
+
+def ordered_values(df: DataFrame, value: str) -> DataFrame:
+    """Distinct values in order."""
+    return df.select(value).distinct().orderBy(value)
+
+
+def in_chunks(tables: dict[str, DataFrame], ids: DataFrame, key: str, chunks: int) -> dict[str, DataFrame]:
+    """Each table's rows of the ids, with the chunk of their id; written by chunk (sinks.write_parts) they are the inputs of one job each."""
+    numbered = chunked(ids.select(key).distinct(), key, chunks)
+    return {name: table.join(numbered, key) for name, table in tables.items()}
+
+
 def chunked(df: DataFrame, key: str, chunks: int) -> DataFrame:
     """df with the chunk of each row in key order: chunks of ceil(n / chunks) rows, perhaps fewer chunks."""
     size = -(-df.count() // chunks) or 1

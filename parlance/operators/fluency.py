@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import described
-from ..functions.text import BASELINE_WORDS, DISFLUENT_WORDS, PHRASES, phrase_count
+from ..functions.text import BASELINE_WORDS, DISFLUENT_WORDS, PHRASES, SILENT_PHONES, normal_phone, phrase_count
 
 SILENCE, LONG_SILENCE = 0.145, 0.495
 
@@ -59,6 +59,16 @@ def repeats(words: DataFrame, keys: list[str]) -> DataFrame:
     return words.withColumn("repeat", F.lag("label").over(w) == F.col("label")).groupBy(*keys).agg(F.count("*").alias("n_words"), F.count_distinct("label").alias("n_distinct"), F.count_if("repeat").alias("n_repeats"))
 
 
+def without_labels(ctm: DataFrame, labels: list[str]) -> DataFrame:
+    """A word table without special words; places (`ord`) stay, so scores of the same places can still be joined."""
+    return ctm.where(~F.col("label").isin(labels))
+
+
+def spoken_phones(ctm: DataFrame, label: str = "label", silent: tuple[str, ...] = SILENT_PHONES) -> DataFrame:
+    """A phone table without silences: compared in lower case, without position tags and stress digits."""
+    return ctm.where(~normal_phone(F.col(label)).isin(*silent))
+
+
 def special_only(words: DataFrame, special: list[str]) -> DataFrame:
     """Utterances of nothing but special words."""
     return words.groupBy("utt_id").agg(F.count_if(F.col("label").isin(special)).alias("s"), F.count("*").alias("n")).where("s = n").select("utt_id")

@@ -2,27 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import deque
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def repaired(ctm: DataFrame) -> DataFrame:
-    """utt_id, ord, label, start, end: a start after the repaired end before it moves back to it.
+def _streamed(ordered: DataFrame, schema: str, step: Callable[[], Callable[[int, list], list]]) -> DataFrame:
+    """Rows of `ordered` (dealt by utt_id and sorted by it and time in each partition) through a state that begins anew for each utterance.
 
-    Moved ends feed the next interval, so each utterance's ordered intervals are folded (an array bounded by one recording).
+    step() makes that state: a function of a row that gives rows, and of None at the utterance's end. Batches pass one by one, so neither
+    an utterance nor a partition is ever held.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("ord", "label", F.round("start", 4).alias("start"), "dur")))
+    names = [f.split()[0].strip("`") for f in schema.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    target = pa.schema([(n, types[f.split()[1]]) for n, f in zip(names, schema.split(", "), strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        utt, own = None, None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own is None or row[0] != utt:
+                    out += own(utt, None) if own else []
+                    utt, own = row[0], step()
+                out += own(utt, row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), target.types, strict=True)], schema=target)
+        if own:
+            out = own(utt, None)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), target.types, strict=True)], schema=target)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def repaired(ctm: DataFrame, silent: tuple[str, ...] = ()) -> DataFrame:
+    """utt_id, ord, label, start, end: a start after the repaired end before it moves back to it; silences fall out first.
+
+    Moved ends feed the next interval, so sorted rows stream through a state of one number.
+    """
+    rows = ctm.where(~F.col("label").isin(*silent)) if silent else ctm
+    rows = rows.select("utt_id", F.col("ord").cast("int").alias("ord"), "label", F.round("start", 4).alias("start"), F.col("dur").cast("double").alias("dur"))
+
+    def step() -> Callable[[int, list], list]:
+        last = math.inf
+
+        def own(utt: int, row: tuple | None) -> list:
+            nonlocal last
+            if row is None:
+                return []
+            start = min(row[3], last)
+            last = _rounded(start + row[4])
+            return [(utt, row[1], row[2], start, last)]
+
+        return own
+
+    return _streamed(rows.repartition("utt_id").sortWithinPartitions("utt_id", "ord"), f"utt_id {_kind(ctm)}, ord int, label string, start double, end double", step)
+
+
+def _rounded(x: float, places: int = 4) -> float:
+    """Half up on the decimal that the double prints as, as Spark rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
 
-    def step(acc, x):
-        start = F.least(x["start"], F.coalesce(F.element_at(acc, -1)["end"], x["start"]))
-        return F.concat(acc, F.array(F.struct(x["ord"].alias("ord"), x["label"].alias("label"), start.alias("start"), F.round(start + x["dur"], 4).alias("end"))))
 
-    empty = F.array().cast("array<struct<ord:int,label:string,start:double,end:double>>")
-    first = lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["ord"].alias("ord"), x["label"].alias("label"), x["start"].alias("start"), F.round(x["start"] + x["dur"], 4).alias("end")))).otherwise(step(acc, x))
-    return ctm.groupBy("utt_id").agg(ordered.alias("i")).select("utt_id", F.explode(F.aggregate("i", empty, lambda acc, x: first(acc, x))).alias("x")).select("utt_id", "x.*")
+def _kind(df: DataFrame) -> str:
+    return {"bigint": "long"}.get(dict(df.dtypes)["utt_id"], dict(df.dtypes)["utt_id"])
 
 
 def snapped(intervals: DataFrame, within: float = 0.01) -> DataFrame:
@@ -75,29 +122,54 @@ def endpoint_means(intervals: DataFrame, frames: DataFrame) -> DataFrame:
     return frame_at(ends, frames).groupBy("utt_id", "ord").agg(F.avg("left_value").alias("mean_value"))
 
 
-def voiced(frames: list[bool], duration: float, buffer: int = 10, share: float = 0.9) -> list[tuple[float, float]]:
-    """Start and end of voiced stretches: a buffer mostly voiced opens one, a buffer mostly unvoiced closes it.
+class Voiced:
+    """Start and end of voiced stretches, frame by frame: a buffer mostly voiced opens one, a buffer mostly unvoiced closes it.
 
     The buffer empties at each turn; a stretch that is still open ends at the start of the last frame.
     """
-    out, held, opened = [], [], None
-    for k, speech in enumerate(frames):
-        held = [*held, speech][-buffer:]
-        if opened is None and sum(held) > share * buffer:
-            opened, held = k - len(held) + 1, []
-        elif opened is not None and len(held) - sum(held) > share * buffer:
-            out.append((opened * duration, k * duration + duration))
-            opened, held = None, []
-    if opened is not None:
-        out.append((opened * duration, (len(frames) - 1) * duration))
-    return out
+
+    def __init__(self, duration: float, buffer: int = 10, share: float = 0.9):
+        self.duration, self.most = duration, share * buffer
+        self.held: deque[bool] = deque(maxlen=buffer)
+        self.opened, self.seen = None, 0
+
+    def frame(self, speech: bool) -> list[tuple[float, float]]:
+        self.held.append(speech)
+        self.seen += 1
+        yes = sum(self.held)
+        if self.opened is None and yes > self.most:
+            self.opened = self.seen - len(self.held)
+            self.held.clear()
+        elif self.opened is not None and len(self.held) - yes > self.most:
+            found = [(self.opened * self.duration, (self.seen - 1) * self.duration + self.duration)]
+            self.opened = None
+            self.held.clear()
+            return found
+        return []
+
+    def end(self) -> list[tuple[float, float]]:
+        return [] if self.opened is None else [(self.opened * self.duration, (self.seen - 1) * self.duration)]
+
+
+def voiced(frames: list[bool], duration: float, buffer: int = 10, share: float = 0.9) -> list[tuple[float, float]]:
+    """The stretches of a list of frames."""
+    state = Voiced(duration, buffer, share)
+    return [found for speech in frames for found in state.frame(speech)] + state.end()
 
 
 def voiced_segments(frames: DataFrame, duration: float = 0.03, buffer: int = 10) -> DataFrame:
-    """utt_id, segment, start, end from frames (utt_id, i, is_speech); an utterance is one task's group, bounded by a recording."""
+    """utt_id, segment, start, end from frames (utt_id, i, is_speech); sorted frames stream through the state of one buffer."""
+    rows = frames.select("utt_id", "i", "is_speech").repartition("utt_id").sortWithinPartitions("utt_id", "i")
+
+    def step() -> Callable[[int, list], list]:
+        state, n = Voiced(duration, buffer), 0
+
+        def own(utt: int, row: tuple | None) -> list:
+            nonlocal n
+            found = state.end() if row is None else state.frame(bool(row[2]))
+            n += len(found)
+            return [(utt, n - len(found) + k, a, b) for k, (a, b) in enumerate(found)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = voiced(pdf.sort_values("i")["is_speech"].tolist(), duration, buffer)
-        return pd.DataFrame({"utt_id": pdf["utt_id"].iloc[0], "segment": range(len(found)), "start": [a for a, _ in found], "end": [b for _, b in found]}).astype({"segment": "int32", "start": float, "end": float})
+        return own
 
-    return frames.select("utt_id", "i", "is_speech").groupBy("utt_id").applyInPandas(run, "utt_id long, segment int, start double, end double")
+    return _streamed(rows, f"utt_id {_kind(frames)}, segment int, start double, end double", step)

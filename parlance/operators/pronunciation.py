@@ -43,6 +43,15 @@ def positional_join(left: DataFrame, right: DataFrame, keys: list[str], order: s
     return a.join(b.select(*keys, "place", other), [*keys, "place"]).withColumn("agree", F.col("label") == F.col(other))
 
 
+def scored_phones(phones: DataFrame, scores: DataFrame, keys: list[str], ignored: list[str]) -> DataFrame:
+    """Phones and scores of equal place (keys, ord), without those phones that do not count; what is left is numbered anew as `place`.
+
+    phones: keys, ord, label. scores: keys, ord, gop. Both sides lose a row together, so they stay aligned.
+    """
+    both = phones.join(scores.select(*keys, "ord", "gop"), [*keys, "ord"]).where(~F.col("label").isin(ignored))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")))
+
+
 def _f1(hit: Column, false: Column, missed: Column) -> Column:
     return F.coalesce(F.try_divide(2 * hit, 2 * hit + false + missed), F.lit(0.0))
 

@@ -32,13 +32,19 @@ def upper_share(texts: DataFrame) -> DataFrame:
     return texts.agg((up > low).alias("upper"))
 
 
-def replace_missing(words: DataFrame, lexicon: DataFrame, keys: list[str], upper: bool) -> DataFrame:
-    """Texts with <UNK> for words that the lexicon lacks (compared in lower case) and one case for the rest."""
-    known = lexicon.select("word", F.lit(True).alias("known")).distinct()
-    cased = F.upper("label") if upper else F.lower("label")
-    rows = words.withColumn("word", F.lower("label")).join(known, "word", "left").withColumn("out", F.when(F.col("known"), cased).otherwise("<UNK>"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "out"))), lambda x: x["out"]), " ")
-    return rows.groupBy(*keys).agg(text.alias("text"))
+def replace_missing(texts: DataFrame, lexicon: DataFrame, keys: list[str], upper: bool) -> DataFrame:
+    """keys and texts with <UNK> for words that the lexicon lacks (compared in lower case) and one case for the rest; blank texts fall out.
+
+    Only a text's distinct words go to the join, and only those that are known come back to it. Of the shuffles the one by word
+    has at most a row for each text there, and a join with a large lexicon splits it where it is skewed.
+    """
+    rows = texts.select(*keys, tokens(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("low", F.transform("words", F.lower))
+    found = rows.select(*keys, F.explode(F.array_distinct("low")).alias("word")).join(lexicon.select("word").distinct(), "word", "left_semi")
+    known = found.groupBy(*keys).agg(F.collect_set("word").alias("known"))  # bounded by the text's own words
+    cased = F.transform("words", F.upper) if upper else F.col("low")
+    both = rows.withColumn("cased", cased).join(known, keys, "left")
+    out = F.zip_with("low", "cased", lambda w, c: F.when(F.coalesce(F.array_contains("known", w), F.lit(False)), c).otherwise("<UNK>"))
+    return both.select(*keys, F.array_join(out, " ").alias("text"))
 
 
 def even_split(ctm: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -49,15 +55,61 @@ def even_split(ctm: DataFrame, lexicon: DataFrame) -> DataFrame:
     return rows.select("utt_id", "ord", "label", "pos", "phone", (F.col("start") + F.col("pos") * share).alias("start"), share.alias("dur"))
 
 
+def split_totals(ctm: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """phone, pos and, over all words, the sums of what even_split gives for them: n, starts, durs.
+
+    Words are summed before they meet the lexicon, so a frequent word is one row there: start + pos x share is linear in both.
+    """
+    words = ctm.groupBy(F.col("label").alias("word")).agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("dur").alias("durs"))
+    rows = words.join(lexicon.where(F.size("phones") > 0), "word").select("n", "starts", "durs", F.size("phones").alias("size"), F.posexplode("phones").alias("pos", "phone"))
+    share = F.col("durs") / F.col("size")
+    return rows.groupBy("phone", "pos").agg(F.sum("n").alias("n"), F.sum(F.col("starts") + F.col("pos") * share).alias("starts"), F.sum(share).alias("durs"))
+
+
+def phone_texts(words: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the phones of each text in order, joined by spaces; words that the lexicon lacks have none."""
+    found = words.withColumn("word", F.lower("label")).join(lexicon.select("word", "phones"), "word")
+    parts = F.sort_array(F.collect_list(F.struct("ord", "phones")))
+    return found.groupBy(*keys).agg(F.array_join(F.flatten(F.transform(parts, lambda x: x["phones"])), " ").alias("phone_text"))
+
+
+def extended(lexicon: DataFrame, found: DataFrame) -> DataFrame:
+    """The lexicon and the pronunciations of words that it lacks (of several, the least)."""
+    new = found.join(lexicon.select("word"), "word", "left_anti").groupBy("word").agg(F.min("phones").alias("phones"))
+    return lexicon.select("word", "phones").unionByName(new)
+
+
+def token_lists(symbols: DataFrame) -> DataFrame:
+    """kind and token: `disfluency` for symbols that begin with @ or <, `silence` for each symbol and what comes before its position tag."""
+    first = F.split_part("symbol", F.lit("_"), F.lit(1))
+    loud = symbols.where(F.substring("symbol", 1, 1).isin("@", "<")).select(F.lit("disfluency").alias("kind"), F.col("symbol").alias("token"))
+    quiet = symbols.select(F.lit("silence").alias("kind"), F.explode(F.array("symbol", first)).alias("token"))
+    return loud.unionByName(quiet).distinct()
+
+
 def letter_phones(words: DataFrame) -> DataFrame:
     """A stand-in pronunciation: the letters of a word. It is not a pronunciation model."""
     return words.select("word", F.filter(F.split("word", ""), lambda c: c.rlike(r"\p{L}")).alias("phones"))
 
 
-def rolled_up(utts: DataFrame, key: str, order: str, text: Column, label: str) -> DataFrame:
-    """Texts of a speaker joined in order, with the first label. A speaker's texts are one row by definition."""
+def rolled_up(utts: DataFrame, key: str, order: str, text: Column, label: str, per: int = 1000) -> DataFrame:
+    """Texts of a speaker joined in order, in parts: key, part, text, n_utts and the label of the speaker's first utterance.
+
+    order: an integer. A part holds the utterances of one stretch of `per` numbers, so none grows with the speaker; the parts one after
+    another, with a space between, are the whole text.
+    """
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), " ")
-    return utts.groupBy(key).agg(parts.alias("text"), F.min_by(label, order).alias("label"), F.count("*").alias("n_utts"))
+    part = F.floor(F.col(order) / per).alias("part")
+    cut = utts.groupBy(key, part).agg(parts.alias("text"), F.count("*").alias("n_utts"), F.min(F.struct(order, F.col(label).alias("label"))).alias("first"))
+    first = cut.groupBy(key).agg(F.min("first").getField("label").alias("label"))
+    return cut.drop("first").join(first, key)
+
+
+def first_labels(utts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """utts with the label of their key; a key without one is an error where its rows are computed."""
+    missing = F.raise_error(F.concat(F.lit(f"no label for {key} "), F.col(key).cast("string")))
+    both = utts.join(labels.select(key, "label", F.lit(True).alias("_found")), key, "left")
+    return both.withColumn("label", F.when(F.col("_found"), F.col("label")).otherwise(missing)).drop("_found")
 
 
 def without_stop_words(words: DataFrame, stop_words: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_utterances(df: DataFrame, path: str, key: str = "utt_id", name: str = "utts") -> None:
+    """One document {"utts": {utt: {...}, ...}} over the part files in order of their names; the parts of a plain `cat` are valid JSON."""
+    first = df.agg(F.min(key)).first()[0]  # one value: the row that no comma comes before
+    quoted = F.expr(f"substring(to_json(named_struct('k', cast(`{key}` as string))), 6)")  # what follows {"k":
+    value = F.concat(F.when(F.col(key) == F.lit(first), "").otherwise(","), F.expr("substring(quoted, 1, length(quoted) - 1)"), F.lit(": "), F.to_json(F.struct(*(c for c in df.columns if c != key))))
+    body = df.withColumn("quoted", quoted).select(F.col(key).alias("k"), F.lit(1).alias("place"), value.alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, '{"' + name + '": {'), (2, "}}")], "place int, value string").select(F.lit(None).cast(df.schema[key].dataType).alias("k"), "place", "value")
+    body.unionByName(ends).orderBy("place", "k").select("value").write.mode("overwrite").text(path)
+
+
+def write_errors(df: DataFrame, path: str, failed: Column, key: str = "utt_id") -> None:
+    """Keys of the rows that failed, one a line."""
+    df.where(failed).select(F.col(key).cast("string").alias("value")).distinct().write.mode("overwrite").text(path)
+
+
 def write_parts(df: DataFrame, path: str, by: str) -> None:
     """Parquet in a folder for each value of `by`; a rerun replaces only the folders it writes."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -217,7 +217,9 @@ def test_vocabulary(spark):
     rows = spark.createDataFrame([("u", 1, "the"), ("u", 2, "dog"), ("u", 3, "cat")], "utt_id string, ord int, label string")
     assert [r.word for r in vocabulary.missing_words(texts, lex).collect()] == ["dog"]
     assert one(vocabulary.first_missing(rows, lex, ["utt_id"]))["first_oov"] == "dog"
-    assert one(vocabulary.replace_missing(rows, lex, ["utt_id"], False))["text"] == "the <UNK> cat"
+    told = spark.createDataFrame([("u", "The  dog cat"), ("v", None), ("w", " "), ("x", "CAT cat")], "utt_id string, text string")
+    for upper, want in ((False, {"u": "the <UNK> cat", "x": "cat cat"}), (True, {"u": "THE <UNK> CAT", "x": "CAT CAT"})):
+        assert {r.utt_id: r.text for r in vocabulary.replace_missing(told, lex, ["utt_id"], upper).collect()} == want
     split = vocabulary.even_split(rows.withColumns({"start": F.lit(1.0), "dur": F.lit(0.3)}), vocabulary.letter_phones(lex)).where("label = 'cat'").orderBy("pos").collect()
     assert [(r.phone, round(r.start, 2), round(r.dur, 2)) for r in split] == [("c", 1.0, 0.1), ("a", 1.1, 0.1), ("t", 1.2, 0.1)]
 
@@ -311,3 +313,64 @@ def test_flattening(spark):
     df = spark.createDataFrame([("u", 1.0, (2.0,)), ("v", None, None)], "utt_id string, a double, rhythm struct<x:double>")
     got = {r.utt_id: r.asDict() for r in features.flattened(df, ["a", "b"], "rhythm", ["x", "y"]).collect()}
     assert got == {"u": {"utt_id": "u", "a": 1.0, "b": 0.0, "x": 2.0, "y": None}, "v": {"utt_id": "v", "a": 0.0, "b": 0.0, "x": None, "y": None}}
+
+
+def test_streamed_states(spark):
+    """Repair and voicing row by row are those of whole lists, over batches of three rows."""
+    from parlance.operators import intervals
+
+    rng = random.Random(12)
+    rows = [(u, k + 1, rng.choice(["a", "sil"]), round(k * 0.5 + rng.random(), 2), round(rng.random(), 2)) for u in range(9) for k in range(rng.randrange(1, 40))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        ctm = spark.createDataFrame(rows, "utt_id long, ord int, label string, start double, dur double")
+        for silent in ((), ("sil",)):
+            want, last = [], {}
+            for u, o, label, start, dur in rows:
+                if label not in silent:
+                    start = min(start, last.get(u, math.inf))
+                    last[u] = round(start + dur, 4)
+                    want.append((u, o, label, start, last[u]))
+            assert sorted(map(tuple, intervals.repaired(ctm, silent).collect())) == sorted(want)
+        frames = [(u, k, rng.random() < (0.97 if k // 15 % 2 else 0.03)) for u in range(7) for k in range(rng.randrange(5, 120))]
+        got = intervals.voiced_segments(spark.createDataFrame(frames, "utt_id long, i int, is_speech boolean")).collect()
+        assert sorted(map(tuple, got)) == [(u, k, a, b) for u in range(7) for k, (a, b) in enumerate(intervals.voiced([s for v, _, s in frames if v == u], 0.03))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_running_count_has_buckets_by_rows(spark):
+    from parlance.functions import stats
+
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("x"), F.lit(2).alias("n"))
+    got = stats.running_count(df, "x", F.col("n"), "total", bucket_rows=20).collect()
+    assert {r.x: r.total for r in got} == {x: 2 * (x + 1) for x in range(5000)}
+    assert stats.running_count(df.limit(0), "x", F.col("n"), "total").count() == 0
+
+
+def test_one_document_of_utterances(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([("u2", 1.5, "x"), ('u"1\\', None, "y"), ("u3", 2.0, None)], "utt_id string, score double, label string").repartition(3)
+    sinks.write_utterances(df, str(tmp_path / "utts"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "utts").glob("part-*")))
+    assert json.loads(text) == {"utts": {"u2": {"score": 1.5, "label": "x"}, 'u"1\\': {"label": "y"}, "u3": {"score": 2.0}}}
+    sinks.write_errors(df, str(tmp_path / "bad"), F.col("score").isNull())
+    assert [p.read_text() for p in (tmp_path / "bad").glob("part-*") if p.stat().st_size] == ['u"1\\\n']
+
+
+def test_missing_label_is_an_error(spark):
+    a = spark.createDataFrame([(1,), (2,)], "k long")
+    b = spark.createDataFrame([(1, "x")], "k long, label string")
+    assert one(vocabulary.first_labels(a.where("k = 1"), b, "k"))["label"] == "x"
+    with pytest.raises(Exception, match="no label for k 2"):
+        vocabulary.first_labels(a, b, "k").collect()
+
+
+def test_split_totals_are_those_of_the_split(spark):
+    rows = spark.createDataFrame([("u", k, w, k * 0.5, 0.25) for k, w in enumerate(["cat", "the", "cat", "dog", "ab", ""] * 5)], "utt_id string, ord int, label string, start double, dur double")
+    lex = vocabulary.letter_phones(spark.createDataFrame([("cat",), ("the",), ("ab",), ("1",)], "word string"))
+    want = vocabulary.even_split(rows, lex).groupBy("phone", "pos").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("dur").alias("durs"))
+    got = vocabulary.split_totals(rows, lex)
+    cut = lambda df: sorted((r.phone, r.pos, r.n, round(r.starts, 6), round(r.durs, 6)) for r in df.collect())
+    assert cut(got) == cut(want)
