@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog
+from .plans import catalog, jobs  # noqa: F401  jobs adds its queries to the catalogue
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
