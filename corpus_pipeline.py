@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Stages 1 to 4 return the columns of
 documents; the last returns doc_id, n_tokens, ids, ids_sha256, round_trip and parity.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, other columns beside those of documents, and empty tables (which give
+empty tables). Rows without an id are judged as all others. The first stage drops null and letterless texts; the others keep null texts.
 """
 
 from __future__ import annotations
@@ -14,28 +17,34 @@ from parlance.llm.queries import held_out
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is a language that the labels teach; null texts and texts without letters go."""
+    """Documents whose text is a language that the labels teach; null texts and texts without letters go, equal texts alike.
+
+    Without any label there is no language to know, and nothing is kept.
+    """
     return langid.keep_identified(docs, langid.fit(docs.where(~held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of the least id."""
+    """One document of each class of near duplicates: that of the least id, or one without an id if none of the class has one.
+
+    Rows equal in id and text are one; wordless texts are near nothing.
+    """
     return near_dedup.keep_one(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lie in passages of benchmark items."""
+    """Documents of which less than a twentieth of the words lie in passages of benchmark items; wordless ones stay, repeated rows share their fate."""
     return decontaminate.keep_clean(docs, parquet(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All documents, personal data replaced by its kind; n_chars follows the text. Null texts stay null; repeated rows stay."""
     masked = pii.mask_personal_data(docs)
     return masked.selectExpr(*(f"cast(char_length(text) as bigint) as {c}" if c == "n_chars" else f"`{c}`" for c in docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, decoded again and held against the reference library."""
+    """Ids of every document, decoded again and held against the sentencepiece library; null and empty texts have none."""
     return sentencepiece_codec.encoded(docs)
 
 
