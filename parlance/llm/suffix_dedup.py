@@ -6,9 +6,10 @@ anchor and content, as hashes; an anchor seen once cannot repeat, and one that a
 throughout. Only the distinct pieces of the other anchors are fetched from the texts, dealt out by anchor, trimmed to what another piece may share, and
 put into a suffix array in each task: equal windows are neighbours in it. Documents gather their repeated windows and drop the bytes they cover.
 
-A common line has an anchor with a new context in every document. Such a group of more than `task_bytes` is split by the text around the
+A common line has an anchor with a new context in every document. So groups are split by the text around the
 anchor: a window lies at least half to its left or half to its right, so its piece's windows go to two groups, keyed by
-the half context on that side; again and again until groups are small or all of a group's windows are known to be equal.
+the half context on that side. A group of one cannot repeat and goes no further. Groups of more than `task_bytes` are split again by half
+of what is open of the context, until they are small or all of a group's windows are known to be equal.
 
 The suffix array is built as Baier's grouping does: suffixes are grouped by their first byte, groups are taken from the
 highest down, and each splits the groups of its members' previous smaller suffixes by how many of its members point there, until
@@ -244,8 +245,8 @@ def _halves(over: DataFrame, length: int) -> DataFrame:
 
 def _bounded(pieces: DataFrame, length: int, task_bytes: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups (by key) of at most task_bytes; and rows of larger ones whose windows are all equal."""
-    ready, equal, now = [], [], pieces
-    for level in range(length.bit_length() + 2):
+    ready, equal, now = [], [], _halves(pieces, length)
+    for _ in range(length.bit_length() + 2):
         sizes = now.groupBy("key").agg(F.sum(F.octet_length("piece")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.max("often").alias("often"))
         kinds = sizes.where("rows > 1 or often").select("key", (F.col("bytes") > task_bytes).alias("large"))  # a lone window repeats nowhere
         judged = now.join(kinds, "key")
@@ -255,8 +256,7 @@ def _bounded(pieces: DataFrame, length: int, task_bytes: int) -> tuple[DataFrame
         if large.isEmpty():
             dropped(large)
             break
-        if level:
-            equal.append(large.where(known))
+        equal.append(large.where(known))
         now = _halves(large.where(~known), length)
     else:  # what is open of a window's context halves in each round
         raise RuntimeError("groups did not settle")
