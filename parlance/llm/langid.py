@@ -273,7 +273,8 @@ def fit(labelled: DataFrame, order: int = 5, docs_per_lang: int = 1500, reject_r
             gap = (entropy - entropy.min(axis=1, keepdims=True)) * (sharpness * np.sqrt(np.minimum(length, 400)) / 20)[:, None]
             return float((np.log(np.exp(-np.minimum(gap, 700)).sum(axis=1)) + gap[np.arange(len(truth)), truth])[known].mean())
 
-        model.sharpness = min((2.0**e for e in range(-2, 9)), key=loss)
+        if known.any():
+            model.sharpness = min((2.0**e for e in range(-2, 9)), key=loss)
     return model
 
 

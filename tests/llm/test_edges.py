@@ -71,3 +71,20 @@ def test_keepers_keep_columns(spark, docs, model):
 def test_no_language_to_learn(spark, docs):
     none = langid.fit(docs.where("lang = 'xx'"))
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
+
+
+def test_decoded_edges(spark, docs):
+    back = sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((r[0] or 0, r[1] or "") for r in ROWS)
+    odd = spark.createDataFrame([(1, None, "x"), (None, [], "x"), (2, [], None)], "doc_id long, ids array<int>, text string")
+    assert sorted(((r.doc_id or 0, r.text) for r in sentencepiece_codec.decoded(odd).collect()), key=str) == [(0, ""), (1, None), (2, "")]
+    assert sentencepiece_codec.decoded(odd.limit(0)).count() == 0
+
+
+def test_media_edges(spark, docs):
+    stored = media.media_column(docs)
+    assert stored.columns == ["doc_id", "avi"] and stored.count() == len(ROWS) and stored.where("avi is null").count() == 0
+    clips = media.clip_rows(docs).groupBy("doc_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b")).collect()
+    assert {r.doc_id for r in clips} == {r[0] for r in ROWS} and all(r.a == 0 and r.b > 0 for r in clips)
+    for made in (media.media_column(docs.limit(0)), media.clip_rows(docs.limit(0)), media.clips_of(stored.limit(0))):
+        assert made.count() == 0
