@@ -264,6 +264,11 @@ def _scored(table: pa.Table, order: int, alpha: float, min_count: int) -> pa.Tab
     return pa.table([docs.column("doc_id"), pa.array(n), pa.array(np.round(total, 4)), mean, pa.array(summed((used == order - 1).astype(np.int64))), pa.array(summed((used == 0).astype(np.int64)))], names=names)
 
 
+def ranges(size: int, part_bytes: int, block_bytes: int) -> int:
+    """Ranges of hashes for an input of so many bytes: a block gives at most a row for each."""
+    return max(16, min(-(-size // part_bytes), block_bytes >> 8))
+
+
 def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, block_bytes: int = 8 << 20, part_bytes: int = 4 << 20,
                     stable: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_words, log_score (natural), mean_log, n_longest, n_single.
@@ -280,7 +285,7 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_cou
         rows = stored(rows, "lm-documents")
     rows = rows.withColumn("task", F.spark_partition_id())
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(16, min(-(-size // part_bytes), block_bytes >> 8))
+    parts = ranges(size, part_bytes, block_bytes)
     asked = rows.mapInArrow(lambda it: _asked(it, order, parts, block_bytes), _DDL)
     answers = asked.groupBy("part").applyInArrow(_answered, _DDL)
     texts = rows.mapInArrow(lambda it: _texts(it, block_bytes), _DDL)

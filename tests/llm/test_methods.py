@@ -345,6 +345,40 @@ def test_lm_scores(docs, texts):
         assert abs(s - got.loc[d].log_score) < 1e-2 and len(w) == got.loc[d].n_words
 
 
+def test_lm_rows_grow_with_the_input(spark):
+    """Rows that blocks send are bounded by the blocks' size, so twice the input gives twice the rows."""
+    block, part = 1 << 13, 1 << 9
+    counts = []
+    for copies in (1, 2, 4):
+        texts = [" ".join(f"w{(7 * k + j * j) % 900}" for j in range(300)) for k in range(100 * copies)]
+        df = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "doc_id long, text binary").repartition(2).withColumn("task", F.spark_partition_id())
+        parts = lm_scoring.ranges(sum(map(len, texts)), part, block)
+        counts.append(df.mapInArrow(lambda it, n=parts: lm_scoring._asked(it, 3, n, block), lm_scoring._DDL).count())
+    assert 1.7 < counts[1] / counts[0] < 2.3 and 1.7 < counts[2] / counts[1] < 2.3
+
+
+def test_lm_checksums_see_order_and_content():
+    marks = set()
+    for ids, texts in (([1, 2], [b"a b", b"c"]), ([2, 1], [b"a b", b"c"]), ([1, 2], [b"c", b"a b"]), ([1, 2], [b"a bc", b""]), ([1, 2], [b"a b", b"d"]), ([1, None], [b"a b", None])):
+        batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array([0, 0], pa.int32())], names=["doc_id", "text", "task"])
+        marks.add(next(lm_scoring._blocks(iter([batch]), 1 << 20))[1])
+    assert len(marks) == 6
+
+
+def test_lm_hashes_are_those_of_the_words():
+    cases = [b"a b", b"A-b a", None, b"", b"  x", b"x", b"x", "\u00e91 \u00c91".encode(), b"q" * 200_000, b"q" * 200_000 + b" q", b"z"]
+    want = [decontaminate.words(t) for t in cases]
+    for first in (0, 2, 5):
+        hashes, n = lm_scoring.hashed_words(pa.array(cases, pa.binary()).slice(first))
+        own = [w for words in want[first:] for w in words]
+        assert n.tolist() == [len(w) for w in want[first:]] and len(set(zip(own, hashes.tolist(), strict=True))) == len(set(own)) == len(set(hashes.tolist()))
+    rng = np.random.default_rng(3)
+    for n, bits in ((0, 64), (1, 64), (3000, 3), (50_000, 18), (50_000, 64)):
+        x = rng.integers(0, 2**bits - 1, n, dtype=np.uint64) | np.uint64(1 << 63)
+        values, place = lm_scoring.distinct(x)
+        assert (values == np.unique(x)).all() and (values[place] == x).all()
+
+
 def test_hypergeometric_draws():
     rng = np.random.default_rng(1)
     big = [sharding.hypergeometric(rng, 10**9, 3 * 10**9, 400) for _ in range(4000)]
@@ -567,7 +601,7 @@ def _near(sets):
     return {k: find(k) for k in ids}
 
 
-@pytest.mark.parametrize("small,chunk", [(16, 32), (1, 0.5)])
+@pytest.mark.parametrize("small,chunk", [(16, 256), (1, 0.5)])
 def test_near_duplicates(spark, texts, monkeypatch, small, chunk):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
