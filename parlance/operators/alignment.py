@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INSERT, DELETE, SUBSTITUTE, TILT = 3, 3, 4, 1e-7
-#: Tables of more cells than this are not kept whole.
-SMALL = 4096
+#: Steps of tables of more cells than this (a byte each) are not kept whole.
+SMALL = 1 << 20
 
 
 def edit_distance(ref: list[str | None], hyp: list[str | None]) -> int:
