@@ -34,7 +34,7 @@ from .components import components
 
 BANDS, ROWS = 48, 5
 #: Buckets of more members than SMALL are compared in blocks of two chunks; CHUNK sets their number, see above.
-SMALL, CHUNK = 16, 32
+SMALL, CHUNK = 16, 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -212,7 +212,7 @@ def _likely(table: pa.Table, percent: int, differing: int, cells: int = 1 << 22)
         yield u[later] + i, v[later]
 
 
-def _compared(many: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, differing: int) -> DataFrame:
+def _compared(many: DataFrame, sets: DataFrame, percent: int, differing: int) -> DataFrame:
     """Links between components within large buckets, a spanning set of them for each block of members.
 
     A bucket's members are dealt to chunks; each two chunks (and each with itself) are a block. A pair is looked at in the first
@@ -251,7 +251,7 @@ def _compared(many: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
     left = stored(dealt.groupBy("band", "a", "b").applyInArrow(partnered, schema), "partnered")
-    whole = left.join(nodes.select("node", "bands"), "node").join(sets.select("node", "shingles"), "node")
+    whole = left.join(sets.select("node", "bands", "shingles"), "node")
     return whole.groupBy("band", "a", "b").applyInArrow(linked, "u long, v long")
 
 
@@ -291,9 +291,9 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, id
     center = nodes.select(F.col("node").alias("v"), F.col("n").alias("vn"))
     star = buckets.where("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v"), F.col("n").alias("un")).distinct()
     star = stored(star.join(center, "v").where(near("un", "vn")).select("u", "v"), "star")
-    wanted = buckets.select("node").distinct().join(nodes, "node").select("row", "node", F.col("digest").alias("expected"))
-    fetched = _sets(source.join(wanted.drop("expected"), "row").select("node", "text"), size).join(wanted.select("node", "expected"), "node")
-    sets = stored(fetched.where("digest = expected").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    wanted = buckets.select("node").distinct().join(nodes, "node").select("row", "node", "bands", F.col("digest").alias("expected"))
+    fetched = _sets(source.join(wanted.select("row", "node"), "row").select("node", "text"), size).join(wanted.drop("row"), "node")
+    sets = stored(fetched.where("digest = expected").select("node", "bands", "shingles").dropDuplicates(["node"]), "sets")
     links = stored(_verified(star, sets, percent), "links")
     dropped(star)
     joined = components(links)
@@ -307,7 +307,7 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, id
     likely = _differing("signature", "vsignature", -(-bands * rows // 32)) <= differing
     pairs = few.withColumnsRenamed({"node": "u", "n": "un"}).join(right, "band").where((F.col("u") > F.col("v")) & (F.col("label") != F.col("vlabel")) & near("un", "vn") & likely)
     more = _verified(pairs.select("u", "v").distinct(), sets, percent)
-    more = stored(more.unionByName(_compared(left.where(F.col("members") > SMALL), nodes, sets, percent, differing)), "links")
+    more = stored(more.unionByName(_compared(left.where(F.col("members") > SMALL), sets, percent, differing)), "links")
     if not more.isEmpty():
         before, joined = joined, components(joined.union(more))
         dropped(before)
