@@ -1,0 +1,273 @@
+"""Operators 11 to 13 against brute force, with nulls, ties, repeats, hot groups, empty tables and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+from math import floor, inf, isfinite, nan
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from parlance.llm.divergence import share, source_divergence
+from parlance.llm.prefix_trie import Parentheses, prefix_nodes
+from parlance.llm.queries import oracle_sql
+from parlance.llm.voronoi_knn import group_cells, nearest_vectors, products
+
+CLASH = ["row", "cell", "group", "slice", "rank", "distance", "shard", "node", "prefix", "key", "n", "total", "lang_pred", "value", "_id"]
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit("clash") for c in CLASH if c not in df.columns}).repartition(3)
+
+
+# ---- op11
+
+
+def vectors():
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(6, 8)) * 3
+    rows = [(k, (centers[min(k % 12, 5)] + rng.normal(size=8) * 0.05).tolist()) for k in range(900)]
+    rows += [(100, [0.5] * 8), (100, [0.5] * 8), (100, rows[100][1]), (None, [1.0] * 8), (300, None), (400, [nan] + [1.0] * 7), (500, [inf] * 8), (600, [None] + [1.0] * 7), (700, []), (800, [2.0, 1.0])]
+    return rows + [(1000 + k, [0.25, 0.5, -0.25, 1.0, 0.0, 0.0, 0.125, 2.0]) for k in range(30)]  # equal vectors: ties
+
+
+def brute_nearest(rows, k, every=100, scale=1024):
+    usable = [(i, v, [floor(scale * x) for x in e]) for i, (v, e) in enumerate(rows) if e is not None and all(x is not None and isfinite(x) for x in e)]
+    out = []
+    for i, v, q in usable:
+        if v is None or v % every:
+            continue
+        best = sorted(((-sum(a * b for a, b in zip(q, s, strict=False)), w is None, w or 0, w) for j, w, s in usable if j != i))[:k]
+        out += [(v, r, b[3], -b[0]) for r, b in enumerate(best, 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"group_rows": 2, "slice_rows": 100, "most_pivots": 12}])
+def test_nearest_vectors(spark, sizes):
+    rows = vectors()
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    for k in (3, 10):
+        assert sorted(map(tuple, nearest_vectors(df, k, **sizes).collect()), key=str) == brute_nearest(rows, k)
+
+
+def test_nearest_vectors_small_tables(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert nearest_vectors(empty).count() == 0
+    assert nearest_vectors(spark.createDataFrame([(0, [1.0])], empty.schema)).count() == 0
+    few = [(0, [1.0, 2.0]), (1, [-1.0, 0.5]), (200, [0.0, 0.0])]
+    assert sorted(map(tuple, nearest_vectors(spark.createDataFrame(few, empty.schema)).collect()), key=str) == brute_nearest(few, 10)
+
+
+def test_bounds_leave_out_what_cannot_matter(spark):
+    """Of well separated cells only the near ones are copied to a group: the solver sees fewer rows than groups x rows."""
+    from parlance.llm import voronoi_knn
+
+    rng, seen = np.random.default_rng(1), []
+    centers = np.eye(16) * 50
+    pivots = centers
+    nearest = [np.sort(rng.random(5) * 0.1) for _ in pivots]
+    import pyarrow as pa
+
+    table = pa.table({"group": pa.array([0] * 4, pa.int64()), "row": pa.array(range(4), pa.int64()), "vec_id": pa.array(range(4), pa.int64()), "vector": pa.array([(centers[0] + 0.01 * k).tobytes() for k in range(4)], pa.binary())})
+    cuts = voronoi_knn._needed(table, pivots, nearest, 3).column("cuts")[0].as_py()
+    seen = [c <= 0.2 for c in cuts]
+    assert seen == [True] + [False] * 15
+
+
+def test_exact_products_beyond_doubles():
+    q, s = np.array([[2.0**30, 1.0]]), np.array([[2.0**30, 1.0], [2.0**30, 2.0]])
+    assert products(q, s).tolist() == [[2**60 + 1, 2**60 + 2]]
+
+
+def test_cells_are_grouped():
+    pivots = np.arange(10.0)[:, None]
+    first, parts = group_cells({0: 5, 1: 5, 2: 100, 7: 3, 9: 4}, pivots, 12)
+    assert parts[2] == 9 and first[0] == first[1] and first[7] == first[9]
+    taken = [range(first[c], first[c] + parts[c]) for c in (0, 2, 7)]
+    assert len({g for t in taken for g in t}) == sum(map(len, taken))
+
+
+# ---- op12
+
+
+def documents():
+    rng = random.Random(3)
+    vocabulary = ["the", "of", "Été", "straße", "a", "b", "zebra", "日本", "x" * 50] + [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    rows = []
+    for k in range(160):
+        lang, source = rng.choice(["en", "de"]), f"s{min(rng.randrange(9), 4)}"
+        rows.append((k, " ".join(rng.choice(vocabulary[: 5 + 12 * int(source[1])]) for _ in range(rng.randrange(30))), lang, source))
+    rows += [(200, "The THE the 12the_the\x00a\x7fb", "en", "s0"), (201, None, "en", "only"), (202, "", None, None), (203, "alone", "fr", "x"), (204, "alone alone", "fr", "y"), (None, "the of", None, "s1"), (205, "the of", "", "s1"), (206, "the of a", None, "s9")]
+    return rows + [(207, "the zebra " * 3000, "en", "s1")] + [rows[0]] * 3
+
+
+def brute_divergence(rows, top):
+    docs = [(t or "", g or "", s or "") for _, t, g, s in rows]
+    words = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t)]
+    out = []
+    for lang in {d[1] for d in docs}:
+        own = [d for d in docs if d[1] == lang]
+        df = Counter(w for d in own for w in set(words(d[0])))
+        kept = sorted(w for w, n in df.items() if n >= 3)
+        count = {s: Counter(w for d in own if d[2] == s for w in words(d[0]) if df[w] >= 3) for s in {d[2] for d in own}}
+        whole = sum(count.values(), Counter())
+        p = lambda c: {w: 1 + floor(Fraction(10**9 * (c[w] + 1), sum(c.values()) + len(kept))) for w in kept}
+        f = lambda a, b: (a - b) ** 2 // b
+        ps, q = {s: p(c) for s, c in count.items()}, p(whole)
+        for s in count:
+            pairs = sorted(((-sum(f(ps[s][w], ps[o][w]) for w in kept), o) for o in count if o != s), key=lambda x: (x[0], x[1].encode()))
+            over = sorted(((-f(ps[s][w], q[w]), w) for w in kept if count[s][w] and ps[s][w] > q[w]), key=lambda x: (x[0], x[1].encode()))
+            out += [(lang, s, part, item, -v, r) for part, found in (("pair", pairs), ("term", over[:top])) for r, (v, item) in enumerate(found, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("indexing", [{}, {"shards": 5, "most_postings": 12, "fan_in": 3}])
+def test_source_divergence(spark, indexing):
+    rows = documents()
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    for top in (200, 4):
+        assert sorted(map(tuple, source_divergence(df, top, **indexing).collect())) == brute_divergence(rows, top)
+
+
+def test_source_divergence_tiles(spark, monkeypatch):
+    from parlance.llm import divergence
+
+    rows = documents()
+    import pyarrow as pa
+
+    shared = [[{"source": f"s{k}", "n": 3 * k + r, "total": 50 + k} for k in range(r % 7 + 2)] for r in range(40)]
+    batch = pa.record_batch([pa.array(["en", "de"] * 20), pa.array(shared)], ["lang", "shared"])
+    results = []
+    for cells in (1 << 20, 7):
+        monkeypatch.setattr(divergence, "_CELLS", cells)
+        total = Counter()
+        for out in divergence._by_terms(iter([batch])):
+            for r in out.to_pylist():
+                total[r["lang"], r["source"], r["item"]] += r["value"]
+        results.append(total)
+    assert results[0] == results[1] and rows
+
+
+def test_source_divergence_empty(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert source_divergence(df).count() == 0
+    df = spark.createDataFrame([(1, None, None, None), (2, None, None, "x")], df.schema)
+    assert sorted(map(tuple, source_divergence(df).collect())) == [("", "", "pair", "x", 0, 1), ("", "x", "pair", "", 0, 1)]
+
+
+def test_share_of_large_counts():
+    n, total = 3 * 10**14, 4 * 10**14 + 7
+    assert share(np.array([n]), np.array([total])).tolist() == [1 + 10**9 * (n + 1) // total]
+
+
+# ---- op13
+
+
+def random_bits(rng, pairs):
+    bits, depth, left = [True], 1, pairs - 1
+    while left or depth > 1:
+        if left and (depth == 1 or rng.random() < 0.5):
+            bits.append(True)
+            depth, left = depth + 1, left - 1
+        else:
+            bits.append(False)
+            depth -= 1
+    return np.array([*bits, False])
+
+
+@pytest.mark.parametrize("pairs", [1, 2, 31, 32, 33, 500, 5000])
+def test_find_close(pairs):
+    for bits in (random_bits(random.Random(pairs), pairs), np.repeat([True, False], pairs), np.array([True, *[True, False] * (pairs - 1), False])):
+        stack, want = [], {}
+        for k, b in enumerate(bits.tolist()):
+            if b:
+                stack.append(k)
+            else:
+                want[stack.pop()] = k
+        for block in (4, 64):
+            opens = np.flatnonzero(bits)
+            assert Parentheses(bits, block).find_close(opens).tolist() == [want[o] for o in opens.tolist()]
+
+
+def conversations():
+    rng, rows = random.Random(11), []
+    for c in range(260):
+        if c % 5 == 0 and c % 20:
+            continue
+        for turn in range(rng.choice([1, 1, 2, 3, 5, 8])):
+            rows.append((c, turn, "user" if turn % 2 == 0 else "bot", rng.choice(["hello", "hello there", "yes\tno", ""]) if c % 3 else "hot first turn"))
+    rows += [(400, k, "user", f"turn {k} of a long one") for k in range(300)] + [(401, k, "user", f"turn {k} of a long one") for k in range(290)]
+    rows += [(-7, 0, "user", "minus"), (-40, 1, None, "x y z"), (-41, 2, None, None), (500, None, "user", "null turn"), (500, 3, "user", "a"), (500, None, "bot", "other null"), (501, 0, "a", "b:c"), (502, 0, "a:", "bc")]
+    rows += [(600, 1, "u", "twice")] * 3 + [(None, 0, "user", "no id"), (None, 1, "user", "no id")]
+    return rows
+
+
+def brute_trie(rows):
+    turns = defaultdict(list)
+    digest = lambda r, t: hashlib.md5(f"{len(r)}:{r}{t}".encode()).digest()
+    for c, turn, role, text in rows:
+        if c is not None:
+            turns[c].append((turn is not None, turn or 0, digest(role or "", text or ""), role or "", text or ""))
+    own = {c: [x[3:] for x in sorted(t)] for c, t in turns.items()}
+    whole = {}
+    for c, t in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - int(np.fmod(c, 20))
+        whole[c] = tuple(own.get(base, [])[:h] + t[h:])
+    members = defaultdict(list)
+    for c, t in whole.items():
+        for d in range(len(t) + 1):
+            members[t[:d]].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * words
+    ends = {p: ",".join(str(c) for c in sorted(m) if whole[c] == p) for p, m in members.items()}
+    return sorted(((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], hashlib.sha256(ends[p].encode()).hexdigest()) for p, m in members.items()), key=str)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_turns": 10, "pack_bits": 1}, {"shard_turns": 100, "pack_bits": 3}])
+def test_prefix_nodes(spark, sizes):
+    rows = conversations()
+    df = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted(map(tuple, prefix_nodes(df, **sizes).collect()), key=str) == brute_trie(rows)
+
+
+def test_prefix_nodes_of_copies(spark):
+    """One conversation a thousand times, among few others: its members are packed, and the result is the same."""
+    rows = [(c, t, "user", f"same {t}") for c in range(0, 1000) for t in range(2)] + [(5000 + c, 0, "user", f"other {c}") for c in range(50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, prefix_nodes(df, shard_turns=20, pack_bits=4).collect()), key=str) == brute_trie(rows)
+
+
+def test_prefix_nodes_empty(spark):
+    assert prefix_nodes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    turnless = [(21, 0, "u", "gone"), (22, 0, "u", "gone too")]  # h of 21 or of 22 may exceed their turns, and there is no conversation 20
+    assert sorted(map(tuple, prefix_nodes(spark.createDataFrame(turnless, "conv_id long, turn long, role string, text string")).collect()), key=str) == brute_trie(turnless)
+
+
+@pytest.mark.parametrize("name", ["op11_nearest_vectors", "op12_source_divergence", "op13_prefix_trie"])
+def test_sql_over_edge_rows(spark, name):
+    """The registered SQL gives what the operator gives on the rows of these tests."""
+    import duckdb
+    import pandas as pd  # noqa: F401
+
+    con = duckdb.connect()
+    if name.startswith("op12"):
+        df, table, run = spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string"), "documents", source_divergence
+    elif name.startswith("op13"):
+        rows = [r for r in conversations() if r[0] not in (400, 401)]
+        df, table, run = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "conversations", prefix_nodes
+    else:
+        df, table, run = spark.createDataFrame([r for r in vectors() if r[1] is None or len(r[1]) == 8], "vec_id long, embedding array<double>"), "embeddings", nearest_vectors
+    con.register(table, df.toArrow())
+    found = run(df)
+    want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
