@@ -17,7 +17,6 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +48,6 @@ def _pack(table: pa.Table) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def _unpack(packed: bytes) -> Iterator[tuple]:
-    for batch in pa.ipc.open_stream(packed):
-        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
-
-
 def _run(counts: dict, seen: dict, shards: int) -> Iterator[tuple[int, bytes]]:
     """The block in memory as (shard, packed postings sorted by term, language and source)."""
     columns: list[list] = [[], [], [], [], []]
@@ -101,34 +95,69 @@ def _indexed(batches: Iterator[pa.RecordBatch], shards: int, most_postings: int)
     yield from spilled()
 
 
-def _merged(table: pa.Table) -> Iterator[tuple]:
-    """Heap merge of the runs of a group: each (term, language, source) once, in order."""
-    streams = [_unpack(packed.as_py()) for packed in table.column("packed")]
-    for key, same in groupby(heapq.merge(*streams), key=lambda p: p[:3]):
-        n = docs = 0
-        for p in same:
-            n += p[3]
-            docs += p[4]
-        yield (*key, n, docs)
+class _Stream:
+    """A packed run from its start, in chunks."""
+
+    def __init__(self, packed: bytes, chunk: int) -> None:
+        self._chunks = (batch.slice(a, chunk) for batch in pa.ipc.open_stream(packed) for a in range(0, batch.num_rows, chunk))
+        self.advance()
+
+    def advance(self) -> None:
+        self.now = next(self._chunks, None)
+        self.last = self.now.column("term")[-1].as_py() if self.now else None
+
+    def up_to(self, term: bytes) -> Iterator[pa.RecordBatch]:
+        """All rows left of terms up to this one."""
+        while self.now and self.last <= term:
+            yield self.now
+            self.advance()
+        if self.now and (n := pc.sum(pc.less_equal(self.now.column("term"), term)).as_py()):
+            yield self.now.slice(0, n)
+            self.now = self.now.slice(n)
+
+
+def _merged(table: pa.Table, chunk: int = 1 << 14) -> Iterator[pa.Table]:
+    """Heap merge of the runs of a group, a chunk at a time: each (term, language, source) once, in order; no term is in two tables.
+
+    The heap has the last term in memory of each run; up to the least of them nothing can follow from any run.
+    """
+    streams = [_Stream(packed.as_py(), chunk) for packed in table.column("packed")]
+    heap = [(s.last, k) for k, s in enumerate(streams) if s.now]
+    heapq.heapify(heap)
+    while heap:
+        term = heap[0][0]
+        found = [rows for s in streams for rows in s.up_to(term)]
+        while heap and heap[0][0] <= term:
+            k = heap[0][1]
+            if streams[k].now:
+                heapq.heapreplace(heap, (streams[k].last, k))
+            else:
+                heapq.heappop(heap)
+        keys = ["term", "lang", "source"]
+        yield pa.Table.from_batches(found).group_by(keys).aggregate([("n", "sum"), ("docs", "sum")]).sort_by([(c, "ascending") for c in keys]).rename_columns(_PACKED.names)
 
 
 def _bundled(table: pa.Table) -> pa.Table:
     """One longer run of a bundle of runs of a shard."""
-    out = list(zip(*_merged(table), strict=True)) or [[]] * 5
-    packed = _pack(pa.table([pa.array(c, f.type) for c, f in zip(out, _PACKED, strict=True)], _PACKED))
+    packed = _pack(pa.concat_tables(_merged(table)).combine_chunks())
     return pa.table([table.column("run").slice(0, 1), table.column("shard").slice(0, 1), pa.array([packed], pa.binary())], ["run", "shard", "packed"])
 
 
 def _kept(table: pa.Table, min_docs: int) -> pa.Table:
     """Frequencies of the terms of a shard that enough documents of their language hold."""
-    out: list[list] = [[], [], [], []]
-    for (term, lang), same in groupby(_merged(table), key=lambda p: p[:2]):
-        own = list(same)
-        if sum(p[4] for p in own) >= min_docs:
-            for value, column in zip((lang, term.decode(), [p[2] for p in own], [p[3] for p in own]), out, strict=True):
-                column.append(value)
-    kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["lang", "term", "sources", "counts"])
+    names, kinds, out = ["lang", "term", "sources", "counts"], [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())], []
+    for rows in _merged(table):
+        rows = rows.combine_chunks()
+        term, lang = (rows.column(c).combine_chunks() for c in ("term", "lang"))
+        other = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(other) + 1])
+        kept = np.add.reduceat(rows.column("docs").to_numpy(), starts) >= min_docs
+        sizes = np.diff(np.append(starts, len(term)))
+        rows, starts, sizes = rows.filter(pa.array(np.repeat(kept, sizes))), starts[kept], sizes[kept]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks()) for c in ("source", "n")]
+        out.append(pa.table([lang.take(pa.array(starts)), term.take(pa.array(starts)).cast(pa.string()), *lists], names))
+    return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names)
 
 
 def term_frequencies(docs: DataFrame, min_docs: int = 3, shards: int | None = None, most_postings: int = 400_000, fan_in: int = 256) -> DataFrame:

@@ -133,6 +133,25 @@ def test_source_divergence(spark, indexing):
         assert sorted(map(tuple, source_divergence(df, top, **indexing).collect())) == brute_divergence(rows, top)
 
 
+def test_heap_merge_in_chunks():
+    """Runs that overlap, and a term that lies across the chunks of its run: each posting once, in order, no term in two tables."""
+    import pyarrow as pa
+
+    from parlance.llm import divergence
+
+    rng, runs, want = random.Random(2), [], Counter()
+    for _ in range(7):
+        own = {(f"t{rng.randrange(30)}".encode(), rng.choice("ab"), f"s{rng.randrange(20)}"): rng.randrange(1, 9) for _ in range(rng.randrange(1, 200))}
+        want.update(own)
+        rows = [(*k, v, 1) for k, v in sorted(own.items())]
+        runs.append(divergence._pack(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), divergence._PACKED, strict=True)], divergence._PACKED)))
+    for chunk in (1, 3, 50, 1 << 14):
+        pieces = [t.to_pylist() for t in divergence._merged(pa.table({"packed": pa.array(runs, pa.binary())}), chunk)]
+        rows = [((r["term"], r["lang"], r["source"]), r["n"]) for p in pieces for r in p]
+        assert rows == sorted(want.items())
+        assert all(a[-1]["term"] < b[0]["term"] for a, b in zip(pieces, pieces[1:], strict=False))
+
+
 def test_source_divergence_tiles(spark, monkeypatch):
     from parlance.llm import divergence
 
