@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections import deque
 from collections.abc import Callable, Iterator
-from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import BLOCK_ROWS, clamped
+
 
 def _streamed(ordered: DataFrame, schema: str, step: Callable[[], Callable[[int, list], list]]) -> DataFrame:
     """Rows of `ordered` (dealt by utt_id and sorted by it and time in each partition) through a state that begins anew for each utterance.
@@ -39,33 +39,18 @@ def _streamed(ordered: DataFrame, schema: str, step: Callable[[], Callable[[int,
     return ordered.mapInArrow(run, schema)
 
 
-def repaired(ctm: DataFrame, silent: tuple[str, ...] = ()) -> DataFrame:
+def repaired(ctm: DataFrame, silent: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """utt_id, ord, label, start, end: a start after the repaired end before it moves back to it; silences fall out first.
 
-    Moved ends feed the next interval, so sorted rows stream through a state of one number.
+    Starts and durations are rounded half up to four decimals and counted in units of those, so ends are exact. The order is that of
+    ord, of equal ones by start, duration and label. A null start begins where the interval before ends (the first has null times then), a null duration
+    counts as 0. Utterances without an id are one utterance. Long ones are cut at multiples of `block_rows` in ord and run in several tasks.
     """
-    rows = ctm.where(~F.col("label").isin(*silent)) if silent else ctm
-    rows = rows.select("utt_id", F.col("ord").cast("int").alias("ord"), "label", F.round("start", 4).alias("start"), F.col("dur").cast("double").alias("dur"))
-
-    def step() -> Callable[[int, list], list]:
-        last = math.inf
-
-        def own(utt: int, row: tuple | None) -> list:
-            nonlocal last
-            if row is None:
-                return []
-            start = min(row[3], last)
-            last = _rounded(start + row[4])
-            return [(utt, row[1], row[2], start, last)]
-
-        return own
-
-    return _streamed(rows.repartition("utt_id").sortWithinPartitions("utt_id", "ord"), f"utt_id {_kind(ctm)}, ord int, label string, start double, end double", step)
-
-
-def _rounded(x: float, places: int = 4) -> float:
-    """Half up on the decimal that the double prints as, as Spark rounds."""
-    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+    rows = ctm.where(~F.coalesce(F.col("label").isin(*silent), F.lit(False))) if silent else ctm
+    grid = lambda c: F.round(F.round(F.col(c).cast("double"), 4) * 10_000).cast("long").alias(c)
+    rows = rows.select("utt_id", F.col("ord").cast("int").alias("ord"), F.col("label").cast("string").alias("label"), grid("start"), grid("dur"))
+    time = lambda c: (F.col(c) / 10_000).alias(c)
+    return clamped(rows, "utt_id", ["ord", "start", "dur", "label"], "start", "dur", block_rows).select("utt_id", "ord", "label", time("start"), time("end"))
 
 
 def _kind(df: DataFrame) -> str:

@@ -451,13 +451,31 @@ def _pairs(spark, d):
     return rows.select("conv_id", "turn", loud.alias("ref")).join(plain, ["conv_id", "turn"])
 
 
+_PAIR = f"""{CONV}, {MARKED}, arr AS (SELECT conv_id, turn, list(CASE WHEN label = '@uh' THEN 'UH' ELSE label END ORDER BY ord) AS ref FROM marked GROUP BY ALL),
+pair AS (SELECT conv_id, turn, ref, hyp, len(ref) AS n, len(hyp) AS m FROM arr JOIN (SELECT conv_id, turn - 1 AS turn, {WORDS.format("text")} AS hyp FROM conversations) USING (conv_id, turn))"""
+
 #: Edit distance by diagonals i + j = d: a cell needs the two diagonals before it only, so each is one pass over a list.
-_WER = f"""WITH RECURSIVE {CONV}, {MARKED}, arr AS (SELECT conv_id, turn, list(CASE WHEN label = '@uh' THEN 'UH' ELSE label END ORDER BY ord) AS ref FROM marked GROUP BY ALL),
-pair AS (SELECT conv_id, turn, ref, hyp, len(ref) AS n, len(hyp) AS m FROM arr JOIN (SELECT conv_id, turn - 1 AS turn, {WORDS.format("text")} AS hyp FROM conversations) USING (conv_id, turn)),
-step AS (SELECT conv_id, turn, 0 AS d, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE 1000000 END) AS one, list_transform(range(0, n + 1), lambda i: 1000000) AS two FROM pair
+WER_STEPS = """step AS (SELECT conv_id, turn, 0 AS d, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE 1000000 END) AS one, list_transform(range(0, n + 1), lambda i: 1000000) AS two FROM pair
 UNION ALL SELECT conv_id, turn, d + 1, list_transform(range(0, n + 1), lambda i: CASE WHEN d + 1 < i OR d + 1 > i + m THEN 1000000 WHEN i = 0 OR i = d + 1 THEN d + 1
   ELSE least(one[i] + 1, one[i + 1] + 1, two[i] + CASE WHEN ref[i] = hyp[d + 1 - i] THEN 0 ELSE 1 END) END), one FROM step JOIN pair USING (conv_id, turn) WHERE d < n + m),
 wer AS (SELECT conv_id, turn, one[n + 1] AS edits, n AS ref_words FROM step JOIN pair USING (conv_id, turn) WHERE d = n + m)"""
+_WER = f"WITH RECURSIVE {_PAIR}, {WER_STEPS}"
+
+#: Weighted alignment: costs of two whole numbers, edits in units of 2**32 (three are 12884901888) and tilts, by diagonals; the steps into each cell; then the path from the end.
+ALIGNED = f"""WITH RECURSIVE {_PAIR}, tilted AS (SELECT *, list_transform(ref, lambda w: lower(w)) AS low, list_transform(ref, lambda w: CASE WHEN upper(w) = w AND lower(w) <> w THEN 1 ELSE 0 END) AS t FROM pair WHERE n > 0),
+diag AS (SELECT conv_id, turn, 0 AS d, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE 1152921504606846976 END) AS one, list_transform(range(0, n + 1), lambda i: 1152921504606846976) AS two, NULL::INTEGER[] AS kinds FROM tilted
+UNION ALL SELECT conv_id, turn, d, now, one, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 OR i >= d OR d > i + m THEN NULL WHEN now[i + 1] = least(two[i], one[i], one[i + 1]) + t[i] THEN 0
+    WHEN now[i + 1] = two[i] + 17179869184 + t[i] THEN 1 WHEN now[i + 1] = one[i] + 12884901888 - t[i] THEN 2 WHEN now[i + 1] = one[i + 1] + 12884901888 + t[i] THEN 3 ELSE 0 END)
+  FROM (SELECT g.conv_id, g.turn, d + 1 AS d, one, two, n, m, t, list_transform(range(0, n + 1), lambda i: CASE WHEN d + 1 < i OR d + 1 > i + m THEN 1152921504606846976 WHEN i = 0 THEN (d + 1) * 12884901888
+      WHEN i = d + 1 THEN i * (12884901888 - t[i]) ELSE least(one[i] + 12884901888 - t[i], one[i + 1] + 12884901888 + t[i], two[i] + CASE WHEN low[i] = hyp[d + 1 - i] THEN 0 ELSE 17179869184 END + t[i]) END) AS now
+    FROM diag g JOIN tilted USING (conv_id, turn) WHERE d < n + m)),
+steps AS MATERIALIZED (SELECT conv_id, turn, list(kinds ORDER BY d) AS k FROM diag WHERE d > 0 GROUP BY ALL),
+walk AS (SELECT conv_id, turn, n AS i, m AS j, NULL::INTEGER AS op, NULL::BIGINT AS place FROM tilted
+UNION ALL SELECT conv_id, turn, i - CAST(op <> 3 AS INTEGER), j - CAST(op <> 2 AS INTEGER), op, i FROM
+  (SELECT w.conv_id, w.turn, i, j, CASE WHEN i = 0 THEN 3 WHEN j = 0 THEN 2 ELSE k[i + j][i + 1] END AS op FROM walk w JOIN steps USING (conv_id, turn) WHERE i + j > 0))"""
+_OPERATIONS = [(f"{name}_{x}", f"op = {k} AND coalesce(t[place], 0) = {dis}" if k < 3 else f"op = 3 AND {dis} = 0") for k, name in enumerate(("match", "substitution", "deletion", "insertion")) for dis, x in ((0, "f"), (1, "d"))]
+RATES = f"""SELECT *, round((substitution_f + deletion_f + insertion_f) / nullif(match_f + substitution_f + deletion_f, 0), 6) AS fer, round((substitution_d + match_d + insertion_d) / nullif(match_d + substitution_d + deletion_d, 0), 6) AS der
+FROM (SELECT conv_id, turn, {", ".join(f"CAST(count(*) FILTER ({x}) AS INTEGER) AS {n}" for n, x in _OPERATIONS)} FROM walk JOIN tilted USING (conv_id, turn) GROUP BY ALL)"""
 
 
 @query(f"{_WER} SELECT conv_id, turn, edits, ref_words, round(edits / nullif(ref_words, 0), 6) AS wer FROM wer")
@@ -473,7 +491,7 @@ def corpus_error_rate(spark, d):
     return rounded(got.withColumn("wer", F.try_divide("edits", "ref_words")))
 
 
-@query()
+@query(f"{ALIGNED} {RATES}")
 def fer_der(spark, d):
     """X4, X6, T14, J12."""
     return rounded(alignment.disfluency_rates(alignment.alignments(_pairs(spark, d), ["conv_id", "turn"]), ["conv_id", "turn"]))

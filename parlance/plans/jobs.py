@@ -10,23 +10,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import alignment, combine, features, fluency, pronunciation, regression, vocabulary
 from ..sources import adapters as A
-from .catalog import CTM, GOP, SPLIT, SQL, WORDS, _ctm, _gop, _pairs, _words, query, rounded
+from .catalog import ALIGNED, CTM, GOP, RATES, SPLIT, SQL, WER_STEPS, WORDS, _ctm, _gop, _pairs, _words, query, rounded
 
 
-def feature_table(ctm: DataFrame, scales: DataFrame, chunks: int = 1) -> DataFrame:
+def feature_table(ctm: DataFrame, scales: DataFrame) -> DataFrame:
     """Word and silence features of every utterance with its level, from a word table and (utt_id, scale).
 
-    With chunks, ids are dealt to that many jobs whose rows are merged again, as when a list of utterances is split; one job gives the same.
+    Where the reference's users split a list of utterances over jobs and merge the parts, Spark deals the utterances to tasks: one plan, one scan.
     """
-    def rows(part: DataFrame, ids: DataFrame) -> DataFrame:
-        parts = [rounded(f(part), nudge=1e-9) for f in (fluency.word_features, fluency.silence_features)]
-        return features.feature_rows(ids, parts)
-
-    if chunks == 1:
-        return rows(ctm, scales)
-    cut = combine.in_chunks({"ctm": ctm, "scales": scales}, scales, "utt_id", chunks)
-    shards = [rows(cut["ctm"].where(F.col("chunk") == k).drop("chunk"), cut["scales"].where(F.col("chunk") == k).drop("chunk")) for k in range(chunks)]
-    return combine.united(shards, shards[0].columns)
+    parts = [rounded(f(ctm), nudge=1e-9) for f in (fluency.word_features, fluency.silence_features)]
+    return features.feature_rows(scales, parts)
 
 
 def regression_lists(table: DataFrame, names: list[str]) -> DataFrame:
@@ -60,19 +53,13 @@ def gop_correlation(words: DataFrame, annotated: DataFrame, keys: list[str]) ->
     return regression.spearman(both, "score", "anno")
 
 
-def error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """wer, fer and der of each pair in one row."""
-    wer = alignment.word_error_rate(pairs).select(*keys, "edits", "ref_words", "wer")
-    return wer.join(alignment.disfluency_rates(alignment.alignments(pairs, keys), keys).select(*keys, "fer", "der"), keys, "left")
-
-
 @query(SQL["feature_rows"])
 def feature_job(spark, d):
-    """The feature table by chunks of the utterances, merged again."""
+    """The feature table of all utterances."""
     number = F.col("utt_id") % 5
     scale = F.when(number == 0, "a1").when(number == 1, "A2").when(number == 2, "b1+").when(number == 3, "B2").otherwise("preA1")
     ctm = _ctm(spark, d)
-    return feature_table(ctm, ctm.select("utt_id").distinct().withColumn("scale", scale), 3)
+    return feature_table(ctm, ctm.select("utt_id").distinct().withColumn("scale", scale))
 
 
 _NAMES = ["word_count", "word_distinct", "sil_number", "word_duration_mean"]
@@ -129,7 +116,8 @@ def gop_job(spark, d):
     return rounded(regression.spearman(both, "score", "anno"), 4)
 
 
-@query()
+@query(f"""{ALIGNED}, fd AS ({RATES}), {WER_STEPS}
+SELECT w.conv_id, w.turn, edits, ref_words, round(edits / nullif(ref_words, 0), 6) AS wer, fer, der FROM wer w LEFT JOIN fd USING (conv_id, turn)""")
 def error_rate_job(spark, d):
-    """All three rates of each pair; its parts are word_error_rate (with SQL) and fer_der."""
-    return rounded(error_rates(_pairs(spark, d), ["conv_id", "turn"]))
+    """All three rates of each pair, from one pass over the pairs."""
+    return rounded(alignment.error_rates(_pairs(spark, d), ["conv_id", "turn"]))

@@ -374,3 +374,99 @@ def test_split_totals_are_those_of_the_split(spark):
     got = vocabulary.split_totals(rows, lex)
     cut = lambda df: sorted((r.phone, r.pos, r.n, round(r.starts, 6), round(r.durs, 6)) for r in df.collect())
     assert cut(got) == cut(want)
+
+
+def _plain_steps(ref, hyp):
+    """The whole table in Python's integers: (edits, tilts) of each cell, and the steps by their order of preference."""
+    one = 1 << 32
+    t = [int(w.isupper()) for w in ref]
+    cost = {(0, j): 3 * one * j for j in range(len(hyp) + 1)}
+    for i, w in enumerate(ref, 1):
+        cost[i, 0] = i * (3 * one - t[i - 1])
+        for j, h in enumerate(hyp, 1):
+            cost[i, j] = min(cost[i - 1, j] + 3 * one - t[i - 1], cost[i, j - 1] + 3 * one + t[i - 1], cost[i - 1, j - 1] + 4 * one * (w.lower() != h) + t[i - 1])
+    i, j, out = len(ref), len(hyp), []
+    while i or j:
+        if not i or not j:
+            kind = 2 if i else 3
+        else:
+            here, corner, above, left = (cost[x] for x in ((i, j), (i - 1, j - 1), (i - 1, j), (i, j - 1)))
+            kind = [here == min(corner, above, left) + t[i - 1], here == corner + 4 * one + t[i - 1], here == above + 3 * one - t[i - 1], here == left + 3 * one + t[i - 1], True].index(True) % 4
+        out.append(kind)
+        i, j = i - (kind != 3), j - (kind != 2)
+    return out[::-1]
+
+
+def test_batched_alignment(monkeypatch):
+    """Many pairs in one sweep, in narrow bands and over kept rows, take the steps of the whole table."""
+    rng = random.Random(21)
+    words = ["a", "b", "A", "UM", "c", "d", "e"]
+    pairs = [([rng.choice(words) for _ in range(rng.randrange(0, 12))], [rng.choice("abcdef") for _ in range(rng.randrange(12))]) for _ in range(400)]
+    for n in (40, 90):
+        ref = [f"w{k}" for k in range(n)]
+        hyp = [w for w in ref if rng.random() < 0.9]
+        pairs += [(ref, hyp), (hyp, ref), (ref, ref[n // 2 :] + ref[: n // 2]), (["UM"] * 20 + ref, ref), (ref, ["x"] * 30 + ref)]
+    want = [_plain_steps(r, h) for r, h in pairs]
+    for small, batch in ((1 << 22, 1 << 22), (0, 1 << 22), (1 << 22, 500), (0, 0)):
+        monkeypatch.setattr(alignment, "SMALL", small)
+        monkeypatch.setattr(alignment, "BATCH", batch)
+        assert [s.tolist() for s in alignment.steps_of(pairs)] == want
+
+
+def test_alignments_of_odd_rows(spark):
+    rows = [(1, None, ["a"]), (2, ["a"], None), (3, [], ["a"]), (4, ["a", "UM"], []), (5, ["a", None], ["a", None]), (6, ["A", "b"], ["a", "b"])]
+    df = spark.createDataFrame(rows, "id long, ref array<string>, hyp array<string>").withColumns({"path": F.lit("clash"), "key": F.lit(1)})
+    got = {r.id: (r.path and [(s.type[0], s.ref, s.hyp) for s in r.path], r.edits) for r in alignment.alignments(df, ["id"]).collect()}
+    assert got[1] == got[2] == (None, None) and got[3] == (None, 1) and got[4] == ([("d", "a", None), ("d", "UM", None)], 2)
+    assert got[5] == ([("m", "a", "a"), ("s", None, None)], 1) and got[6] == ([("m", "A", "a"), ("m", "b", "b")], 1)
+
+
+def test_repair_in_blocks(spark):
+    """Blocks with carries give what one long walk gives; ids, starts and durations may be null, and an empty table gives no rows."""
+    rng = random.Random(31)
+    rows = [(u, k + 1, "x", None if rng.random() < 0.05 else round(k * 0.5 + rng.random() * 3, 4), None if rng.random() < 0.05 else round(rng.random() * 2, 4)) for u in ("a", "b", None) for k in range(rng.randrange(30, 200))]
+    want, last = [], {}
+    for u, o, label, start, dur in rows:
+        s, g = None if start is None else round(start * 10_000), round((dur or 0) * 10_000)
+        s = min((x for x in (s, last.get(u)) if x is not None), default=None)
+        last[u] = None if s is None else s + g
+        want.append((u, o, label, s and s / 10_000 if s else s, last[u] if last[u] is None else last[u] / 10_000))
+    df = spark.createDataFrame(rows, "utt_id string, ord int, label string, start double, dur double").withColumns({"key": F.lit(1), "block": F.lit(2)})
+    for block in (1, 7, 100_000):
+        got = intervals.repaired(df, block_rows=block)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert intervals.repaired(df.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_one_long_utterance(spark):
+    """Five million intervals of one utterance are repaired by several tasks."""
+    n = 5_000_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # else four small partitions are read by one task
+    rows = spark.range(n).select(F.lit("u").alias("utt_id"), (F.col("id") + 1).alias("ord"), F.lit("x").alias("label"), ((F.col("id") * 7919 % 1000) / 1000).alias("start"), F.lit(0.0001).alias("dur"))
+    got = intervals.repaired(rows)
+    try:
+        spread = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("end") * 10_000).cast("long")).alias("ends")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["n"] for r in spread) == n and len(spread) == 4 and max(r["n"] for r in spread) < n / 2
+    starts = np.arange(n, dtype=np.int64) * 7919 % 1000 * 10
+    assert sum(r["ends"] for r in spread) == (np.minimum.accumulate(starts - np.arange(n)) + np.arange(1, n + 1)).sum()
+
+
+def test_running(spark):
+    from parlance.operators.prefix import running
+
+    rng = random.Random(41)
+    rows = [(u, k * 3, None if rng.random() < 0.2 else rng.randrange(-9, 9)) for u in ("a", None) for k in range(60)]
+    df = spark.createDataFrame(rows, "u string, o int, v int").withColumns({"key": F.lit(1), "carry_s": F.lit(2)})
+    values = {"s": ("sum", F.col("v")), "c": ("count", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v"))}
+    for block in (1, 10, 1000):
+        got = {(r.u, r.o): (r.s, r.c, r.lo, r.hi) for r in running(df, ["u"], "o", values, block).collect()}
+        for u in ("a", None):
+            seen = []
+            for w, o, v in rows:
+                if w == u:
+                    seen += [v] if v is not None else []
+                    assert got[u, o] == (sum(seen), len(seen), min(seen, default=None), max(seen, default=None))
