@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .prefix import fresh
 
 
 def word_frequency(texts: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -35,16 +36,18 @@ def upper_share(texts: DataFrame) -> DataFrame:
 def replace_missing(texts: DataFrame, lexicon: DataFrame, keys: list[str], upper: bool) -> DataFrame:
     """keys and texts with <UNK> for words that the lexicon lacks (compared in lower case) and one case for the rest; blank texts fall out.
 
-    Only a text's distinct words go to the join, and only those that are known come back to it. Of the shuffles the one by word
-    has at most a row for each text there, and a join with a large lexicon splits it where it is skewed.
+    Each word meets the lexicon with its place (a small lexicon is broadcast by Spark, and a skewed word of a large one is split by it), and
+    the places put the text together again: work in proportion to the words, whatever a text's length. Rows of equal keys are texts of their own.
     """
-    rows = texts.select(*keys, tokens(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("low", F.transform("words", F.lower))
-    found = rows.select(*keys, F.explode(F.array_distinct("low")).alias("word")).join(lexicon.select("word").distinct(), "word", "left_semi")
-    known = found.groupBy(*keys).agg(F.collect_set("word").alias("known"))  # bounded by the text's own words
-    cased = F.transform("words", F.upper) if upper else F.col("low")
-    both = rows.withColumn("cased", cased).join(known, keys, "left")
-    out = F.zip_with("low", "cased", lambda w, c: F.when(F.coalesce(F.array_contains("known", w), F.lit(False)), c).otherwise("<UNK>"))
-    return both.select(*keys, F.array_join(out, " ").alias("text"))
+    word, place, known, row, out = fresh(texts, "word", "place", "known", "row", "text")
+    rows = texts.withColumn(row, F.monotonically_increasing_id()).withColumn(word, tokens(F.col("text")))
+    rows = rows.select(*keys, row, F.posexplode(word).alias(place, word))
+    lexicon = lexicon.select(F.col("word").alias(known)).distinct()
+    found = rows.join(lexicon, F.lower(word) == F.col(known), "left")
+    cased = F.when(F.col(known).isNull(), "<UNK>").otherwise(F.upper(word) if upper else F.lower(word))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(place), cased.alias("word"))))
+    joined = found.groupBy(*keys, row).agg(F.array_join(F.transform(parts, lambda x: x["word"]), " ").alias(out))
+    return joined.select(*keys, F.col(out).alias("text"))
 
 
 def even_split(ctm: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -108,8 +111,9 @@ def rolled_up(utts: DataFrame, key: str, order: str, text: Column, label: str, p
 def first_labels(utts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """utts with the label of their key; a key without one is an error where its rows are computed."""
     missing = F.raise_error(F.concat(F.lit(f"no label for {key} "), F.col(key).cast("string")))
-    both = utts.join(labels.select(key, "label", F.lit(True).alias("_found")), key, "left")
-    return both.withColumn("label", F.when(F.col("_found"), F.col("label")).otherwise(missing)).drop("_found")
+    (found,) = fresh(utts, "found")
+    both = utts.join(labels.select(key, "label", F.lit(True).alias(found)), key, "left")
+    return both.withColumn("label", F.when(F.col(found), F.col("label")).otherwise(missing)).drop(found)
 
 
 def without_stop_words(words: DataFrame, stop_words: DataFrame) -> DataFrame:

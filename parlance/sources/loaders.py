@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators.prefix import running
+from .lines import document_entries, numbered_lines
 
 GOP_SCHEMA = "struct<GOP:array<array<string>>>"
 
@@ -19,8 +21,9 @@ def _rest(start: int) -> Column:
 
 
 def key_tokens(spark: SparkSession, path: str, key: str = "word", values: str = "phones") -> DataFrame:
-    """`key t1 t2 ...`: lexicons, speaker maps. Of repeated keys any one stays (files have no row order here)."""
-    return _lines(spark, path).select(F.col("f")[0].alias(key), _rest(2).alias(values)).dropDuplicates([key])
+    """`key t1 t2 ...`: lexicons, speaker maps. Of repeated keys the last line of the last file stays."""
+    rows = numbered_lines(spark, path).withColumn("f", tokens(F.col("value"))).where(F.size("f") > 0)
+    return rows.select(F.col("f")[0].alias("k"), _rest(2).alias("v"), "row").groupBy(F.col("k").alias(key)).agg(F.max_by("v", "row").alias(values))
 
 
 def key_text(spark: SparkSession, path: str, key: str = "utt_id") -> DataFrame:
@@ -42,14 +45,24 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(tokens(F.lower("text"))).alias("word")).distinct()
 
 
-def ctm(spark: SparkSession, path: str) -> DataFrame:
-    """`utt channel start dur label [conf]`; ord by start time."""
-    from pyspark.sql import Window
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct lower-cased first fields: a vocabulary to compare words with."""
+    return _lines(spark, path).select(F.lower(F.col("f")[0]).alias("word")).distinct()
+
 
-    rows = _lines(spark, path).select(
-        F.col("f")[0].alias("utt_id"), F.round(F.col("f")[2].cast("double"), 4).alias("start"), F.round(F.col("f")[3].cast("double"), 4).alias("dur"), F.col("f")[4].alias("label"), F.coalesce(F.get("f", F.lit(5)).cast("double"), F.lit(1.0)).alias("conf")
+def ctm(spark: SparkSession, path: str) -> DataFrame:
+    """`utt channel start dur label [conf]`; ord is the place of the line among those of its utterance, in the order of the files."""
+    rows = numbered_lines(spark, path).withColumn("f", tokens(F.col("value"))).where(F.size("f") > 0).select(
+        "row", F.col("f")[0].alias("utt_id"), F.round(F.col("f")[2].cast("double"), 4).alias("start"), F.round(F.col("f")[3].cast("double"), 4).alias("dur"), F.col("f")[4].alias("label"), F.coalesce(F.get("f", F.lit(5)).cast("double"), F.lit(1.0)).alias("conf")
     )
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("utt_id").orderBy("start", "label")))
+    return running(rows, ["utt_id"], "row", {"ord": ("count", F.lit(1))}).withColumn("ord", F.col("ord").cast("int")).drop("row")
+
+
+def phone_sequence(spark: SparkSession, path: str) -> DataFrame:
+    """utt_id, ord and phone_id: the last field of each line of a phone table, in file order."""
+    rows = numbered_lines(spark, path).withColumn("f", tokens(F.col("value"))).where(F.size("f") > 0)
+    rows = rows.select("row", F.col("f")[0].alias("utt_id"), F.element_at("f", -1).alias("phone_id"))
+    return running(rows, ["utt_id"], "row", {"ord": ("count", F.lit(1))}).select("utt_id", F.col("ord").cast("int").alias("ord"), "phone_id")
 
 
 def ctm_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -79,12 +92,12 @@ def annotation_v1(spark: SparkSession, path: str) -> DataFrame:
 
 
 def annotation_v2(spark: SparkSession, path: str) -> DataFrame:
-    """Groups of four lines (reference, hypothesis, operations, other); a file is one row, insertions go."""
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(lines) / 4).cast("int") - 1, F.lit(0))), lambda k: F.slice(lines, 4 * k + 1, 4))
-    rows = spark.read.text(path, wholetext=True).select(F.explode(groups).alias("g")).where(F.size("g") == 4)
-    ops = F.filter(tokens(F.get("g", F.lit(2))), lambda x: x.isin("C", "S", "D", "I"))
-    found = rows.select(F.get(tokens(F.get("g", F.lit(0))), F.lit(0)).alias("utt_id"), F.posexplode(F.filter(ops, lambda x: x != "I")).alias("ord", "op"))
+    """Groups of four lines (reference, hypothesis, operations, other) of each file, blank lines apart; insertions go, and so does a group cut short."""
+    rows = running(numbered_lines(spark, path).where(F.trim("value") != ""), ["file"], "line", {"place": ("count", F.lit(1))}).withColumn("place", F.col("place") - 1)
+    line = lambda k: F.max(F.when(F.col("place") % 4 == k, F.col("value")))
+    groups = rows.groupBy("file", F.floor(F.col("place") / 4).alias("group")).agg(line(0).alias("ref"), line(2).alias("ops"), F.count("*").alias("n")).where("n = 4")
+    ops = F.filter(tokens(F.col("ops")), lambda x: x.isin("C", "S", "D"))
+    found = groups.select(F.get(tokens(F.col("ref")), F.lit(0)).alias("utt_id"), F.posexplode(ops).alias("ord", "op"))
     return found.withColumn("correct", F.col("op") == "C")
 
 
@@ -96,10 +109,11 @@ def annotation_triples(spark: SparkSession, path: str) -> DataFrame:
     return grouped.where("n = 3").drop("n")
 
 
-def utts_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """`{"utts": {id: value}}` files, one row for each id."""
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<utts:map<string,{value_schema}>>").alias("j"))
-    return rows.select(F.explode("j.utts").alias("utt_id", "value"))
+def utts_json(spark: SparkSession, path: str, value_schema: str, name: str = "utts") -> DataFrame:
+    """utt_id and value of `{"utts": {id: value}}` documents of any size; of an id that comes again the last one stays, in the order of the files."""
+    members = F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), f"map<string,{value_schema}>", {"mode": "FAILFAST"})
+    rows = document_entries(spark, path, name).select("row", F.explode(members).alias("utt_id", "value"))
+    return rows.groupBy("utt_id").agg(F.max_by("value", "row").alias("value"))
 
 
 def feature_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,16 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_utterances(df: DataFrame, path: str, key: str = "utt_id", name: str = "utts") -> None:
-    """One document {"utts": {utt: {...}, ...}} over the part files in order of their names; the parts of a plain `cat` are valid JSON."""
-    first = df.agg(F.min(key)).first()[0]  # one value: the row that no comma comes before
-    quoted = F.expr(f"substring(to_json(named_struct('k', cast(`{key}` as string))), 6)")  # what follows {"k":
-    value = F.concat(F.when(F.col(key) == F.lit(first), "").otherwise(","), F.expr("substring(quoted, 1, length(quoted) - 1)"), F.lit(": "), F.to_json(F.struct(*(c for c in df.columns if c != key))))
-    body = df.withColumn("quoted", quoted).select(F.col(key).alias("k"), F.lit(1).alias("place"), value.alias("value"))
-    ends = df.sparkSession.createDataFrame([(0, '{"' + name + '": {'), (2, "}}")], "place int, value string").select(F.lit(None).cast(df.schema[key].dataType).alias("k"), "place", "value")
+    """One document {"utts": {utt: {...}, ...}} over the part files in order of their names; the parts of a plain `cat` are valid JSON.
+
+    A key comes once: of rows of one key the one stays whose JSON text is greatest. A null key is the key "null". A table without rows is an empty object.
+    """
+    rows = df.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"), F.to_json(F.struct(*(c for c in df.columns if c != key))).alias("v"))
+    rows = rows.groupBy("k").agg(F.max("v").alias("v"))
+    first = rows.agg(F.min("k")).first()[0]  # one value: the row that no comma comes before
+    quoted = F.regexp_extract(F.to_json(F.struct("k")), r'(?s)^\{"k":(.*)\}$', 1)
+    body = rows.select("k", F.lit(1).alias("place"), F.concat(F.when(F.col("k") == F.lit(first), "").otherwise(","), quoted, F.lit(": "), "v").alias("value"))
+    ends = df.sparkSession.createDataFrame([(None, 0, f"{{{json.dumps(name)}: {{"), (None, 2, "}}")], "k string, place int, value string")
     body.unionByName(ends).orderBy("place", "k").select("value").write.mode("overwrite").text(path)
 
 

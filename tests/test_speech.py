@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import scores, stats, text as T
 from parlance.operators import alignment, combine, fluency, intervals, pronunciation, regression, rhythm, vocabulary, vowels
-from parlance.sources import loaders, sinks
+from parlance.sources import lines, loaders, sinks
 
 
 def one(df):
@@ -470,3 +470,113 @@ def test_running(spark):
                 if w == u:
                     seen += [v] if v is not None else []
                     assert got[u, o] == (sum(seen), len(seen), min(seen, default=None), max(seen, default=None))
+
+
+def test_numbered_lines(spark, tmp_path):
+    """Lines are numbered as they stand in files that several tasks read, blank lines and a missing last line break included."""
+    (tmp_path / "many").mkdir()
+    texts = {"b.txt": "".join(f"line {k} {'x' * (k % 50)}\n" for k in range(40_000)), "a.txt": "\nonly\n\n", "c.txt": "no end"}
+    for name, text in texts.items():
+        (tmp_path / "many" / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = lines.numbered_lines(spark, str(tmp_path / "many"))
+        assert got.rdd.getNumPartitions() > 10
+        rows = sorted((r.row, r.file.rsplit("/", 1)[-1], r.line, r.value) for r in got.collect())
+        ctm = "".join(f"u{k // 30000} 1 {(k * 7) % 100 / 10} 0.1 w{k}\n" for k in range(40_000))
+        (tmp_path / "ctm").write_text(ctm)
+        read = {(r.utt_id, r.ord): r.label for r in loaders.ctm(spark, str(tmp_path / "ctm")).collect()}
+        joined = lines.numbered_lines(spark, str(tmp_path / "many"), few=2)  # as with very many ranges
+        assert sorted((r.row, r.file.rsplit("/", 1)[-1], r.line, r.value) for r in joined.collect()) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(name, k, v) for name in sorted(texts) for k, v in enumerate(texts[name].removesuffix("\n").split("\n"))]
+    assert rows == [(k, *w) for k, w in enumerate(want)]
+    assert read == {(f"u{k // 30000}", k % 30000 + 1): f"w{k}" for k in range(40_000)}
+
+
+def test_large_file_by_several_tasks(spark, tmp_path):
+    """A file of 200 MB: every line has its number, and no line is shuffled for it."""
+    with open(tmp_path / "large", "w") as out:
+        for k in range(200):
+            out.write("".join(f"{n:09d} {'y' * 90}\n" for n in range(k * 10_000, k * 10_000 + 10_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        got = lines.numbered_lines(spark, str(tmp_path / "large"))
+        assert got.rdd.getNumPartitions() >= 12
+        assert got.agg(F.count("*"), F.count_if(F.col("line") == F.substring("value", 1, 9).cast("long"))).first()[:] == (2_000_000, 2_000_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        (tmp_path / "large").unlink()
+
+
+def test_last_lines_win(spark, tmp_path):
+    (tmp_path / "lex").mkdir()
+    (tmp_path / "lex" / "1").write_text("a one\nb two\na three four\n")
+    (tmp_path / "lex" / "2").write_text("b\nc five\nc six\n")
+    assert {r.word: r.phones for r in loaders.key_tokens(spark, str(tmp_path / "lex")).collect()} == {"a": ["three", "four"], "b": [], "c": ["six"]}
+    (tmp_path / "phones").write_text("u 1 0.5 0.1 12\nu 1 0.2 0.1 7\nv 1 0 1 3\nu 1 0.1 0.1 12\n")
+    assert sorted(map(tuple, loaders.phone_sequence(spark, str(tmp_path / "phones")).collect())) == [("u", 1, "12"), ("u", 2, "7"), ("u", 3, "12"), ("v", 1, "3")]
+    (tmp_path / "words").write_text("The 1\nthe 2\nCAT 3\n\n")
+    assert {r.word for r in loaders.word_list(spark, str(tmp_path / "words")).collect()} == {"the", "cat"}
+    (tmp_path / "a2").write_text("".join(f"\nu{k} ref a b\nu{k} hyp a c\n\nu{k} op C I S\njunk\n" for k in range(30)) + "u99 ref\nu99 hyp\n")
+    got = sorted((r.utt_id, r.ord, r.op) for r in loaders.annotation_v2(spark, str(tmp_path / "a2")).collect())
+    assert got == sorted((f"u{k}", n, op) for k in range(30) for n, op in enumerate("CS"))
+
+
+def test_documents_in_pieces(spark, tmp_path):
+    """Documents that are cut at every comma, with brackets, commas, quotes and backslashes in keys and values, are those that json reads."""
+    import json
+
+    rng = random.Random(51)
+    odd = ["", "a,b", '"', "\\", '\\"', "{", "}]", "x,{\"y\": [1,2]},", "é ", "tab\t", "\\,", 'end\\\\"', "{\"utts\": {"]
+    for n, indent in ((0, None), (1, None), (120, 2)):
+        utts = {f"u{k}{rng.choice(odd)}": {"s": rng.choice(odd), "l": [rng.choice(odd) for _ in range(rng.randrange(4))], "m": {"k": [{"z": 1.5}, {"z": None}][: rng.randrange(3)]}} for k in range(n)}
+        (tmp_path / f"d{n}").write_text(json.dumps({"utts": utts}, indent=indent, ensure_ascii=n % 2 == 0), encoding="utf-8")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        try:
+            for block in (3, 100_000):
+                found = [json.loads("{" + r.entry + "}") for r in lines.document_entries(spark, str(tmp_path / f"d{n}"), block_rows=block).orderBy("row").collect()]
+                assert {k: v for f in found for k, v in f.items()} == utts and len(found) == n
+            got = {r.utt_id: r.value.asDict(True) for r in loaders.utts_json(spark, str(tmp_path / f"d{n}"), "struct<s:string,l:array<string>,m:struct<k:array<struct<z:double>>>>").collect()}
+            assert got == utts
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "short").write_text('{"utts": {"u": {"x": 1}, "v": {"x": 2')
+    (tmp_path / "other").write_text('{"else": {"u": {"x": 1}}}')
+    for name in ("short", "other"):
+        with pytest.raises(Exception, match="cut short|not a document"):
+            loaders.utts_json(spark, str(tmp_path / name), "struct<x:int>").collect()
+    (tmp_path / "twice").mkdir()
+    (tmp_path / "twice" / "1").write_text('{"utts": {"u": {"x": 1}, "u": {"x": 2}, "v": {"x": 3}}}')
+    (tmp_path / "twice" / "2").write_text('{"utts": {"v": {"x": 4}}}')
+    assert {r.utt_id: r.value.x for r in loaders.utts_json(spark, str(tmp_path / "twice"), "struct<x:int>").collect()} == {"u": 2, "v": 4}
+
+
+def test_documents_are_valid(spark, tmp_path):
+    import json
+
+    cases = {"repeated": [("u", 1), ("u", 2), ("u", 2), ("v", 3)], "null": [(None, 1), (None, 2), ("v", 3)], "nulls": [(None, 1)], "odd": [('"', 1), ("\\", 2), ("a,b", 3), ("", 4)], "none": []}
+    want = {"repeated": {"u": 2, "v": 3}, "null": {"null": 2, "v": 3}, "nulls": {"null": 1}, "odd": {'"': 1, "\\": 2, "a,b": 3, "": 4}, "none": {}}
+    for name, rows in cases.items():
+        sinks.write_utterances(spark.createDataFrame(rows, "utt_id string, x int").repartition(3), str(tmp_path / name))
+        text = "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+        assert {k: v["x"] for k, v in json.loads(text).items() for k, v in v.items()} == want[name]
+    (tmp_path / "one").write_text(text)
+
+
+def test_replace_missing_is_linear(spark):
+    """A text of a million words, most of them different, is done in seconds; keys may be null, and short texts come out as before."""
+    import time
+
+    rows = [("a", "The DOG saw the cat"), (None, "the dog"), ("b", " "), ("c", None)]
+    lexicon = spark.createDataFrame([("the",), ("cat",), ("the",)], "word string")
+    df = spark.createDataFrame(rows, "id string, text string").withColumns({"word": F.lit("clash"), "known": F.lit(1)})
+    assert sorted(map(tuple, vocabulary.replace_missing(df, lexicon, ["id"], False).collect()), key=str) == [("a", "the <UNK> <UNK> the cat"), (None, "the <UNK>")]
+    assert {r.text for r in vocabulary.replace_missing(df, lexicon, ["id"], True).collect()} == {"THE <UNK> <UNK> THE CAT", "THE <UNK>"}
+    long = spark.range(1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda k: F.concat(F.lit("w"), (k % 700_000).cast("string"))), " ").alias("text"))
+    began = time.time()
+    got = vocabulary.replace_missing(long, spark.range(350_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word")), ["id"], False).first()
+    words = got.text.split(" ")
+    assert time.time() - began < 60 and len(words) == 1_000_000
+    assert all(w == (f"w{k % 700_000}" if k % 700_000 < 350_000 else "<UNK>") for k, w in enumerate(words, 1))
