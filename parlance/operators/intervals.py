@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import BLOCK_ROWS, clamped
+from .prefix import BLOCK_ROWS, clamped, fresh
 
 
 def _streamed(ordered: DataFrame, schema: str, step: Callable[[], Callable[[int, list], list]]) -> DataFrame:
@@ -101,6 +101,29 @@ def regular_frame(t: Column, total: Column, n: Column) -> Column:
     return F.least(F.greatest(F.floor(t * n / total), F.lit(0)), n - 1)
 
 
+def frame_on_grid(times: DataFrame, frames: DataFrame) -> DataFrame:
+    """times (utt_id, t and other columns) with the frame that holds t: left_i, left_t and value. Times before the first frame or after the last go to those.
+
+    frames: utt_id, i (0, 1, 2 ... without gaps), t, value, at regular times but for rounding. Times are compared in four decimals. The frame's number follows from
+    the time, first and last frame: one equi-join by (utt_id, i) on that number and its two neighbours, no sort and no range join. Times of utterances without
+    frames, and null times, have nulls.
+    """
+    n, first, step, guess, at, row, own = fresh(times, "n", "first", "step", "guess", "at", "row", "own")
+    grid = lambda c: F.round(F.round(c, 4) * 10_000).cast("long")
+    shape = frames.groupBy("utt_id").agg(F.count(F.lit(1)).alias(n), F.min("t").alias(first), ((F.max("t") - F.min("t")) / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias(step))
+    shape = shape.withColumnRenamed("utt_id", own)
+    rows = times.withColumn(row, F.monotonically_increasing_id()).join(shape, F.col("utt_id") == F.col(own), "left").drop(own)
+    place = F.coalesce(F.floor(F.try_divide(F.col("t") - F.col(first), F.col(step))), F.lit(0))
+    rows = rows.withColumn(guess, F.least(F.greatest(place, F.lit(0)), F.col(n) - 1))
+    near = rows.withColumn(at, F.explode(F.when(F.col(guess).isNull() | F.col("t").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.greatest(F.col(guess) - 1, F.lit(0)), F.least(F.col(guess) + 1, F.col(n) - 1)))))
+    held = frames.select(F.col("utt_id").alias(own), F.col("i").cast("long").alias("left_i"), F.col("t").alias("left_t"), "value")
+    both = near.join(held, (F.col("utt_id") == F.col(own)) & (F.col(at) == F.col("left_i")), "left")
+    before = F.coalesce(grid(F.col("left_t")) <= grid(F.col("t")), F.lit(False))
+    best = F.max(F.struct(before.alias("before"), F.when(before, F.col("left_i")).otherwise(-F.col("left_i")).alias("rank"), F.struct("left_i", "left_t", "value").alias("frame")))
+    found = both.groupBy(row, *times.columns).agg(best.alias(at))
+    return found.select(*times.columns, F.col(f"{at}.frame.left_i").alias("left_i"), F.col(f"{at}.frame.left_t").alias("left_t"), F.col(f"{at}.frame.value").alias("value"))
+
+
 def endpoint_means(intervals: DataFrame, frames: DataFrame) -> DataFrame:
     """Mean of the frames at both ends of each interval (not of those between)."""
     ends = intervals.select("utt_id", "ord", F.explode(F.array("start", "end")).alias("t"))

@@ -507,12 +507,46 @@ def vowel_moments(spark, d):
     return rounded(vowels.vowel_moments(_formants(spark, d)), 5)
 
 
-@query()
+def _ellipse_sql(table: str) -> str:
+    """The steps of vowels.ellipse_steps over central moments of a table (vowel, x, y), as nested queries."""
+    sums = ", ".join(f"sum({' * '.join(['u'] * i + ['v'] * j)}) AS c{i}{j}" for i, j in vowels.MOMENTS if i + j > 1)
+    sql = f"""SELECT m.*, s.* EXCLUDE (vowel) FROM m JOIN (SELECT vowel, {sums} FROM (SELECT p.vowel, (x - mean_x) / size AS u, (y - mean_y) / size AS v FROM p JOIN m ON p.vowel IS NOT DISTINCT FROM m.vowel) GROUP BY vowel) s ON m.vowel IS NOT DISTINCT FROM s.vowel"""
+    made: set[str] = set()
+    for layer in vowels.ellipse_steps():
+        again = made & set(layer)
+        sql = f"SELECT *{f' EXCLUDE ({", ".join(again)})' if again else ''}, {', '.join(f'{e} AS {n}' for n, e in layer.items())} FROM ({sql})"
+        made |= set(layer)
+    return f"""WITH p AS ({table}), m AS (SELECT *, CASE WHEN raw > 0 THEN raw END AS size FROM (SELECT vowel, count(*) AS n, avg(x) AS mean_x, avg(y) AS mean_y, sqrt((var_pop(x) + var_pop(y)) / 2) AS raw FROM p GROUP BY vowel))
+SELECT vowel, {", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in vowels.ELLIPSE)} FROM ({sql})"""
+
+
+@query(_ellipse_sql("SELECT label AS vowel, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings"))
 def vowel_ellipse(spark, d):
     """T9."""
     return rounded(vowels.vowel_ellipses(_formants(spark, d)), 4)
 
 
+_NAMED = "substr('aeiouxAE', 1 + label % 8, 1) || CAST(label AS VARCHAR)"
+
+
+@query(_ellipse_sql(f"SELECT lower(substr({_NAMED}, 1, 1)) AS vowel, CAST(embedding[3] AS DOUBLE) AS x, CAST(embedding[4] AS DOUBLE) AS y FROM embeddings WHERE substr({_NAMED}, 1, 1) <> 'x'"))
+def basic_vowel_ellipse(spark, d):
+    """Named vowels pooled by their first letter."""
+    name = F.concat(F.substring(F.lit("aeiouxAE"), 1 + F.col("label") % 8, F.lit(1)), F.col("label").cast("string"))
+    clouds = A.table(spark, d, "embeddings").select(name.alias("vowel"), F.col("embedding")[2].cast("double").alias("f1"), F.col("embedding")[3].cast("double").alias("f2"))
+    return rounded(vowels.vowel_ellipses(clouds, basic=True), 4)
+
+
+@query(f"""WITH {CTM}, f AS (SELECT utt_id, ord - 1 AS i, 100 * ord AS t, conf AS value, count(*) OVER (PARTITION BY utt_id) AS n FROM ctm), q AS (SELECT utt_id, ord, round(start * 0.004 + 1e-9, 4) AS t FROM ctm)
+SELECT q.utt_id, q.ord, q.t, CAST(f.i AS BIGINT) AS left_i, round(f.t / 10000, 6) AS left_t, round(f.value, 6) AS value
+FROM q JOIN f ON f.utt_id = q.utt_id AND f.i = least(greatest(CAST(floor(CAST(round(q.t * 10000) AS BIGINT) / 100) AS BIGINT) - 1, 0), f.n - 1)""")
+def grid_frames(spark, d):
+    """J10 on a regular grid: times before the first frame and after the last go to the edge frames."""
+    ctm = _ctm(spark, d)
+    frames = ctm.select("utt_id", (F.col("ord") - 1).alias("i"), (F.col("ord") / 100).alias("t"), F.col("conf").alias("value"))
+    return rounded(intervals.frame_on_grid(ctm.select("utt_id", "ord", F.round(F.col("start") * 0.004 + 1e-9, 4).alias("t")), frames))
+
+
 @query(f"""WITH {CTM}, q AS (SELECT utt_id, ord, start + dur / 2 AS t FROM ctm), f AS (SELECT utt_id, start AS t, max(conf) AS value FROM ctm GROUP BY ALL)
 SELECT q.utt_id, q.ord, round(q.t, 6) AS t, round(f.t, 6) AS left_t, round(f.value, 6) AS left_value FROM q ASOF LEFT JOIN f ON q.utt_id = f.utt_id AND q.t >= f.t""")
 def asof_frames(spark, d):

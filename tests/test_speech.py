@@ -580,3 +580,55 @@ def test_replace_missing_is_linear(spark):
     words = got.text.split(" ")
     assert time.time() - began < 60 and len(words) == 1_000_000
     assert all(w == (f"w{k % 700_000}" if k % 700_000 < 350_000 else "<UNK>") for k, w in enumerate(words, 1))
+
+
+def _ellipse(points):
+    """The 6 x 6 eigenproblem in numpy, about the mean: centre, half axes (the longer first), angle of the longer."""
+    mean, size = points.mean(0), np.sqrt(points.var(0).mean())
+    u, v = ((points - mean) / size).T
+    design = np.stack([u * u, u * v, v * v, u, v, np.ones(len(u))], 1)
+    bound = np.zeros((6, 6))
+    bound[1, 1] = -1
+    bound[2, 0] = bound[0, 2] = 2
+    values, vectors = np.linalg.eig(np.linalg.solve(design.T @ design, bound))
+    a, b, c, d, e, f = np.real(vectors[:, np.argmax(np.real(values))])
+    quad = np.array([[a, b / 2], [b / 2, c]])
+    center = -np.linalg.solve(quad, [d, e]) / 2
+    sizes, axes = np.linalg.eigh(quad / -(f + np.array([d, e]) @ center / 2))
+    return (*(mean + size * center), *(size / np.sqrt(sizes)), np.degrees(np.arctan2(axes[1, 0], axes[0, 0])) % 180)
+
+
+def test_ellipses_of_named_clouds(spark):
+    rng = np.random.default_rng(8)
+    clouds, rows = {}, []
+    for k in range(40):
+        turn, axes, center = rng.random() * np.pi, np.array([rng.uniform(100, 400), rng.uniform(20, 90)]), rng.uniform(300, 2500, 2)
+        t = rng.random(int(rng.integers(8, 200))) * 2 * np.pi
+        points = np.stack([np.cos(t), np.sin(t)], 1) * axes * rng.normal(1, 0.05 if k % 2 else 0.3, (len(t), 1))
+        clouds[f"{'aeiou'[k % 5]}{k}"] = points @ np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]]) + center
+    rows = [(name, float(x), float(y)) for name, points in clouds.items() for x, y in points]
+    odd = [("line", float(k), 2.0 * k) for k in range(9)] + [("point", 1.0, 2.0)] * 3 + [("one", 5.0, 6.0), (None, 1.0, 1.0), ("a0", None, 1.0), ("a0", float("nan"), 1.0)]
+    got = {r.vowel: r for r in vowels.vowel_ellipses(spark.createDataFrame(rows + odd, "vowel string, f1 double, f2 double")).collect()}
+    assert set(got) == set(clouds) | {"line", "point", "one", None} and all(got[k].center_f1 is None and got[k].angle is None for k in ("point", "one", None))
+    for name, points in clouds.items():
+        assert tuple(got[name])[1:] == pytest.approx(_ellipse(points), rel=1e-6), name
+    pooled = {r.vowel: r for r in vowels.vowel_ellipses(spark.createDataFrame([(n.upper(), x, y) for n, x, y in rows] + [("sil", 1.0, 2.0)], "vowel string, f1 double, f2 double"), basic=True).collect()}
+    assert set(pooled) == set("aeiou")
+    for letter in "aeiou":
+        assert tuple(pooled[letter])[1:] == pytest.approx(_ellipse(np.concatenate([p for n, p in clouds.items() if n[0] == letter])), rel=1e-6)
+    assert vowels.vowel_ellipses(spark.createDataFrame([], "vowel string, f1 double, f2 double")).count() == 0
+
+
+def test_frames_on_a_grid(spark):
+    frames = spark.createDataFrame([("u", k - 1, k / 100, float(k)) for k in range(1, 101)] + [("one", 0, 0.5, 7.0)], "utt_id string, i int, t double, value double")
+    times = {1: ("u", 0.005, 0), 2: ("u", 0.253, 24), 3: ("u", 0.5, 49), 4: ("u", 0.95, 94), 5: ("u", -3.0, 0), 6: ("u", 9.0, 99), 7: ("u", 0.01, 0), 8: ("u", 1.0, 99), 9: ("w", 0.5, None), 10: ("u", None, None), 11: ("one", 0.1, 0), 12: ("u", 0.29, 28), 13: ("u", 0.5799999, 57)}
+    df = spark.createDataFrame([(k, u, t) for k, (u, t, _) in times.items()], "ord int, utt_id string, t double").withColumns({"n": F.lit("clash"), "guess": F.lit(1)})
+    assert {r.ord: r.left_i for r in intervals.frame_on_grid(df, frames).collect()} == {k: i for k, (_, _, i) in times.items()}
+
+
+def test_vowel_pools(spark):
+    frames = spark.createDataFrame([("u", k, (k + 1) / 100, float(k), 10.0 * k) for k in range(50)], "utt_id string, i int, t double, f1 double, f2 double")
+    phones = spark.createDataFrame([("u", 1, "AH0", 0.1, 0.2), ("u", 2, "K", 0.2, 0.3), ("u", 3, "IY1", 0.3, 9.0), ("u", 4, "ER", 0.0, 0.01)], "utt_id string, ord int, label string, start double, end double")
+    kind = F.col("label").rlike("^[AEIOU]")
+    assert sorted(map(tuple, vowels.vowel_pools(phones, frames, kind).collect())) == [("AH0", "u", 14.0, 140.0), ("ER", "u", 0.0, 0.0), ("IY1", "u", 39.0, 390.0)]
+    assert sorted(r.vowel for r in vowels.vowel_pools(phones, frames, kind, basic=True).collect()) == ["a", "e", "i"]
