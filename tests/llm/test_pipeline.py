@@ -38,7 +38,7 @@ def test_stages(spark):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_stages_take_nulls_repeats_and_empty_tables(spark):
