@@ -93,5 +93,10 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> I
             yield batch.slice(a, b - a)
 
 
+def numbered_columns(df: DataFrame, *wanted: str) -> tuple:
+    """df with its columns named c0, c1, ..., so that no name of theirs meets one of ours, and the new names of those wanted."""
+    return (df.toDF(*(f"c{k}" for k in range(len(df.columns)))), *(f"c{df.columns.index(w)}" for w in wanted))
+
+
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

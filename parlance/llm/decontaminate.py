@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, dropped, stored
+from .common import byte_slices, dropped, numbered_columns, stored
 
 #: A-Z to lower case; digits, letters and all bytes from 0x80 stay; the rest separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -220,9 +220,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
     Null and wordless texts stay; the id is not looked at. Repeated rows are judged alike and all stay or go; an empty table gives
     none; an empty benchmark takes none.
     """
-    rows = docs.selectExpr(f"cast(`{text_col}` as binary) as text").select("text", *_keys(F.col("text")))
+    given, text_col = numbered_columns(docs, text_col)
+    rows = given.select(given[text_col].cast("binary").alias("text")).select("text", *_keys(F.col("text")))
     sent, found = _searched(rows, benchmark, window, block_windows, item_col, item_text_col)
-    names = docs.columns
+    names, schema = given.columns, given.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = sent.value if sent else None
@@ -230,8 +231,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
             kept = [not bad for *_, bad in _results(part, text_col, block, share)]
             yield part.select(names).filter(pa.array(kept, pa.bool_()))
 
-    given = docs
     if found is not None:
-        h, g = _keys(docs[text_col].cast("binary"))
-        given = docs.join(found.withColumnsRenamed({"h": "_h", "g": "_g", "found": "_found"}), (h == F.col("_h")) & (g == F.col("_g")), "left").drop("_h", "_g")
-    return given.mapInArrow(run, docs.schema)
+        h, g = _keys(given[text_col].cast("binary"))
+        given = given.join(found.withColumnsRenamed({"h": "_h", "g": "_g", "found": "_found"}), (h == F.col("_h")) & (g == F.col("_g")), "left").drop("_h", "_g")
+    return given.mapInArrow(run, schema).toDF(*docs.columns)

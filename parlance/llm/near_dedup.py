@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, dropped, stored, worker_state
+from .common import byte_slices, dropped, numbered_columns, stored, worker_state
 from .components import components
 
 BANDS, ROWS = 48, 5
@@ -332,5 +332,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alone = F.when(F.col("label").isNull(), F.struct("doc_id", "mark"))
     kept = found.groupBy("label", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r"))
     kept = kept.select(F.col("r.doc_id").alias("_id"), F.col("r.mark").alias("_mark"))
-    same = docs[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("binary")) == F.col("_mark"))
-    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
+    given, own_id, own_text = numbered_columns(docs, id_col, text_col)
+    same = given[own_id].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(given[own_text].cast("binary")) == F.col("_mark"))
+    return given.join(kept, same, "left_semi").dropDuplicates([own_id, own_text]).toDF(*docs.columns)

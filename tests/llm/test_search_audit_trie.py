@@ -318,3 +318,16 @@ def test_iban_check_digits():
     from parlance.llm import pii
 
     assert pii.iban_checks("GB29 NWBK 6016 1331 9268 19") and pii.iban_checks("DE89370400440532013000") and not pii.iban_checks("DE88370400440532013000")
+
+
+def test_stages_keep_columns_named_like_ours(spark):
+    from parlance.llm import decontaminate, near_dedup, pii
+
+    words = " ".join(f"word{k}" for k in range(40))
+    names = ["_id", "_mark", "_h", "_g", "_found", "h", "g", "found", "digest", "label", "alone", "c0", "c1"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([words, words, "other text", None, f"{words} more"])], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    items = spark.createDataFrame([(k, f"item{k} " + " ".join(f"w{k}x{j}" for j in range(13))) for k in range(9)] + [(99, "other text")], "item_id long, text string")
+    stages = [near_dedup.keep_one(docs), decontaminate.keep_clean(docs, items), decontaminate.keep_clean(docs, items, block_windows=4), pii.mask_personal_data(docs)]
+    for out, ids in zip(stages, ([0, 2, 3], [0, 1, 3, 4], [0, 1, 3, 4], [0, 1, 2, 3, 4]), strict=True):
+        rows = out.collect()
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes and sorted(r.doc_id for r in rows) == ids and all(r[n] == n for r in rows for n in names)
