@@ -5,7 +5,9 @@ quantiser 8, is the byte less 128, and it has no AC part, so decoding is exact:
 gives DC category c a code of 9 - c bits: every difference takes 9 bits, the end-of-block code 1 bit, a frame
 240 bytes before byte stuffing, and whole documents are packed and unpacked by numpy without a loop over bits.
 
-Frames of other coders are decoded by their own segments: quantisers, Huffman tables, restart intervals, any baseline size and sampling.
+Frames of other coders are decoded by their own segments: quantisers, Huffman tables (the standard's where a frame brings none, as
+is usual in AVI files), restart intervals, any baseline size and sampling. Frames are found by the OpenDML index, by idx1, or
+by walking the lists of frames where a file has neither.
 Clips need no more than the mean level of each 8 x 8 block of brightness, which for the frames above are the samples.
 """
 
@@ -16,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +106,35 @@ def _codes(counts: bytes, symbols: bytes) -> np.ndarray:
     return table
 
 
+#: Code lengths and symbols of the tables that hold where a frame brings none: table, how many codes of 1 to 16 bits, symbols. Fixed values (JPEG, annex K.3).
+_STANDARD_TABLES = {
+    0x00: ("0 1 5 1 1 1 1 1 1 0 0 0 0 0 0 0", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ("0 3 1 1 1 1 1 1 1 1 1 0 0 0 0 0", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: (
+        "0 2 1 3 3 2 4 3 5 5 4 4 0 0 1 125",
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 "
+        "29 2a 34 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89 "
+        "8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e1 e2 "
+        "e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+    0x11: (
+        "0 2 1 2 4 4 3 4 7 5 4 4 0 1 2 119",
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 "
+        "27 28 29 2a 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 82 83 84 85 86 87 "
+        "88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da "
+        "e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+}
+
+
+@lru_cache(maxsize=4)
+def _standard(table: int) -> np.ndarray:
+    if table not in _STANDARD_TABLES:
+        raise ValueError("a scan without its Huffman table")
+    counts, symbols = _STANDARD_TABLES[table]
+    return _codes(bytes(map(int, counts.split())), bytes.fromhex(symbols))
+
+
 class _Scan:
     """Bits of a scan between two restart markers."""
 
@@ -127,7 +159,7 @@ class _Scan:
 
 
 def decode_jpeg(frame: bytes) -> np.ndarray:
-    """Brightness (height x width) of a baseline JPEG."""
+    """Brightness (height x width) of a baseline JPEG; Huffman tables that it does not bring are the standard's."""
     quantisers, tables, restart, parts, at = {}, {}, 0, [], 2
     if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
@@ -158,6 +190,9 @@ def decode_jpeg(frame: bytes) -> np.ndarray:
             break
     if not parts or set(used) != {p[0] for p in parts}:
         raise ValueError("components in scans of their own")
+    if any(p[3] not in quantisers for p in parts):
+        raise ValueError("a scan without its quantiser")
+    coders = {name: tuple(tables[t] if t in tables else _standard(t) for t in (k >> 4, 16 | k & 15)) for name, k in used.items()}
     end = frame.rfind(b"\xff\xd9")
     scans = re.split(rb"\xff[\xd0-\xd7]", frame[at : end if end >= at else len(frame)])
     wide, high = max(h for _, h, _, _ in parts), max(v for _, _, v, _ in parts)
@@ -165,6 +200,8 @@ def decode_jpeg(frame: bytes) -> np.ndarray:
         parts, wide, high = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
     across, down = -(-width // (8 * wide)), -(-height // (8 * high))
     first = parts[0]
+    if across * down * sum(h * v for _, h, v, _ in parts) > 4 * len(frame):  # a block takes two bits at least
+        raise ValueError("a scan that is too short for its picture")
     found = np.zeros((down * first[2], across * first[1], 64), np.int64)
     scan, last = None, {}
     for unit in range(across * down):
@@ -173,7 +210,7 @@ def decode_jpeg(frame: bytes) -> np.ndarray:
         y, x = divmod(unit, across)
         for part in parts:
             name, h, v, _ = part
-            dc, ac = tables[used[name] >> 4], tables[16 | used[name] & 15]
+            dc, ac = coders[name]
             for k in range(h * v):
                 block = found[y * v + k // h, x * h + k % h] if part is first else np.zeros(64, np.int64)
                 last[name] += scan.number(scan.symbol(dc))
@@ -227,45 +264,94 @@ def write_avi(frames: list[bytes]) -> bytes:
 
 
 def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """Name, first byte and end of each chunk."""
+    """Name, first byte and end of each chunk. A list of no bytes, as a recorder that was cut off leaves it, goes to the end."""
     while at + 8 <= end:
-        size = int.from_bytes(data[at + 4 : at + 8], "little")
-        yield data[at : at + 4], at + 8, min(end, at + 8 + size)
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if not size and name in (b"RIFF", b"LIST"):
+            size = end - at - 8
+        yield name, at + 8, min(end, at + 8 + size)
         at += 8 + size + (size & 1)
 
 
+#: Place and size of a frame's bytes.
+Piece = tuple[int, int]
+
+
+def _by_opendml(avi: bytes, at: int, end: int) -> list[Piece] | None:
+    """Frames that an OpenDML index at these bytes lists, itself or by the indexes it names; None if one of them is not as it should be."""
+    longs, kind, n = int.from_bytes(avi[at : at + 2], "little"), avi[at + 3 : at + 4], int.from_bytes(avi[at + 4 : at + 8], "little")
+    if kind == b"\0" and longs == 4 and at + 24 + 16 * n <= end:
+        parts = [_inner(avi, *struct.unpack_from("<Q", avi, at + 24 + 16 * k)) for k in range(n)]
+        return None if None in parts else [piece for part in parts for piece in part]
+    if kind == b"\1" and longs == 2 and at + 24 + 8 * n <= end:
+        base = int.from_bytes(avi[at + 12 : at + 20], "little")
+        entries = np.frombuffer(avi, "<u4", 2 * n, at + 24).reshape(-1, 2).astype(np.int64)
+        return list(zip((entries[:, 0] + base).tolist(), (entries[:, 1] & 0x7FFFFFFF).tolist(), strict=True))
+    return None
+
+
+def _inner(avi: bytes, at: int) -> list[Piece] | None:
+    """Frames of the chunk index at this place, which another index names."""
+    size = int.from_bytes(avi[at + 4 : at + 8], "little")
+    return _by_opendml(avi, at + 8, at + 8 + size) if avi[at : at + 2] == b"ix" and avi[at + 11 : at + 12] == b"\1" else None
+
+
+def _by_walking(avi: bytes, lists: list[Piece], names: tuple[bytes, ...]) -> list[Piece]:
+    """Frames in the order of the lists, given as first byte and end, and of the records inside them."""
+    out = []
+    for start, end in lists:
+        for name, a, b in _chunks(avi, start + 4, end):
+            if name in names:
+                out.append((a, b - a))
+            elif name == b"LIST" and avi[a : a + 4] == b"rec ":
+                out += [(x, y - x) for inner, x, y in _chunks(avi, a + 4, b) if inner in names]
+    return out
+
+
 def read_avi(avi: bytes) -> tuple[list[bytes], float]:
     """Frames of the first video stream by the RIFF index, and the milliseconds of a frame; other streams are passed over.
 
-    Index entries count from the list of frames or from the file's begin. A frame of no bytes repeats the one before it.
+    The OpenDML index counts if there is one, then idx1, whose entries count from the list of frames or from the file's begin. Files
+    without an index, and those of several segments without an OpenDML index, are walked chunk by chunk. A frame of no bytes
+    repeats the one before it.
     """
     if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    movi = index = stream = None
+    lists: list[Piece] = []
+    index = stream = opendml = None
     frame_ms, streams = float(FRAME_MS), 0
-    for name, a, b in _chunks(avi, 12, len(avi)):
-        if name == b"LIST" and avi[a : a + 4] == b"movi":
-            movi = a
-        elif name == b"LIST" and avi[a : a + 4] == b"hdrl":
-            for name, x, y in _chunks(avi, a + 4, b):
-                if name == b"avih":
-                    frame_ms = int.from_bytes(avi[x : x + 4], "little") / 1000
-                elif name == b"LIST" and avi[x : x + 4] == b"strl":
-                    head = next((p for inner, p, _ in _chunks(avi, x + 4, y) if inner == b"strh"), None)
-                    if stream is None and head and avi[head : head + 4] == b"vids":
-                        stream = streams
-                    streams += 1
-        elif name == b"idx1":
-            index = np.frombuffer(avi, "<u4", (b - a) // 16 * 4, a).reshape(-1, 4)
-    if movi is None or index is None or stream is None:
-        raise ValueError("no video stream or no index")
-    names = [int.from_bytes(b"%02d" % stream + kind, "little") for kind in (b"dc", b"db")]
-    own = index[np.isin(index[:, 0], names)][:, 2:].tolist()
-    base = 0 if own and avi[own[0][0] : own[0][0] + 4] in (b"%02ddc" % stream, b"%02ddb" % stream) else movi
+    for outer, start, stop in _chunks(avi, 0, len(avi)):
+        if outer != b"RIFF" or avi[start : start + 4] not in (b"AVI ", b"AVIX"):
+            continue
+        for name, a, b in _chunks(avi, start + 4, stop):
+            if name == b"LIST" and avi[a : a + 4] == b"movi":
+                lists.append((a, b))
+            elif name == b"LIST" and avi[a : a + 4] == b"hdrl":
+                for name, x, y in _chunks(avi, a + 4, b):
+                    if name == b"avih":
+                        frame_ms = int.from_bytes(avi[x : x + 4], "little") / 1000
+                    elif name == b"LIST" and avi[x : x + 4] == b"strl":
+                        found = {inner: (p, q) for inner, p, q in _chunks(avi, x + 4, y)}
+                        head = found.get(b"strh", (0, 0))[0]
+                        if stream is None and avi[head : head + 4] == b"vids":
+                            stream, opendml = streams, found.get(b"indx")
+                        streams += 1
+            elif name == b"idx1" and index is None:
+                index = np.frombuffer(avi, "<u4", (b - a) // 16 * 4, a).reshape(-1, 4)
+    if not lists or stream is None:
+        raise ValueError("no video stream")
+    names = (b"%02ddc" % stream, b"%02ddb" % stream)
+    own = _by_opendml(avi, *opendml) if opendml else None
+    if own is None and index is not None and len(lists) == 1:
+        listed = index[np.isin(index[:, 0], [int.from_bytes(name, "little") for name in names])][:, 2:].tolist()
+        base = 8 if listed and avi[listed[0][0] : listed[0][0] + 4] in names else lists[0][0] + 8
+        own = [(base + o, n) for o, n in listed]
+    if not own:
+        own = _by_walking(avi, lists, names)
     frames: list[bytes] = []
     for o, n in own:
         if n or frames:
-            frames.append(avi[base + o + 8 : base + o + 8 + n] if n else frames[-1])
+            frames.append(avi[o : o + n] if n else frames[-1])
     if not frames:
         raise ValueError("no frames")
     return frames, frame_ms
@@ -294,7 +380,7 @@ def padded(text: bytes) -> bytes:
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long"
-CLIPS = "doc_id long, clip int, start_ms long, end_ms long, first_frame long, n_frames long, mean_level double"
+CLIPS = "doc_id long, clip int, start_ms long, end_ms long, first_frame long, n_frames long, mean_level double, reason string"
 
 
 def _digest(doc: int | None, text: bytes) -> tuple:
@@ -310,12 +396,16 @@ def _clips(doc: int | None, avi: bytes) -> Iterator[tuple]:
     try:
         frames, frame_ms = read_avi(avi)
         grey = levels(frames)
-    except (ValueError, IndexError, KeyError, struct.error):  # no readable motion-JPEG file: no clips
+    except ValueError as error:
+        yield doc, None, None, None, None, None, None, str(error)
+        return
+    except (IndexError, struct.error):
+        yield doc, None, None, None, None, None, None, "a frame that is cut short"
         return
     cuts, _ = shots(grey)
     level = grey.mean(axis=1)
     for k, (a, b) in enumerate(zip(cuts.tolist(), [*cuts.tolist()[1:], len(grey)], strict=True)):
-        yield doc, k, round(a * frame_ms), round(b * frame_ms), a, b - a, float(level[a:b].mean())
+        yield doc, k, round(a * frame_ms), round(b * frame_ms), a, b - a, float(level[a:b].mean()), None
 
 
 def _rows(batches: Iterator[pa.RecordBatch], make, schema: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -353,8 +443,8 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def clips_of(media: DataFrame, id_col: str = "doc_id", avi_col: str = "avi") -> DataFrame:
     """A row for each shot of a column of AVI motion-JPEG files: clip number, times in milliseconds, frames and mean level.
 
-    Files of any baseline coder. Null values and values that are no such file have no clips. Repeated rows each give their clips; an
-    empty table gives none; other columns are not read.
+    Files of any baseline coder. A null value and a value that is no such file give one row with a reason and no clip. Repeated rows
+    each give their clips; an empty table gives none; other columns are not read.
     """
     return _mapped(media, _clips, CLIPS, id_col, avi_col)
 

@@ -574,7 +574,8 @@ def test_clips_of_a_foreign_file(spark):
     rows = [(1, avi), (2, None), (3, b"no file"), (4, avi[:200]), (1, avi), (5, avi[: len(avi) - 40])]
     got = media.clips_of(spark.createDataFrame(rows, "doc_id long, avi binary")).collect()
     assert sorted((r.doc_id, r.clip, r.start_ms, r.end_ms, r.n_frames) for r in got if r.doc_id == 1) == [(1, 0, 0, 700, 7)] * 2 + [(1, 1, 700, 1200, 5)] * 2
-    assert {r.doc_id for r in got} <= {1, 5}
+    assert {r.doc_id for r in got if r.clip is not None} <= {1, 5} and all((r.clip is None) == (r.reason is not None) for r in got)
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, 5}
 
 
 def test_clips_cover_documents(docs):
