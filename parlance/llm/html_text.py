@@ -1,9 +1,10 @@
 """Main text of web pages: a bidirectional LSTM labels every leaf block in the context of its whole page.
 
 A page is cut into leaf blocks (text between block-level tags). A block is described by hashed vectors of its tag path
-(names, classes, ids), hashed words, and a few shares; numpy LSTMs read the page's blocks in both directions, and a logistic
+(names, whole class and id values, their words and the last ones' character n-grams), hashed words, and a few shares; numpy LSTMs read the page's blocks in both directions, and a logistic
 unit calls each block article or not. The labeller is trained here, with a fixed seed, on pages made from invented words in
-many layouts (semantic tags, class names, tables, broken markup); it reads no table.
+many layouts (semantic tags, class names, tables, broken markup, and asides, footers, adverts and captions inside the article); it
+reads no table.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
-PATH, OWN, WORDS, SHARES = 64, 32, 64, 9
-INPUT = PATH + OWN + WORDS + SHARES
-#: An element: the one around it, its name and class words, the buckets that all names down to here fall into (a bit each), the last three names.
+PATH, OWN, GRAMS, WORDS, SHARES = 96, 32, 48, 64, 9
+INPUT = PATH + OWN + GRAMS + WORDS + SHARES
+#: An element: the one around it, its name, class words and whole class values, the buckets that all names down to here fall into (a bit each), the last four names.
 Node = tuple["Node | None", tuple[str, ...], int, tuple[str, ...]]
 #: Element, words, words inside links.
 Block = tuple[Node | None, list[str], int]
@@ -43,6 +44,18 @@ def _bit(name: str) -> int:
     return 1 << zlib.crc32(name.encode()) % PATH
 
 
+def _names(attributes: str) -> list[str]:
+    """Words of the classes, ids and roles, and each value of several words whole."""
+    out = []
+    for found in _NAMES.findall(attributes) if attributes else ():
+        for value in "".join(found).lower().split():
+            words = _PART.findall(value)
+            out += words
+            if len(words) > 1:
+                out.append("-".join(words))
+    return out
+
+
 def path(node: Node | None) -> list[str]:
     """Names and class words from an element outwards."""
     out = []
@@ -134,13 +147,12 @@ def blocks(page: str) -> list[Block]:
             if name in _CLOSES_SAME and stack and stack[-1][0] == name:
                 pop(name)
         if name not in VOID:
-            tokens = tuple(t for a, b, c in _NAMES.findall(m[3]) for t in _PART.findall((a or b or c).lower())) if m[3] else ()
-            names = (name, *tokens)
+            names = (name, *_names(m[3]))
             around = stack[-1][1] if stack else None
             bits, last = around[2:] if around else (0, ())
             for x in names:
                 bits |= _bit(x)
-            stack.append((name, (around, names, bits, (last + names)[-3:])))
+            stack.append((name, (around, names, bits, (last + names)[-4:])))
             counts[name] = counts.get(name, 0) + 1
     flush()
     return out
@@ -148,10 +160,12 @@ def blocks(page: str) -> list[Block]:
 
 @lru_cache(maxsize=20_000)
 def _path_vector(bits: int, last: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH + OWN, np.float32)
+    v = np.zeros(PATH + OWN + GRAMS, np.float32)
     v[[k for k in range(PATH) if bits >> k & 1]] = 1
     for x in last:
         v[PATH + zlib.crc32(b"own" + x.encode()) % OWN] = 1
+        for k in range(len(x) - 3):
+            v[PATH + OWN + zlib.crc32(x[k : k + 4].encode()) % GRAMS] = 1
     return v
 
 
@@ -173,10 +187,10 @@ def vectors(pages: list[list[Block]], first: int = 0, of: int | None = None) ->
     if not flat:
         return x
     n = np.fromiter((len(w) for _, w, _ in flat), np.int64, len(flat))
-    x[:, : PATH + OWN] = np.stack([_path_vector(*(p[2:] if p else (0, ()))) for p, _, _ in flat])
+    x[:, : PATH + OWN + GRAMS] = np.stack([_path_vector(*(p[2:] if p else (0, ()))) for p, _, _ in flat])
     ids = np.fromiter((_BUCKETS[w] for _, words, _ in flat for w in words), np.int64, int(n.sum()))
     bag = np.bincount(np.repeat(np.arange(len(flat)), n) * WORDS + ids, minlength=len(flat) * WORDS)
-    x[:, PATH + OWN : -SHARES] = bag.reshape(-1, WORDS) / n[:, None] * 2
+    x[:, PATH + OWN + GRAMS : -SHARES] = bag.reshape(-1, WORDS) / n[:, None] * 2
     share = x[:, -SHARES:]
     share[:, 0] = np.log1p(n) / 4
     share[:, 1] = np.fromiter((k for _, _, k in flat), np.float64, len(flat)) / n
@@ -321,21 +335,32 @@ def examples(n: int, seed: int) -> list[tuple[str, list[str]]]:
             out.append(" ".join(words[:k]).capitalize() + pick(".", ".", ".", "!", "?"))
             words = words[k:]
         text = " ".join(out)
-        return pick(text, text, text, text.replace(" ", " | ") if chance(0.3) else text, text.upper() if chance(0.2) else text)
+        text = pick(text, text, text, text.replace(" ", pick(" | ", "*** ", " - ")) if chance(0.4) else text, text.upper() if chance(0.2) else text)
+        return " ".join(text.split()[: rng.integers(1, 40)]) if chance(0.15) else text  # cut off without a stop
 
     def links(k: int, tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/{word()}">{pick(word(), word() + " " + word(), pick("Home", "About", "Contact", "News", "Login", "Next"))}</a></{tag}>' for _ in range(k))
 
+    def mixed(*kinds: str) -> str:
+        """A class value of junk, at times joined with a word that articles bear as well."""
+        kind, common = pick(*kinds), pick("content", "post", "article", "text", "body", "main", "block", "box", "story", "entry", "section")
+        return pick(kind, kind, f"{kind}-{common}", f"{common}-{kind}", f"{kind}_{common}", f"{common} {kind}")
+
+    mixed_class = lambda *kinds: f' class="{mixed(*kinds)}"'
+
     def junk(kind: str) -> str:
         some = lambda: prose(3, pick(8, 30))
+        inside = lambda: pick(some(), f"<p>{some()}</p>", f"<h3>{prose(1, 5)}</h3><p>{some()}</p>", f"<p>{some()}</p><p>{some()}</p>")
         return {
-            "nav": lambda: pick(f"<nav><ul>{links(rng.integers(3, 9))}</ul></nav>", f'<div class="{pick("menu", "nav", "navbar", "navigation", "topnav")}"><ul>{links(rng.integers(3, 9))}</ul></div>', f'<div class="breadcrumb">{links(3, "span")}</div>'),
+            "nav": lambda: pick(f"<nav><ul>{links(rng.integers(3, 9))}</ul></nav>", f'<div class="{pick("menu", "nav", "navbar", "navigation", "topnav", "post-navigation", "content-menu", "main-nav")}"><ul>{links(rng.integers(3, 9))}</ul></div>', f'<div class="breadcrumb">{links(3, "span")}</div>'),
             "header": lambda: pick(f"<header><h2>{prose(1, 4)}</h2><p>{some()}</p></header>", f'<div id="{pick("header", "masthead", "banner", "topbar")}">{some()}</div>'),
-            "ad": lambda: f'<{(t := pick("div", "div", "aside", "section", "p"))} class="{pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "banner ad")}">{some()}</{t}>',
-            "side": lambda: f'<{(t := pick("aside", "div"))} class="{pick("sidebar", "side", "widget", "related", "recommended", "popular", "more")}"><h3>{prose(1, 4)}</h3>{pick(f"<ul>{links(rng.integers(2, 6))}</ul>", f"<p>{some()}</p>")}</{t}>',
-            "notice": lambda: f'<div class="{pick("cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "alert", "newsletter", "subscribe", "disclaimer")}"><p>{pick("We use cookies.", "Accept all cookies to go on.", "Subscribe now!", "", "")} {some()}</p>{pick("", "<button>Accept</button>")}</div>',
+            "ad": lambda: f'<{(t := pick("div", "div", "aside", "section", "p"))} class="{mixed("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promoted", "ad-slot", "banner ad")}">{some() if t == "p" else inside()}</{t}>',
+            "side": lambda: f'<{(t := pick("aside", "div"))} class="{mixed("sidebar", "side", "widget", "related", "recommended", "popular", "more")}"><h3>{prose(1, 4)}</h3>{pick(f"<ul>{links(rng.integers(2, 6))}</ul>", f"<p>{some()}</p>")}</{t}>',
+            "aside": lambda: f"<aside>{pick(f'<h3>{prose(1, 5)}</h3>', f'<h4>{prose(1, 5)}</h4>', '')}{pick(some(), f'<p>{some()}</p>', f'<p>{some()}</p><p>{some()}</p>', f'<ul>{links(rng.integers(2, 6))}</ul>')}</aside>",
+            "end": lambda: f'<footer{pick("", "", "", mixed_class("footer", "foot", "meta"))}>{inside()}</footer>',
+            "notice": lambda: f'<div class="{mixed("cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "alert", "newsletter", "subscribe", "disclaimer")}"><p>{pick("We use cookies.", "Accept all cookies to go on.", "Subscribe now!", "", "")} {some()}</p>{pick("", "<button>Accept</button>")}</div>',
             "form": lambda: f'<form action="/{word()}" class="{pick("search", "login", "signup", "")}"><label>{some()}</label><input name="q"><button>{pick("Search", "Send", "Sign up", "Log in")}</button></form>',
-            "comments": lambda: f'<{(t := pick("section", "div", "ul"))} {pick("class", "id")}="{pick("comments", "comment-list", "discussion", "responses", "replies")}">{pick("<h3>Comments</h3>", "<h3>3 comments</h3>", "<h3>Responses</h3>", f"<h3>{prose(1, 3)}</h3>", "", "", "")}' + "".join(f'<{(u := pick("div", "li", "article"))} class="{pick("comment", "reply", "comment-body")}"><p>{prose(3, 40)}</p></{u}>' for _ in range(rng.integers(1, 6))) + f"</{t}>",
+            "comments": lambda: f'<{(t := pick("section", "div", "ul"))} {pick("class", "id")}="{mixed("comments", "comment-list", "discussion", "responses", "replies")}">{pick("<h3>Comments</h3>", "<h3>3 comments</h3>", "<h3>Responses</h3>", f"<h3>{prose(1, 3)}</h3>", "", "", "")}' + "".join(f'<{(u := pick("div", "li", "article"))} class="{pick("comment", "reply", "comment-body", "comment-content")}"><p>{prose(3, 40)}</p></{u}>' for _ in range(rng.integers(1, 6))) + f"</{t}>",
             "share": lambda: f'<div class="{pick("share", "social", "tags", "pagination", "byline meta", "author-bio")}">{pick(links(3, "span"), some())}</div>',
             "footer": lambda: pick(f"<footer>{pick('&copy; ', '', '© ')}{word()}.example.com &middot; {some()}</footer>", f'<div id="footer" class="{pick("footer", "site-footer", "copyright", "bottom")}"><p>{pick("&copy; 2020 ", "")}{some()}</p></div>', f"<footer><ul>{links(4)}</ul><p>{some()}</p></footer>"),
         }[kind]()
@@ -344,7 +369,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[str]]]:
     for _ in range(n):
         body = []
         for _ in range(pick(1, 2, 3, 5, 8, 12)):
-            body.append((pick("p", "p", "p", "p", "h2", "li", "blockquote", "pre", "h3"), prose(1, pick(3, 12, 40, 120))))
+            body.append((pick("p", "p", "p", "p", "p", "h2", "li", "blockquote", "pre", "h3", "figcaption"), prose(1, pick(3, 12, 40, 120))))
         title = prose(1, pick(5, 12))
         inner, truth = "", []
         if chance(0.7):
@@ -356,16 +381,21 @@ def examples(n: int, seed: int) -> list[tuple[str, list[str]]]:
                 tag = "div"
             if tag == "li":
                 inner += f"<ul><li>{text}</li></ul>"
+            elif tag == "figcaption":
+                inner += f'<figure{pick("", "", mixed_class("image", "photo", "media"))}>{pick(f'<img src="/{word()}.jpg" alt="">', "")}<figcaption>{text}</figcaption></figure>'
+            elif tag == "p" and chance(0.1):
+                inner += f'<p class="{pick("lead", "intro", "text", "body-text", "first", "summary")}">{text}</p>'
             elif tag == "p" and chance(0.2):
                 inner += pick(f"<p><b>{text}<br>", f"<p>{text}", f"<p><a href='/{word()}'>{text}</a></p>")
             else:
                 inner += f"<{tag}>{text}</{tag}>"
             truth.append(text)
-            if chance(0.06):
-                inner += junk(pick("ad", "side", "share", "notice"))
+            if chance(0.1):
+                inner += junk(pick("ad", "ad", "side", "aside", "aside", "share", "notice", "form"))
+        inner += junk("end") if chance(0.15) else ""
         wrap = pick("article", "article", "main", "content", "post", "nested", "table", "bare")
         article = {
-            "article": lambda: f"<article>{inner}</article>", "main": lambda: f"<main>{inner}</main>", "content": lambda: f'<div class="{pick("content", "entry-content", "article-body", "main", "text", "story")}">{inner}</div>', "post": lambda: f'<div id="{pick("post", "main", "article")}-{rng.integers(9)}" class="post">{inner}</div>',
+            "article": lambda: f"<article>{inner}</article>", "main": lambda: f"<main>{inner}</main>", "content": lambda: f'<div class="{pick("content", "entry-content", "article-body", "article-content", "post-content", "main-content", "main", "text", "story")}">{inner}</div>', "post": lambda: f'<div id="{pick("post", "main", "article")}-{rng.integers(9)}" class="post">{inner}</div>',
             "nested": lambda: f'<main><article class="{pick("post", "hentry")}"><div class="body">{inner}</div></article></main>', "table": lambda: f"<table><tr><td>{inner}</td></tr></table>", "bare": lambda: inner,
         }[wrap]
         def deep(part: str) -> str:
@@ -373,8 +403,8 @@ def examples(n: int, seed: int) -> list[tuple[str, list[str]]]:
             wrap = pick("<div>", "<div>", f'<div class="{word()}">', f'<section id="{word()}">')
             return wrap * k + part + f"</{wrap[1:4] if wrap[1] == 'd' else 'section'}>" * k
 
-        before = [k for k in ("notice", "header", "nav", "form", "ad", "side") if chance(0.5)] if chance(0.7) else []
-        after = [k for k in ("share", "side", "ad", "comments", "form", "notice") if chance(0.35)] + (["footer"] if chance(0.85) else [])
+        before = [k for k in ("notice", "header", "nav", "form", "ad", "side", "aside") if chance(0.5)] if chance(0.7) else []
+        after = [k for k in ("share", "side", "aside", "ad", "comments", "form", "notice") if chance(0.35)] + (["footer"] if chance(0.85) else [])
         body_open, body_close = pick(("", ""), ("", ""), ("", ""), ("<div>" * (k := int(rng.integers(1, 25))), "</div>" * k))
         parts = [f"<title>{pick(title, title[:60], prose(2, 8))}</title>" if chance(0.65) else "", *(deep(junk(k)) for k in before), deep(article()), *(deep(junk(k)) for k in after)]
         out.append(("<!DOCTYPE html><html><head>" + parts[0] + "</head><body>" + body_open + "".join(parts[1:]) + body_close + pick("</body></html>", "</body></html>", ""), truth))
@@ -382,8 +412,8 @@ def examples(n: int, seed: int) -> list[tuple[str, list[str]]]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 900, epochs: int = 9, batch: int = 20, seed: int = 5, rate: float = 0.01) -> Labeller:
-    """The labeller after `epochs` passes of Adam over n made pages."""
+def trained(n: int = 3000, epochs: int = 9, batch: int = 40, seed: int = 5, rate: float = 0.012) -> Labeller:
+    """The labeller after `epochs` passes of Adam over n made pages: a running mean of the weights over the last three."""
     data = []
     for page, truth in examples(n, seed):
         own = blocks(page)
@@ -397,11 +427,13 @@ def trained(n: int = 900, epochs: int = 9, batch: int = 20, seed: int = 5, rate:
     model, rng = Labeller(seed=seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
-    step = 0
+    step, mean = 0, None
     for epoch in range(epochs):
         order = rng.permutation(len(data))
-        for a in range(0, len(order), batch):
-            own = [data[k] for k in order[a : a + batch]]
+        alike = [sorted(order[a : a + 8 * batch], key=lambda k: len(data[k][1])) for a in range(0, len(order), 8 * batch)]  # little padding
+        groups = [part[a : a + batch] for part in alike for a in range(0, len(part), batch)]
+        for g in rng.permutation(len(groups)):
+            own = [data[k] for k in groups[g]]
             x, mask = _padded([r for r, _ in own])
             truth = np.zeros(mask.shape, bool)
             for k, (_, label) in enumerate(own):
@@ -409,10 +441,13 @@ def trained(n: int = 900, epochs: int = 9, batch: int = 20, seed: int = 5, rate:
             slopes, _ = model.slopes(x, mask, truth)
             step += 1
             pace = rate * (0.5 if epoch >= epochs - 2 else 1) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-            for k, g in slopes.items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
+            for k, slope in slopes.items():
+                first[k] = 0.9 * first[k] + 0.1 * slope
+                second[k] = 0.999 * second[k] + 0.001 * slope * slope
                 model.weights[k] = model.weights[k] - pace * first[k] / (np.sqrt(second[k]) + 1e-8)
+            if epoch >= epochs - 3:
+                mean = {k: v + ((mean or model.weights)[k] - v) * 0.99 for k, v in model.weights.items()}
+    model.weights = mean or model.weights
     return model
 
 
