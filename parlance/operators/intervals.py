@@ -1,42 +1,12 @@
-"""Intervals on a time axis: repair, snapping, padding, frame lookup, voiced segments."""
+"""Intervals on a time axis: repair, snapping, padding, frame lookup; voiced segments are those of `voicing`."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import BLOCK_ROWS, clamped, fresh
-
-
-def _streamed(ordered: DataFrame, schema: str, step: Callable[[], Callable[[int, list], list]]) -> DataFrame:
-    """Rows of `ordered` (dealt by utt_id and sorted by it and time in each partition) through a state that begins anew for each utterance.
-
-    step() makes that state: a function of a row that gives rows, and of None at the utterance's end. Batches pass one by one, so neither
-    an utterance nor a partition is ever held.
-    """
-    names = [f.split()[0].strip("`") for f in schema.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-    target = pa.schema([(n, types[f.split()[1]]) for n, f in zip(names, schema.split(", "), strict=True)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        utt, own = None, None
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own is None or row[0] != utt:
-                    out += own(utt, None) if own else []
-                    utt, own = row[0], step()
-                out += own(utt, row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), target.types, strict=True)], schema=target)
-        if own:
-            out = own(utt, None)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), target.types, strict=True)], schema=target)
-
-    return ordered.mapInArrow(run, schema)
+from .voicing import voiced, voiced_segments  # noqa: F401
 
 
 def repaired(ctm: DataFrame, silent: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -53,10 +23,6 @@ def repaired(ctm: DataFrame, silent: tuple[str, ...] = (), block_rows: int = BLO
     return clamped(rows, "utt_id", ["ord", "start", "dur", "label"], "start", "dur", block_rows).select("utt_id", "ord", "label", time("start"), time("end"))
 
 
-def _kind(df: DataFrame) -> str:
-    return {"bigint": "long"}.get(dict(df.dtypes)["utt_id"], dict(df.dtypes)["utt_id"])
-
-
 def snapped(intervals: DataFrame, within: float = 0.01) -> DataFrame:
     """Ends less than `within` before the utterance's last end move to it."""
     last = F.max("end").over(Window.partitionBy("utt_id"))
@@ -128,56 +94,3 @@ def endpoint_means(intervals: DataFrame, frames: DataFrame) -> DataFrame:
     """Mean of the frames at both ends of each interval (not of those between)."""
     ends = intervals.select("utt_id", "ord", F.explode(F.array("start", "end")).alias("t"))
     return frame_at(ends, frames).groupBy("utt_id", "ord").agg(F.avg("left_value").alias("mean_value"))
-
-
-class Voiced:
-    """Start and end of voiced stretches, frame by frame: a buffer mostly voiced opens one, a buffer mostly unvoiced closes it.
-
-    The buffer empties at each turn; a stretch that is still open ends at the start of the last frame.
-    """
-
-    def __init__(self, duration: float, buffer: int = 10, share: float = 0.9):
-        self.duration, self.most = duration, share * buffer
-        self.held: deque[bool] = deque(maxlen=buffer)
-        self.opened, self.seen = None, 0
-
-    def frame(self, speech: bool) -> list[tuple[float, float]]:
-        self.held.append(speech)
-        self.seen += 1
-        yes = sum(self.held)
-        if self.opened is None and yes > self.most:
-            self.opened = self.seen - len(self.held)
-            self.held.clear()
-        elif self.opened is not None and len(self.held) - yes > self.most:
-            found = [(self.opened * self.duration, (self.seen - 1) * self.duration + self.duration)]
-            self.opened = None
-            self.held.clear()
-            return found
-        return []
-
-    def end(self) -> list[tuple[float, float]]:
-        return [] if self.opened is None else [(self.opened * self.duration, (self.seen - 1) * self.duration)]
-
-
-def voiced(frames: list[bool], duration: float, buffer: int = 10, share: float = 0.9) -> list[tuple[float, float]]:
-    """The stretches of a list of frames."""
-    state = Voiced(duration, buffer, share)
-    return [found for speech in frames for found in state.frame(speech)] + state.end()
-
-
-def voiced_segments(frames: DataFrame, duration: float = 0.03, buffer: int = 10) -> DataFrame:
-    """utt_id, segment, start, end from frames (utt_id, i, is_speech); sorted frames stream through the state of one buffer."""
-    rows = frames.select("utt_id", "i", "is_speech").repartition("utt_id").sortWithinPartitions("utt_id", "i")
-
-    def step() -> Callable[[int, list], list]:
-        state, n = Voiced(duration, buffer), 0
-
-        def own(utt: int, row: tuple | None) -> list:
-            nonlocal n
-            found = state.end() if row is None else state.frame(bool(row[2]))
-            n += len(found)
-            return [(utt, n - len(found) + k, a, b) for k, (a, b) in enumerate(found)]
-
-        return own
-
-    return _streamed(rows, f"utt_id {_kind(frames)}, segment int, start double, end double", step)
