@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scores import confidence, pronunciation
-from ..functions.stats import NAMES
+from ..functions.stats import NAMES, described_large
 from ..operators import alignment, combine, features, fluency, intervals, pronunciation as gop, regression, rhythm, vocabulary, vowels
 from ..sources import adapters as A
 from ..streaming import sessions
@@ -718,3 +718,10 @@ def stop_words_removed(spark, d):
     """F11, with a fixed small list."""
     stop = spark.createDataFrame([(w,) for w in ("the", "a", "of", "to", "and", "in")], "word string")
     return vocabulary.without_stop_words(_conv(spark, d), stop).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {GOP}, m AS (SELECT phone, dur, raw, avg(dur) OVER w AS dur_m, avg(raw) OVER w AS raw_m FROM gop WINDOW w AS (PARTITION BY phone))
+SELECT phone, {_stats_sql("dur", "duration")}, {_stats_sql("raw", "score")} FROM m GROUP BY phone""")
+def phone_statistics(spark, d):
+    """The eight statistics of duration and raw score of each phone over the whole corpus; groups grow with it."""
+    return rounded(described_large(_gop(spark, d), ["phone"], {"duration": F.col("dur"), "score": F.col("raw")}), nudge=1e-9)

@@ -632,3 +632,17 @@ def test_vowel_pools(spark):
     kind = F.col("label").rlike("^[AEIOU]")
     assert sorted(map(tuple, vowels.vowel_pools(phones, frames, kind).collect())) == [("AH0", "u", 14.0, 140.0), ("ER", "u", 0.0, 0.0), ("IY1", "u", 39.0, 390.0)]
     assert sorted(r.vowel for r in vowels.vowel_pools(phones, frames, kind, basic=True).collect()) == ["a", "e", "i"]
+
+
+def test_statistics_of_large_groups(spark):
+    """As those of groups that are held: few and many rows, ties at the middle, nulls, a null key, a group without values, names that clash."""
+    rng = random.Random(31)
+    rows = [("hot", rng.gauss(0, 1), 1.0) for _ in range(20_001)] + [("even", float(k), None) for k in range(4000)] + [("ties", float(rng.random() < 0.5), 2.0) for _ in range(5000)]
+    rows += [("one", 3.0, -1.0), ("two", 1.0, None), ("two", 2.0, 5.0), ("none", None, None), (None, 4.0, 1.0), (None, None, 2.0)] + [("inf", v, 0.0) for v in (-math.inf, 1.0, math.inf, 1.0)]
+    df = spark.createDataFrame(rows, "key string, salt double, v0 double").withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    values = {"a": F.col("salt"), "b": F.col("v0")}
+    tidy = lambda x: sorted((tuple(None if v is None else v if isinstance(v, str) else "nan" if v != v else round(v, 9) for v in r) for r in x.collect()), key=str)
+    want = tidy(stats.described(df, ["key"], values))
+    assert tidy(stats.described_large(df, ["key"], values)) == want and len(want) == 8
+    assert tidy(stats.described_large(df.repartition(3), ["key"], values, accuracy=10)) == want  # poor quantiles only widen the second look
+    assert stats.described_large(df.where("false"), ["key"], values).count() == 0
