@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators.prefix import running
 from .lines import document_entries, numbered_lines
+from .textgrid import textgrid, textgrid_tiers  # noqa: F401
 
 GOP_SCHEMA = "struct<GOP:array<array<string>>>"
 
@@ -124,12 +125,3 @@ def grader_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated with a header; a byte order mark before the first name goes."""
     df = spark.read.csv(path, sep="\t", header=True, quote="")
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
-
-
-def textgrid(spark: SparkSession, path: str, tier: str = "words") -> DataFrame:
-    """Intervals of a named tier: file, ord, start, end, label."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    body = F.regexp_extract("value", rf'(?s)name = "{tier}"(.*?)(?:item \[|$)', 1)
-    cut = lambda k: F.regexp_extract_all(body, F.lit(r'xmin = ([0-9.]+)\s+xmax = ([0-9.]+)\s+text = "([^"]*)"'), F.lit(k))
-    zipped = F.arrays_zip(cut(1).alias("a"), cut(2).alias("b"), cut(3).alias("t"))
-    return whole.select("file", F.posexplode(zipped).alias("ord", "i")).select("file", "ord", F.col("i.a").cast("double").alias("start"), F.col("i.b").cast("double").alias("end"), F.col("i.t").alias("label"))

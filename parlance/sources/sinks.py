@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textgrid import textgrid_text, write_textgrids  # noqa: F401
+
 
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line."""
@@ -57,22 +59,6 @@ def write_items(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def textgrid_text(intervals: DataFrame, tiers: tuple[str, ...] = ("words", "phones")) -> DataFrame:
-    """A row for each utterance: the text of its interval file, from rows of (utt_id, tier, ord, start, end, label).
-
-    An utterance's intervals are one array, bounded by its length in seconds.
-    """
-    cell = F.concat(F.lit("            xmin = "), F.col("start"), F.lit("\n            xmax = "), F.col("end"), F.lit('\n            text = "'), F.col("label"), F.lit('"\n'))
-    per_tier = intervals.groupBy("utt_id", "tier").agg(
-        F.max("end").alias("stop"), F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", cell.alias("c")))), lambda x: F.concat(F.lit("        intervals ["), x["ord"], F.lit("]:\n"), x["c"])), "").alias("body")
-    )
-    place = F.array_position(F.array(*map(F.lit, tiers)), F.col("tier"))
-    item = F.concat(F.lit("    item ["), place, F.lit(']:\n        class = "IntervalTier"\n        name = "'), F.col("tier"), F.lit('"\n        xmin = 0\n        xmax = '), F.col("stop"), F.lit("\n        intervals: size = "), F.col("n"), F.lit("\n"), F.col("body"))
-    head = lambda stop: F.concat(F.lit('File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = 0\nxmax = '), stop, F.lit(f"\ntiers? <exists>\nsize = {len(tiers)}\nitem []:\n"))
-    whole = per_tier.groupBy("utt_id").agg(F.max("stop").alias("stop"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), item.alias("t")))), lambda x: x["t"]), "").alias("items"))
-    return whole.select("utt_id", F.concat(head(F.col("stop")), "items").alias("text"))
-
-
 def unprocessed(todo: DataFrame, done: DataFrame, key: str = "utt_id") -> DataFrame:
     """What a rerun still has to do."""
     return todo.join(done.select(key), key, "left_anti")
