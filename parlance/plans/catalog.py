@@ -727,7 +727,7 @@ def phone_statistics(spark, d):
     return rounded(described_large(_gop(spark, d), ["phone"], {"duration": F.col("dur"), "score": F.col("raw")}), nudge=1e-9)
 
 
-@query(f"""WITH {CTM}, sp AS (SELECT utt_id, ord, label, round(conf, 2) AS conf, round(start, 2) AS start, round(start + dur, 2) AS "end" FROM ctm), tot AS (SELECT utt_id, max("end") + 0.5::DOUBLE AS total FROM sp GROUP BY utt_id),
+@query(f"""WITH {CTM}, sp AS (SELECT utt_id, ord, label, round(conf + 1e-9, 2) AS conf, round(start, 2) AS start, round(start + dur, 2) AS "end" FROM ctm), tot AS (SELECT utt_id, max("end") + 0.5::DOUBLE AS total FROM sp GROUP BY utt_id),
 e AS (SELECT *, ord = min(ord) OVER w AS f, ord = max(ord) OVER w AS l FROM sp JOIN tot USING (utt_id) WINDOW w AS (PARTITION BY utt_id)),
 n AS (SELECT utt_id, ord, label, conf, f, l, total, CASE WHEN f AND start = 0 THEN start + 0.0001 ELSE start END AS start, CASE WHEN l AND "end" = total THEN "end" - 0.0001 ELSE "end" END AS "end" FROM e),
 p AS (SELECT utt_id, ord, label, conf, start, "end", total FROM n UNION ALL SELECT utt_id, ord - 1, NULL, NULL, 0.0, start, total FROM n WHERE f AND start > 0 UNION ALL SELECT utt_id, ord + 1, NULL, NULL, "end", total, total FROM n WHERE l AND "end" < total),
@@ -736,6 +736,6 @@ UNION ALL SELECT utt_id, 'PerceivedPhoneIPA', ord, start, "end", '', total FROM
 SELECT utt_id, tier, CAST(ord AS INTEGER) AS ord, round(start, 6) AS start, round("end", 6) AS "end", label, round(total, 6) AS total FROM t""")
 def annotation_tiers(spark, d):
     """The four tiers of every utterance's annotation file."""
-    words = _ctm(spark, d).select("utt_id", "ord", "label", F.round("conf", 2).alias("conf"), F.round("start", 2).alias("start"), F.round(F.col("start") + F.col("dur"), 2).alias("end"))
+    words = _ctm(spark, d).select("utt_id", "ord", "label", F.round(F.col("conf") + 1e-9, 2).alias("conf"), F.round("start", 2).alias("start"), F.round(F.col("start") + F.col("dur"), 2).alias("end"))
     totals = words.groupBy("utt_id").agg((F.max("end") + 0.5).alias("total"))
     return rounded(textgrid.annotation_tiers(words, words.drop("conf"), totals))
