@@ -88,6 +88,11 @@ def described_large(df: DataFrame, keys: list[str], values: dict[str, Column], a
     return whole.select("key.*", *(F.coalesce(cell(o, n), F.lit(0)).alias(f"{p}_{n}") for o, p in zip(own, names, strict=True) for n in NAMES))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df's rows as computed now, once: in the checkpoint folder that all executors see, or with the executors where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def _below(cuts: list[float], value: Column) -> Column:
     """How many of the sorted cuts lie under a value; many cuts in two steps, each of about their root."""
     if len(cuts) > 64:

@@ -16,10 +16,10 @@ def segment_words(phones: DataFrame, keys: list[str], last: Column) -> DataFrame
     return phones.withColumn("word_ord", F.coalesce(F.sum(last.cast("int")).over(before), F.lit(0)))
 
 
-def word_scores(phones: DataFrame) -> DataFrame:
-    """Mean phone score of each word; phones of predicted silence count a fifth."""
+def word_scores(phones: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """Mean phone score of each word, and further aggregates of its phones; phones of predicted silence count a fifth."""
     rows = phones.withColumn("score", pronunciation(F.col("raw"), F.col("silent")))
-    return rows.groupBy("utt_id", "word_ord").agg(F.avg("score").alias("score"), F.count("*").alias("n_phones"))
+    return rows.groupBy("utt_id", "word_ord").agg(F.avg("score").alias("score"), F.count("*").alias("n_phones"), *(more or []))
 
 
 def duration_statistics(phones: DataFrame) -> DataFrame:

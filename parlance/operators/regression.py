@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_ranks
+from ..functions.stats import cut, running_count
 
 
 def feature_regression(df: DataFrame, features: list[str], target: str, margins: tuple[float, ...] = (0.5, 1.0)) -> DataFrame:
@@ -25,8 +25,17 @@ def feature_regression(df: DataFrame, features: list[str], target: str, margins:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation of two columns (null for a constant one) and the rows."""
+    """Rank correlation of two columns (null for a constant one) and the rows.
+
+    df is computed once: its pairs are counted and kept, ranks come from the counts of each side's values, and every pair weighs as many rows as it has.
+    """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    ranked = average_ranks(average_ranks(rows, "x", "rx"), "y", "ry")
-    got = ranked.agg(F.covar_pop("rx", "ry").alias("c"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"), F.count("*").alias("n"))
-    return got.select(F.try_divide(F.col("c"), F.sqrt(F.col("vx") * F.col("vy"))).alias("rho"), "n")
+    pairs = cut(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    met = pairs.crossJoin(F.broadcast(pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))))  # one row
+    for side in ("x", "y"):
+        counts = pairs.groupBy(side).agg(F.sum("n").alias("ties"))
+        ranked = running_count(counts, side, F.col("ties"), "last").select(side, (F.col("last") - (F.col("ties") - 1) / 2).alias(f"r{side}"))
+        met = met.join(ranked, side).withColumn(f"d{side}", F.col(f"r{side}") - (F.col("all") + 1) / 2)  # from the mean rank: whole halves
+    total = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    got = met.agg(total("dx", "dy").alias("c"), total("dx", "dx").alias("vx"), total("dy", "dy").alias("vy"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return got.select(F.try_divide(F.col("c"), F.sqrt(F.col("vx")) * F.sqrt(F.col("vy"))).alias("rho"), "n")

@@ -110,9 +110,7 @@ r AS (SELECT rank() OVER (ORDER BY round(score, 9)) + (count(*) OVER (PARTITION
 SELECT round(covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)), 4) AS rho, count(*) AS n FROM r""")
 def gop_job(spark, d):
     """From scored phones to the correlation with the annotation."""
-    words = _words(spark, d)
-    anno = words.groupBy("utt_id", "word_ord").agg(F.count_if("correct").alias("anno"))
-    both = pronunciation.word_scores(words).withColumn("score", F.round("score", 9)).join(anno, ["utt_id", "word_ord"])
+    both = pronunciation.word_scores(_words(spark, d), [F.count_if("correct").alias("anno")]).withColumn("score", F.round("score", 9))
     return rounded(regression.spearman(both, "score", "anno"), 4)
 
 
