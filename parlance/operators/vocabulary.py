@@ -33,21 +33,29 @@ def upper_share(texts: DataFrame) -> DataFrame:
     return texts.agg((up > low).alias("upper"))
 
 
+BITS = 64
+
+
 def replace_missing(texts: DataFrame, lexicon: DataFrame, keys: list[str], upper: bool) -> DataFrame:
     """keys and texts with <UNK> for words that the lexicon lacks (compared in lower case) and one case for the rest; blank texts fall out.
 
-    Each word meets the lexicon with its place (a small lexicon is broadcast by Spark, and a skewed word of a large one is split by it), and
-    the places put the text together again: work in proportion to the words, whatever a text's length. Rows of equal keys are texts of their own.
+    Each word meets the lexicon with its place (a small lexicon is broadcast by Spark, and a skewed word of a large one is split by it). What comes back
+    is a bit for each place, 64 in a number, so words are neither shuffled nor sorted to put a text together again: texts and their bits meet by the SHA-256
+    of the text, and words find theirs by place. Work is in proportion to the words, whatever a text's length; texts are read twice. Rows of equal keys are
+    texts of their own, equal texts share their bits.
     """
-    word, place, known, row, out = fresh(texts, "word", "place", "known", "row", "text")
-    rows = texts.withColumn(row, F.monotonically_increasing_id()).withColumn(word, tokens(F.col("text")))
-    rows = rows.select(*keys, row, F.posexplode(word).alias(place, word))
+    text, code, word, place, known, block, bits = fresh(texts, "text", "code", "word", "place", "known", "block", "bits")
+    coded = texts.select(*keys, F.col("text").alias(text)).withColumn(code, F.unhex(F.sha2(F.col(text), 256)))
+    rows = coded.select(code, F.posexplode(tokens(F.col(text))).alias(place, word))
     lexicon = lexicon.select(F.col("word").alias(known)).distinct()
     found = rows.join(lexicon, F.lower(word) == F.col(known), "left")
-    cased = F.when(F.col(known).isNull(), "<UNK>").otherwise(F.upper(word) if upper else F.lower(word))
-    parts = F.sort_array(F.collect_list(F.struct(F.col(place), cased.alias("word"))))
-    joined = found.groupBy(*keys, row).agg(F.array_join(F.transform(parts, lambda x: x["word"]), " ").alias(out))
-    return joined.select(*keys, F.col(out).alias("text"))
+    bit = F.when(F.col(known).isNull(), F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(place) % BITS))
+    numbers = found.groupBy(code, F.floor(F.col(place) / BITS).cast("int").alias(block)).agg(F.bit_or(bit).alias(bits))
+    marks = numbers.groupBy(code).agg(F.transform(F.sort_array(F.collect_list(F.struct(block, bits))), lambda x: x[bits]).alias(bits))  # no block is missing
+    cased = lambda w: F.upper(w) if upper else F.lower(w)
+    has = lambda i: F.getbit(F.get(bits, F.floor(i / BITS).cast("int")), i % BITS) == 1
+    filled = F.transform(tokens(F.col(text)), lambda w, i: F.when(has(i), cased(w)).otherwise("<UNK>"))
+    return coded.join(marks, code).select(*keys, F.array_join(filled, " ").alias("text"))
 
 
 def even_split(ctm: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parlance.operators import regression
+from parlance.operators import regression, vocabulary
 from parlance.plans import jobs
 
 
@@ -18,6 +18,18 @@ def counted(spark, df):
     return df.mapInPandas(passed, df.schema), seen
 
 
+def shuffled_mb(spark, df):
+    """MB that the stages of a run of df write to shuffles."""
+    before = {s.stageId(): 0 for s in stages(spark)}
+    df.write.format("noop").mode("overwrite").save()
+    return sum(s.shuffleWriteBytes() for s in stages(spark) if s.stageId() not in before) / 1e6
+
+
+def stages(spark):
+    got = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return [got.apply(k) for k in range(got.size())]
+
+
 def test_rank_correlation_computes_its_input_once(spark):
     df, seen = counted(spark, spark.range(1000).select((F.col("id") % 97).cast("double").alias("x"), F.when(F.col("id") % 10 != 3, F.col("id") % 89).cast("double").alias("y")))
     got = regression.spearman(df, "x", "y").first()
@@ -32,3 +44,16 @@ def test_gop_job_has_words_without_an_utterance(spark, tmp_path):
     rows = [(k // 6 if k < 12 else None, k, k, k, "A", (k % 5) / 10, "OF"[k % 2], 1.0, 0.0) for k in range(18)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_discount double, l_linestatus string, l_quantity double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert jobs.gop_job(spark, str(tmp_path)).first().n == 6
+
+
+def test_replaced_words_are_not_shuffled(spark):
+    """Words that have met a small lexicon come back as bits: their shuffles hold numbers, a text goes through one, and no list of words is collected."""
+    texts = spark.createDataFrame([("a", " ".join(f"W{k % 7}" for k in range(1000))), ("a", "w1"), ("b", "W1  x\n"), (None, "w1"), ("c", " "), ("d", None)], "id string, text string")
+    lexicon = spark.createDataFrame([("w1",), ("w3",), ("w3",)], "word string")
+    df = vocabulary.replace_missing(texts, lexicon, ["id"], False)
+    long = " ".join(f"w{k % 7}" if k % 7 in (1, 3) else "<UNK>" for k in range(1000))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("a", long), ("a", "w1"), ("b", "w1 <UNK>"), (None, "w1")], key=str)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "collect_list(struct(place" not in plan
+    big = spark.range(2000).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.xxhash64(k, F.col("id")).cast("string")), " ").alias("text"))  # 20 MB
+    assert shuffled_mb(spark, vocabulary.replace_missing(big, lexicon, ["id"], False)) < 30  # digits take half a byte at least, 10 MB a pass
