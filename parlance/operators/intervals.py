@@ -36,7 +36,11 @@ def padded(intervals: DataFrame, nudge: float = 1e-4) -> DataFrame:
     """
     w = Window.partitionBy("utt_id")
     is_first, is_last = F.col("ord") == F.min("ord").over(w), F.col("ord") == F.max("ord").over(w)
-    rows = intervals.withColumns({"is_first": is_first, "is_last": is_last})
+    return with_ends(intervals.withColumns({"is_first": is_first, "is_last": is_last}), ["utt_id"], nudge)
+
+
+def with_ends(rows: DataFrame, keys: list[str], nudge: float = 1e-4) -> DataFrame:
+    """keys, ord, label, start and end of `padded`, for intervals that say by is_first and is_last whether they are their sequence's ends."""
     rows = rows.withColumns({
         "start": F.when(F.col("is_first") & (F.col("start") == 0), F.col("start") + nudge).otherwise(F.col("start")),
         "end": F.when(F.col("is_last") & (F.col("end") == F.col("total")), F.col("end") - nudge).otherwise(F.col("end")),
@@ -45,7 +49,7 @@ def padded(intervals: DataFrame, nudge: float = 1e-4) -> DataFrame:
     own = cell(F.col("ord").cast("int"), F.col("label"), F.col("start"), F.col("end"))
     head = F.when(F.col("is_first") & (F.col("start") > 0), cell(F.col("ord").cast("int") - 1, F.lit(""), F.lit(0.0), F.col("start")))
     tail = F.when(F.col("is_last") & (F.col("end") < F.col("total")), cell(F.col("ord").cast("int") + 1, F.lit(""), F.col("end"), F.col("total")))
-    return rows.select("utt_id", F.explode(F.filter(F.array(head, own, tail), lambda x: x.isNotNull())).alias("x")).select("utt_id", "x.*")
+    return rows.select(*keys, F.explode(F.filter(F.array(head, own, tail), lambda x: x.isNotNull())).alias("x")).select(*keys, "x.*")
 
 
 def frame_at(times: DataFrame, frames: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from urllib.parse import quote
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..operators.intervals import padded
+from ..operators.intervals import with_ends
 
 # What counts in a file: quoted texts (quotes doubled inside), flags and free-standing numbers; all else is a remark. So long and short files hold the same values.
 VALUE = r'("(?:[^"]|"")*"|<[a-z]+>|(?<!\S)-?[0-9][0-9.eE+-]*(?!\S)|![^\n]*)'
@@ -90,19 +90,26 @@ def annotation_tiers(words: DataFrame, phones: DataFrame, totals: DataFrame) ->
 
     words: utt_id, ord, label, start, end, conf; phones: the same without conf; totals: utt_id, total, the length. Words carry their confidence after a comma, if
     they have one, phones lose what follows an underscore, the third tier has the phones' times and no labels, the notes are one empty interval. The first three are
-    padded to the whole length. Utterances without a total have no file.
+    padded to the whole length. Utterances without a total have no file. Words, phones and totals (one for each utterance) are sorted by utterance once, together.
     """
-
-    def padded_tier(rows: DataFrame, label: Column, name: str) -> DataFrame:
-        given = rows.join(totals.select("utt_id", F.col("total").cast("double").alias("total")), "utt_id")
-        full = padded(given.select("utt_id", F.col("ord").cast("int").alias("ord"), label.alias("label"), "start", "end", "total"))
-        return full.select("utt_id", F.lit(name).alias("tier"), "ord", "start", "end", "label")
-
     w, p, blank, notes = FOUR_TIERS
     spoken = F.when(F.col("conf").isNull(), F.col("label")).otherwise(F.concat("label", F.lit(","), F.col("conf").cast("string")))
-    parts = padded_tier(words, spoken, w), padded_tier(phones, F.substring_index("label", "_", 1), p), padded_tier(phones, F.lit(""), blank)
-    rest = totals.select("utt_id", F.lit(notes).alias("tier"), F.lit(1).alias("ord"), F.lit(0.0).alias("start"), F.col("total").cast("double").alias("end"), F.lit("").alias("label"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(rest).join(totals.select("utt_id", F.col("total").cast("double").alias("total")), "utt_id")
+    length = F.col("total").cast("double")
+
+    def spans(rows: DataFrame, kind: int, ord_: Column, label: Column, start: Column, end: Column, total: Column) -> DataFrame:
+        return rows.where("utt_id IS NOT NULL").select("utt_id", F.lit(kind).alias("kind"), ord_.cast("int").alias("ord"), label.alias("label"), start.alias("start"), end.alias("end"), total.cast("double").alias("total"))
+
+    own = F.col("ord"), F.col("start"), F.col("end"), F.lit(None)
+    rows = spans(words, 0, own[0], spoken, *own[1:]).unionByName(spans(phones, 1, own[0], F.substring_index("label", "_", 1), *own[1:]))
+    rows = rows.unionByName(spans(totals, 2, F.lit(1), F.lit(""), F.lit(0.0), length, length))
+    utt = Window.partitionBy("utt_id")
+    of = lambda f, kind: f(F.when(F.col("kind") == kind, F.col("ord"))).over(utt)
+    rows = rows.withColumns({"total": F.max("total").over(utt), "has": F.max("kind").over(utt), **{f"{f.__name__}{k}": of(f, k) for f in (F.min, F.max) for k in (0, 1)}})
+    edge = lambda name: F.when(F.col("kind") == 0, F.col("ord") == F.col(f"{name}0")).when(F.col("kind") == 1, F.col("ord") == F.col(f"{name}1")).otherwise(False)
+    full = with_ends(rows.where("has = 2").withColumns({"is_first": edge("min"), "is_last": edge("max")}), ["utt_id", "kind", "total"])
+    tier = lambda name, label: F.struct(F.lit(name).alias("tier"), label.alias("label"))
+    tiers = F.when(F.col("kind") == 0, F.array(tier(w, F.col("label")))).when(F.col("kind") == 1, F.array(tier(p, F.col("label")), tier(blank, F.lit("")))).otherwise(F.array(tier(notes, F.lit(""))))
+    return full.withColumn("x", F.explode(tiers)).select("utt_id", "x.tier", "ord", "start", "end", "x.label", "total")
 
 
 @dataclass

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import regression, vocabulary
 from parlance.plans import jobs
+from parlance.sources import textgrid
 
 
 def counted(spark, df):
@@ -57,3 +58,21 @@ def test_replaced_words_are_not_shuffled(spark):
     assert "bit_or" in plan and "collect_list(struct(place" not in plan
     big = spark.range(2000).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.xxhash64(k, F.col("id")).cast("string")), " ").alias("text"))  # 20 MB
     assert shuffled_mb(spark, vocabulary.replace_missing(big, lexicon, ["id"], False)) < 30  # digits take half a byte at least, 10 MB a pass
+
+
+def test_annotation_tiers_sort_once(spark):
+    """Words, phones and lengths meet in one sort; ids that are null or have no length have no tiers."""
+    words = spark.createDataFrame([("u", 1, "HI", 0.0, 0.5, 0.25), ("u", 3, "YOU", 0.5, 0.8, None), ("gone", 1, "x", 0.0, 1.0, 1.0), (None, 1, "x", 0.0, 1.0, 1.0)], "utt_id string, ord int, label string, start double, end double, conf double")
+    phones = spark.createDataFrame([("u", 2, "HH_B", 0.2, 0.5), ("u", 4, None, 0.5, 1.0)], "utt_id string, ord int, label string, start double, end double")
+    totals = spark.createDataFrame([("u", 1.0), ("silent", 3.0), ("unknown", None), (None, 1.0)], "utt_id string, total double")
+    df = textgrid.annotation_tiers(words, phones, totals)
+    assert sorted((r.utt_id, r.tier, r.ord, round(r.start, 4), r.end and round(r.end, 4), r.label or "", r.total) for r in df.collect() if r.utt_id != "unknown") == [
+        ("silent", "Notes", 1, 0.0, 3.0, "", 3.0),
+        ("u", "CorrectWord", 0, 0.0, 0.0001, "", 1.0), ("u", "CorrectWord", 1, 0.0001, 0.5, "HI,0.25", 1.0), ("u", "CorrectWord", 3, 0.5, 0.8, "YOU", 1.0), ("u", "CorrectWord", 4, 0.8, 1.0, "", 1.0),
+        ("u", "Notes", 1, 0.0, 1.0, "", 1.0),
+        ("u", "PerceivedPhone", 1, 0.0, 0.2, "", 1.0), ("u", "PerceivedPhone", 2, 0.2, 0.5, "HH", 1.0), ("u", "PerceivedPhone", 4, 0.5, 0.9999, "", 1.0), ("u", "PerceivedPhone", 5, 0.9999, 1.0, "", 1.0),
+        ("u", "PerceivedPhoneIPA", 1, 0.0, 0.2, "", 1.0), ("u", "PerceivedPhoneIPA", 2, 0.2, 0.5, "", 1.0), ("u", "PerceivedPhoneIPA", 4, 0.5, 0.9999, "", 1.0), ("u", "PerceivedPhoneIPA", 5, 0.9999, 1.0, "", 1.0),
+    ]
+    assert [(r.tier, r.ord, r.start, r.end, r.total) for r in df.where("utt_id = 'unknown'").collect()] == [("Notes", 1, 0.0, None, None)]
+    plan = df._jdf.queryExecution().sparkPlan().toString(), textgrid.annotation_tiers(words, phones, totals)._jdf.queryExecution().executedPlan().toString()
+    assert plan[1].count("Sort [") == 1 and plan[1].count("Exchange hashpartitioning") == 1 and "Join" not in plan[0]
