@@ -30,6 +30,15 @@ def bagged(tables: list[DataFrame], key: str, value: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (t.select(key, value) for t in tables))
 
 
+def bag_sizes(bag: DataFrame, key: str, value: str, task_rows: int = 250_000) -> DataFrame:
+    """key, n and n_distinct: the rows of each list and its different values, nulls not among these.
+
+    Lists are dealt by key to tasks of about `task_rows` rows, however many there are in all, so what a task holds does not grow with the input. bag is read twice.
+    """
+    tasks = max(1, -(-bag.count() // task_rows))
+    return bag.repartition(tasks, key).groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(value).alias("n_distinct"))
+
+
 def ordered_values(df: DataFrame, value: str) -> DataFrame:
     """Distinct values in order."""
     return df.select(value).distinct().orderBy(value)

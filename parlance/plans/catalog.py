@@ -648,8 +648,8 @@ def chunk_projection(spark, d):
 def bag_union(spark, d):
     """Lists of a key put together, repeats kept."""
     items = A.table(spark, d, "lineitem")
-    shards = [combine.united([items.where(F.col("l_linenumber") % 2 == k).select("l_orderkey", F.col(c).alias("v")) for k in range(2)], ["l_orderkey", "v"]) for c in ("l_returnflag", "l_linestatus")]
-    return combine.bagged(shards, "l_orderkey", "v").groupBy(F.col("l_orderkey").alias("key")).agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_distinct"))
+    shards = [combine.united([items.where(F.coalesce(F.pmod("l_linenumber", F.lit(2)), F.lit(0)) == k).select("l_orderkey", F.col(c).alias("v")) for k in range(2)], ["l_orderkey", "v"]) for c in ("l_returnflag", "l_linestatus")]
+    return combine.bag_sizes(combine.bagged(shards, "l_orderkey", "v"), "l_orderkey", "v").withColumnRenamed("l_orderkey", "key")
 
 
 @query("SELECT DISTINCT c_mktsegment AS value FROM customer")

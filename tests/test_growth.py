@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from parlance.operators import regression, vocabulary
-from parlance.plans import jobs
+from parlance.operators import combine, regression, vocabulary
+from parlance.plans import catalog, jobs
 from parlance.sources import textgrid
 
 
@@ -76,3 +76,17 @@ def test_annotation_tiers_sort_once(spark):
     assert [(r.tier, r.ord, r.start, r.end, r.total) for r in df.where("utt_id = 'unknown'").collect()] == [("Notes", 1, 0.0, None, None)]
     plan = df._jdf.queryExecution().sparkPlan().toString(), textgrid.annotation_tiers(words, phones, totals)._jdf.queryExecution().executedPlan().toString()
     assert plan[1].count("Sort [") == 1 and plan[1].count("Exchange hashpartitioning") == 1 and "Join" not in plan[0]
+
+
+def test_bags_go_to_tasks_of_a_bounded_size(spark, tmp_path):
+    rows = [(k % 500 if k % 7 else None, k % 3 if k % 2 else None, "ABC"[k % 3], "XYZ"[k % 2] if k % 5 else None) for k in range(2000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {}
+    for key, _, *values in rows:
+        want.setdefault(key, []).extend(values)
+    want = {k: (len(v), len(set(v) - {None})) for k, v in want.items()}
+    assert {r.key: (r.n, r.n_distinct) for r in catalog.bag_union(spark, str(tmp_path)).collect()} == want
+    bag = spark.range(20_000).select((F.col("id") / 2).cast("long").alias("k"), F.lit("v").alias("v"))
+    dealt = combine.bag_sizes(bag, "k", "v", 1000).groupBy(F.spark_partition_id()).agg(F.sum("n")).collect()
+    assert len(dealt) == 20 and max(r[1] for r in dealt) < 1500
+    assert combine.bag_sizes(bag.limit(0), "k", "v").count() == 0
