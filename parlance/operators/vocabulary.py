@@ -28,8 +28,8 @@ def first_missing(words: DataFrame, lexicon: DataFrame, keys: list[str]) -> Data
 
 
 def upper_share(texts: DataFrame) -> DataFrame:
-    """Whether the texts hold more upper- than lower-case letters: one row."""
-    up, low = (F.coalesce(F.sum(F.length(F.regexp_replace("text", p, ""))), F.lit(0)) for p in (r"\P{Lu}", r"\P{Ll}"))
+    """Whether the texts, all of them, hold more upper- than lower-case letters: one row. Other characters go by runs, each a match."""
+    up, low = (F.coalesce(F.sum(F.length(F.regexp_replace("text", p, ""))), F.lit(0)) for p in (r"\P{Lu}+", r"\P{Ll}+"))
     return texts.agg((up > low).alias("upper"))
 
 

@@ -41,3 +41,22 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("first, rest, upper", [("THE CAT DOG", "the cat sat dog on", False), ("the cat dog", "THE CAT SAT DOG ON", True)])
+def test_case_vote_is_over_all_texts(spark, tmp_path, first, rest, upper):
+    """The first 100 documents, by key and in the file, are of the other case than the corpus; some have no letters or no text."""
+    from hashlib import md5
+
+    texts = [first] * 150 + [rest] * 300 + ["12 34", None, " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("the cat on",)], "text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    words = [[w if w in ("the", "cat", "on") else "<UNK>" for w in (t or "").lower().split()] for t in texts]
+    want = [(k, md5(" ".join(x if x == "<UNK>" or not upper else x.upper() for x in w).encode()).hexdigest()) for k, w in enumerate(words) if w]
+    got = sorted(map(tuple, registry.queries()["replace_oov"](spark, str(tmp_path)).collect()))
+    assert got == want
+    if not upper:  # the SQL has the lower case only
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+        assert got == sorted(con.sql(registry.oracle_sql()["replace_oov"]).fetchall())
